@@ -129,12 +129,12 @@ def _regex_oracle() -> str:
     a word that does not start with 'databricks' is spelled out."""
     from kestrel.functions.scalars import OFF_TOPIC_PATTERNS
     word = "databricks"
-    alt = "[0-9a-ce-z_]"
-    tail = ""
-    for i in range(len(word) - 1, 0, -1):
-        tail = f"{word[i]}(?:$|[^{word[i + 1]}]|{tail})" if tail else f"{word[i]}(?:$|[^{word[i + 1]}])" \
-            if i + 1 < len(word) else f"{word[i]}"
-    not_db = f"(?:{alt}|d(?:$|[^a]|{tail}))"
+    # r(i): the text here does not continue with word[i:] (after word[:i]).
+    r = f"(?:$|[^{word[-1]}])"
+    for i in range(len(word) - 2, 0, -1):
+        r = f"(?:$|[^{word[i]}]|{word[i]}{r})"
+    # first char: a word character (for the trailing \b), not the start of word
+    not_db = f"(?:[0-9a-ce-z_]|d{r})"
     pats = []
     for p in OFF_TOPIC_PATTERNS:
         if "(?!" in p:
