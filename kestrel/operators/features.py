@@ -195,13 +195,15 @@ def onehot_columns(df: DataFrame, families, max_values: int) -> list[Column]:
 
 
 def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
-                  dates: DataFrame, opts: FeatureOptions) -> DataFrame:
+                  dates: DataFrame, opts: FeatureOptions, enriched: DataFrame | None = None) -> DataFrame:
     """All per-row features before one-hot, label encoding and selection."""
-    f = enrich_orders(orders, customers, products, dates, opts.run_date)
-    f = prior_customer_history(f, opts.order_keys, opts.skew_split)
+    e = enriched if enriched is not None else enrich_orders(orders, customers, products, dates, opts.run_date)
+    f = prior_customer_history(e, opts.order_keys, opts.skew_split)
     f = customer_recency(f, opts.run_date)
-    f = f.join(product_aggregates(f), "product_id", "left")
-    ranks = bounded_broadcast(category_ranking(f).select("product_category", "category_popularity_rank"))
+    # product and category totals are over the enriched rows (the windows
+    # above add columns, never rows), so they aggregate the cheap frame.
+    f = f.join(product_aggregates(e), "product_id", "left")
+    ranks = bounded_broadcast(category_ranking(e).select("product_category", "category_popularity_rank"))
     f = f.join(ranks, f.product_category.eqNullSafe(ranks.product_category), "left").drop(ranks.product_category)
     f = price_percentile(f)
     f = category_affinity(f, opts.order_keys, opts.skew_split)
@@ -212,12 +214,18 @@ def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
 
 
 def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
-                  dates: DataFrame, opts: FeatureOptions) -> DataFrame:
-    """F-2: the full feature table, keys (customer_id, product_id) kept."""
-    f = feature_frame(orders, customers, products, dates, opts)
-    labels = frequency_index(f, "product_id", "product_id_label")
+                  dates: DataFrame, opts: FeatureOptions, extra_cols=()) -> DataFrame:
+    """F-2: the full feature table, keys (customer_id, product_id) kept.
+
+    The bounded driver reads (one-hot values, checked against
+    ``max_onehot_values``) and the label index are taken from the enriched
+    fact — a scan plus broadcast joins — not from the windowed frame, whose
+    rows are the same."""
+    base = enrich_orders(orders, customers, products, dates, opts.run_date)
+    onehots = onehot_columns(base, ONEHOT_FAMILIES, opts.max_onehot_values)
+    labels = frequency_index(base, "product_id", "product_id_label")
+    f = feature_frame(orders, customers, products, dates, opts, enriched=base)
     f = f.join(labels, "product_id", "left")
     f = f.withColumn("run_date", F.lit(opts.run_date))
-    onehots = onehot_columns(f, ONEHOT_FAMILIES, opts.max_onehot_values)
-    out = f.select("customer_id", "product_id", *FEATURE_COLS, *onehots)
+    out = f.select("customer_id", "product_id", *FEATURE_COLS, *onehots, *extra_cols)
     return out.where(F.col("product_id_label").isNotNull())

@@ -139,3 +139,29 @@ def _prior_frame_split(df, part, order, specs, end):
         out_cols.append(v.alias(name))
     tmp = [c for c in joined.columns if c.startswith(("_l_", "_c_"))]
     return joined.select(*[c for c in joined.columns if c not in tmp], *out_cols)
+
+
+def prior_last(df: DataFrame, part, order, value: str, out: str, skew_split: bool = True) -> DataFrame:
+    """``lag(value)`` over (PARTITION BY part ORDER BY order): the value of
+    the group's previous row in the total order.
+
+    With ``skew_split`` the rows are windowed inside (part, order[0]) and
+    the first row of each bucket takes the last value of the nearest earlier
+    bucket from a per-bucket table (``max_by`` over the order, map-side
+    partial), so a hot group is spread over its buckets."""
+    part = [part] if isinstance(part, str) else list(part)
+    order = list(order)
+    if not skew_split:
+        w = Window.partitionBy(*part).orderBy(*order)
+        return df.withColumn(out, F.lag(value).over(w))
+    bucket = order[0]
+    keys = part + [bucket]
+    w = Window.partitionBy(*keys).orderBy(*order[1:] or [bucket])
+    d = (df.withColumn("_lag", F.lag(value).over(w))
+           .withColumn("_first", F.row_number().over(w) == 1))
+    okey = F.struct(*[F.col(c) for c in order[1:] or [bucket]])
+    last = d.groupBy(*keys).agg(F.max_by(value, okey).alias("_last"))
+    carry = last.select(*keys, F.lag("_last").over(Window.partitionBy(*part).orderBy(bucket)).alias("_carry"))
+    d = d.join(carry, keys, "left")
+    return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
+            .drop("_lag", "_first", "_carry")

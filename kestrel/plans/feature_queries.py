@@ -90,11 +90,11 @@ def product_label_index(spark, sf_dir):
     return frequency_index(_enriched(spark, sf_dir), "product_id", "product_id_label")
 
 
-def feature_table(spark, sf_dir, skew_split: bool = True):
+def feature_table(spark, sf_dir, skew_split: bool = True, extra_cols=()):
     """F-2: the full point-in-time feature table."""
     o = _opts(skew_split)
     return fx.feature_table(ss.order_lines(spark, sf_dir), ss.customers(spark, sf_dir),
-                            ss.products(spark, sf_dir), ss.dates(spark, sf_dir), o)
+                            ss.products(spark, sf_dir), ss.dates(spark, sf_dir), o, extra_cols)
 
 
 QUERIES = {

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from kestrel.plans import audit_queries, feature_queries, governance_queries, profile_queries
+    from kestrel.plans import audit_queries, feature_queries, governance_queries, modeling_queries, profile_queries
     out = {}
-    for mod in (feature_queries, audit_queries, governance_queries, profile_queries):
+    for mod in (feature_queries, audit_queries, governance_queries, profile_queries, modeling_queries):
         out.update(mod.QUERIES)
     return out
 
 
 def all_oracles() -> dict:
-    from kestrel.plans import audit_queries, feature_oracles, governance_queries, profile_queries
+    from kestrel.plans import audit_queries, feature_oracles, governance_queries, modeling_queries, profile_queries
     out = {}
-    for mod in (feature_oracles, audit_queries, governance_queries, profile_queries):
+    for mod in (feature_oracles, audit_queries, governance_queries, profile_queries, modeling_queries):
         out.update(mod.ORACLES)
     return out
