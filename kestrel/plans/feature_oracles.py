@@ -277,3 +277,8 @@ ORACLES = {
     "product_label_index": LABEL_SQL,
     "feature_table": feature_table_sql(),
 }
+
+ORACLES["feature_table_write_verify"] = f"""WITH {STAR_CTE}
+SELECT '{RUN_DATE}' AS run_date, count(*) AS written_rows, count(*) AS read_rows, true AS verified FROM star"""
+ORACLES["baseline_scores_write_verify"] = f"""WITH {STAR_CTE}
+SELECT '{RUN_DATE}' AS score_date, count(*) AS written_rows, count(*) AS read_rows, true AS verified FROM star"""

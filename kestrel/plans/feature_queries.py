@@ -109,3 +109,34 @@ QUERIES = {
     "product_label_index": product_label_index,
     "feature_table": feature_table,
 }
+
+
+def feature_table_write_verify(spark, sf_dir):
+    """S4 + S6 + S2: write the feature table partitioned by run_date into
+    the shared folder, read the run date back (pruned) and compare counts."""
+    import uuid
+    from kestrel.session import shared_path
+    from kestrel.sources.sinks import write_and_verify
+    path = shared_path(spark, "tables", f"features-{uuid.uuid4().hex}")
+    return write_and_verify(feature_table(spark, sf_dir), path, "run_date", RUN_DATE)
+
+
+def baseline_scores_write_verify(spark, sf_dir):
+    """S5 + S6 (F-3 layout): baseline scores appended under score_date; the
+    second, identical run replaces the date instead of duplicating it."""
+    import uuid
+    from kestrel.operators.windows import prior_last
+    from kestrel.session import shared_path
+    from kestrel.sources.sinks import write_and_verify
+    e = _enriched(spark, sf_dir)
+    p = prior_last(e, ["customer_id"], ss.ORDER_KEYS, "product_category", "prediction")
+    scores = p.select("customer_id", "product_id", F.lit(RUN_DATE).alias("run_date"), "prediction",
+                      F.lit(RUN_DATE).cast("date").alias("score_date"),
+                      F.lit("last_category_baseline").alias("model_name"), F.current_timestamp().alias("scored_at"))
+    path = shared_path(spark, "tables", f"scores-{uuid.uuid4().hex}")
+    write_and_verify(scores, path, "score_date", RUN_DATE)
+    return write_and_verify(scores, path, "score_date", RUN_DATE)
+
+
+QUERIES["feature_table_write_verify"] = feature_table_write_verify
+QUERIES["baseline_scores_write_verify"] = baseline_scores_write_verify
