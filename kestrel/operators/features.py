@@ -22,7 +22,7 @@ from kestrel.functions.exact import exact_avg, exact_stddev, exact_sum
 from kestrel.functions.scalars import (date_from_id, hash_bucket, ratio_or_zero,
                                        relative_gap_below, safe_name)
 from kestrel.operators.joins import bounded_broadcast, left_dimension_join
-from kestrel.operators.ordering import frequency_index
+from kestrel.operators.ordering import frequency_index_from_counts
 from kestrel.operators.windows import prior_frame
 
 # Aggregate feature columns filled with 0 when NULL.
@@ -141,12 +141,13 @@ def category_ranking(df: DataFrame) -> DataFrame:
     return agg.withColumn("category_popularity_rank", F.row_number().over(w))
 
 
-def price_percentile(df: DataFrame, part: str = "product_category",
-                     value: str = "product_price", name: str = "price_percentile_in_category") -> DataFrame:
+def price_percentile_table(df: DataFrame, part: str = "product_category", value: str = "product_price",
+                           name: str = "price_percentile_in_category") -> DataFrame:
     """``percent_rank()`` over (PARTITION BY part ORDER BY value), computed
     on the (part, value) histogram instead of the rows: rank-1 = rows with a
     smaller value, n = rows in the partition. A category holding a third of
-    all rows then costs one histogram row per distinct price, not a hot task."""
+    all rows then costs one histogram row per distinct price, not a hot task.
+    Returns one row per (part, value)."""
     hist = df.groupBy(part, value).agg(F.count(F.lit(1)).alias("_c"))
     w_before = Window.partitionBy(part).orderBy(F.asc_nulls_first(value)).rowsBetween(
         Window.unboundedPreceding, -1)
@@ -154,12 +155,37 @@ def price_percentile(df: DataFrame, part: str = "product_category",
     hist = hist.select(part, value,
                        F.coalesce(F.sum("_c").over(w_before), F.lit(0)).alias("_lt"),
                        F.sum("_c").over(w_all).alias("_n"))
-    hist = hist.select(part, value, F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
+    return hist.select(part, value, F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(
         F.col("_lt").cast("double") / (F.col("_n") - 1).cast("double")).alias(name))
+
+
+def price_percentile(df: DataFrame, part: str = "product_category",
+                     value: str = "product_price", name: str = "price_percentile_in_category") -> DataFrame:
+    """W8 joined back to the rows."""
+    hist = price_percentile_table(df, part, value, name)
     return df.join(hist, df[part].eqNullSafe(hist[part]) & df[value].eqNullSafe(hist[value]), "left") \
              .drop(hist[part]).drop(hist[value])
 
 
+def product_features(e: DataFrame) -> DataFrame:
+    """Everything keyed by product in one table (one row per product):
+    A2 totals, W8 price percentile (the product's price within its category,
+    weighted by rows) and the X10 label by frequency. The fact then needs a
+    single join on product_id for all of them."""
+    agg = e.groupBy("product_id", "product_category", "product_price").agg(
+        exact_sum("revenue").alias("product_total_sales"),
+        F.count("order_id").alias("product_purchase_count"),
+        exact_avg("quantity").alias("product_avg_quantity_per_order"),
+        F.count(F.lit(1)).alias("_rows"))
+    pp = price_percentile_table(e)
+    t = agg.join(pp, agg.product_category.eqNullSafe(pp.product_category)
+                 & agg.product_price.eqNullSafe(pp.product_price), "left") \
+           .drop(pp.product_category).drop(pp.product_price)
+    labels = frequency_index_from_counts(t.where(F.col("product_id").isNotNull()), "product_id", "_rows",
+                                         "product_id_label")
+    return t.join(labels, "product_id", "left").drop("_rows", "product_category", "product_price")
+
+
 def category_affinity(df: DataFrame, order_keys, skew_split: bool = False) -> DataFrame:
     """Earlier purchases of this category by this customer, and a flag."""
     specs = {"customer_category_purchase_count": ("count", "order_id")}
@@ -180,15 +206,30 @@ def onehot_values(df: DataFrame, col: str, max_values: int) -> list:
 
 
 def onehot_columns(df: DataFrame, families, max_values: int) -> list[Column]:
-    """one 0/1 column per value, plus month_1..12 and quarter_1..4."""
+    """one 0/1 column per value, plus month_1..12 and quarter_1..4.
+
+    The values of every family are read in ONE job: (family, value) pairs,
+    distinct, at most ``len(families) * (max_values + 1)`` rows collected;
+    a family with more than ``max_values`` values fails loudly."""
+    types = dict(df.dtypes)
+    pairs = F.explode(F.array(*[F.struct(F.lit(prefix).alias("f"), F.col(src).cast("string").alias("v"))
+                                for prefix, src in families])).alias("x")
+    rows = (df.select(pairs).select("x.f", "x.v").where(F.col("v").isNotNull()).distinct()
+            .limit(len(families) * (max_values + 1)).collect())
+    values: dict[str, list[str]] = {}
+    for r in rows:
+        values.setdefault(r.f, []).append(r.v)
     cols, seen = [], set()
     for prefix, src in families:
-        for v in onehot_values(df, src, max_values):
-            name = f"{prefix}_{safe_name(str(v), prefix)}"
+        vals = sorted(values.get(prefix, []))
+        if len(vals) > max_values:
+            raise ValueError(f"{src}: more than {max_values} distinct values; use hash_encode")
+        for v in vals:
+            name = f"{prefix}_{safe_name(v, prefix)}"
             if name in seen:
                 continue
             seen.add(name)
-            cols.append(F.when(F.col(src) == F.lit(v), 1).otherwise(0).alias(name))
+            cols.append(F.when(F.col(src) == F.lit(v).cast(types[src]), 1).otherwise(0).alias(name))
     cols += [F.when(F.col("month") == m, 1).otherwise(0).alias(f"month_{m}") for m in range(1, 13)]
     cols += [F.when(F.col("quarter") == q, 1).otherwise(0).alias(f"quarter_{q}") for q in range(1, 5)]
     return cols
@@ -202,10 +243,9 @@ def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
     f = customer_recency(f, opts.run_date)
     # product and category totals are over the enriched rows (the windows
     # above add columns, never rows), so they aggregate the cheap frame.
-    f = f.join(product_aggregates(e), "product_id", "left")
+    f = f.join(product_features(e), "product_id", "left")
     ranks = bounded_broadcast(category_ranking(e).select("product_category", "category_popularity_rank"))
     f = f.join(ranks, f.product_category.eqNullSafe(ranks.product_category), "left").drop(ranks.product_category)
-    f = price_percentile(f)
     f = category_affinity(f, opts.order_keys, opts.skew_split)
     f = f.withColumn("customer_purchased_similar_price_range", relative_gap_below(
         "product_price", "customer_avg_price_purchased", opts.similar_price_limit))
@@ -214,18 +254,20 @@ def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
 
 
 def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
-                  dates: DataFrame, opts: FeatureOptions, extra_cols=()) -> DataFrame:
+                  dates: DataFrame, opts: FeatureOptions, extra_cols=(), materialize: bool = True) -> DataFrame:
     """F-2: the full feature table, keys (customer_id, product_id) kept.
 
-    The bounded driver reads (one-hot values, checked against
-    ``max_onehot_values``) and the label index are taken from the enriched
-    fact — a scan plus broadcast joins — not from the windowed frame, whose
-    rows are the same."""
+    The enriched fact (fact ⋈ three dimensions) feeds a dozen aggregations
+    and windows; it is written once to the shared checkpoint folder
+    (``materialize``) so each of them scans that table instead of redoing
+    the fact join and dimension joins. The bounded driver read (one-hot
+    values) is taken from it too."""
     base = enrich_orders(orders, customers, products, dates, opts.run_date)
+    if materialize:
+        from kestrel.session import cut_lineage
+        base = cut_lineage(base)
     onehots = onehot_columns(base, ONEHOT_FAMILIES, opts.max_onehot_values)
-    labels = frequency_index(base, "product_id", "product_id_label")
     f = feature_frame(orders, customers, products, dates, opts, enriched=base)
-    f = f.join(labels, "product_id", "left")
     f = f.withColumn("run_date", F.lit(opts.run_date))
     out = f.select("customer_id", "product_id", *FEATURE_COLS, *onehots, *extra_cols)
     return out.where(F.col("product_id_label").isNotNull())

@@ -9,8 +9,6 @@ bounded by the calendar or by the number of distinct scores per class.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,19 +170,26 @@ def binary_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 def weighted_ovr_auc(pred: DataFrame, classes: int, label: str = "label", proba: str = "probability") -> DataFrame:
     """One-vs-rest AUC per class from the class's probability, averaged
-    with class support as weights (sklearn ``average='weighted'``)."""
+    with class support as weights (sklearn ``average='weighted'``). One pass:
+    rows are exploded to (class, score, is_label), histogrammed per
+    (class, score), and the rank sums run per class on bucketed scores."""
     p = F.col(proba)
     if dict(pred.dtypes)[proba] != "array<double>":
         from pyspark.ml.functions import vector_to_array
         p = vector_to_array(p)
-    d = pred.select(F.col(label).cast("int").alias("_y"), p.alias("_p"))
-    per = []
-    for c in range(classes):
-        one = d.select((F.col("_y") == c).cast("int").alias("_t"), F.col("_p")[c].alias("_s"))
-        per.append(binary_auc(one, "_t", "_s").select(F.lit(c).alias("cls"), "auc", F.col("P").alias("support")))
-    t = reduce(DataFrame.unionByName, per).where(F.col("auc").isNotNull())
-    return t.agg(F.round(F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support").cast("double")),
-                         METRIC_DIGITS).alias("weighted_auc"))
+    d = pred.select(F.col(label).cast("int").alias("_y"), F.posexplode(F.slice(p, 1, classes)).alias("cls", "_s"))
+    hist = d.groupBy("cls", "_s").agg(F.count_if(F.col("_y") == F.col("cls")).alias("_p"),
+                                      F.count_if(F.col("_y") != F.col("cls")).alias("_n"))
+    hist = hist.withColumn("_b", F.floor(F.col("_s") * 1024))
+    hist = prior_frame(hist, ["cls"], ["_b", "_s"], {"_nb0": ("sum", "_n", 0)}, skew_split=True)
+    hist = hist.withColumn("_nb", F.coalesce(F.col("_nb0"), F.lit(0.0)).cast("long"))
+    per = hist.groupBy("cls").agg(F.sum(F.col("_p") * (F.col("_nb") * 2 + F.col("_n"))).alias("_u2"),
+                                  F.sum("_p").alias("P"), F.sum("_n").alias("N"))
+    per = per.select("cls", F.try_divide(F.col("_u2").cast("double"),
+                                         (F.col("P") * F.col("N") * 2).cast("double")).alias("auc"),
+                     F.col("P").alias("support")).where(F.col("auc").isNotNull())
+    return per.agg(F.round(F.try_divide(F.sum(F.col("auc") * F.col("support")), F.sum("support").cast("double")),
+                           METRIC_DIGITS).alias("weighted_auc"))
 
 
 def rmse(pred: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -53,3 +53,11 @@ def frequency_index(df: DataFrame, col: str, name: str | None = None,
               .withColumn("_txt", F.col(col).cast("string")))
     idx = global_ordinal(counts, [F.desc("_cnt"), F.asc("_txt")], "_ord", materialize)
     return idx.select(col, F.col("_ord").cast("double").alias(name))
+
+
+def frequency_index_from_counts(counts: DataFrame, col: str, count_col: str, name: str,
+                                materialize: bool = True) -> DataFrame:
+    """X10 from a table that already holds one row and its count per value."""
+    c = counts.select(col, F.col(count_col).alias("_cnt")).withColumn("_txt", F.col(col).cast("string"))
+    idx = global_ordinal(c, [F.desc("_cnt"), F.asc("_txt")], "_ord", materialize)
+    return idx.select(col, F.col("_ord").cast("double").alias(name))

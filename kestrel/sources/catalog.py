@@ -34,7 +34,7 @@ def catalog_columns(spark: SparkSession, database: str) -> DataFrame:
     """S8 over the session catalog, ordered by table and position."""
     rows = []
     for t in spark.catalog.listTables(database):
-        for i, c in enumerate(spark.catalog.listColumns(t.name, database), start=1):
+        for i, c in enumerate(spark.catalog.listColumns(f"{database}.{t.name}"), start=1):
             rows.append((t.name, i, c.name, c.dataType, c.description, "YES" if c.nullable else "NO"))
     return spark.createDataFrame(rows, COLUMN_SCHEMA).orderBy("table_name", "ordinal_position")
 
@@ -81,7 +81,7 @@ def database_exists(spark: SparkSession, database: str) -> bool:
 
 def table_exists(spark: SparkSession, name: str, database: str | None = None) -> bool:
     """S10."""
-    return spark.catalog.tableExists(name, database)
+    return spark.catalog.tableExists(f"{database}.{name}" if database else name)
 
 
 def browse(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -48,6 +48,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "2 hou
                     "events", "value_sum"))
 
 
+def sessions_batch(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Sessions over a table (skew-safe; see ``windows.sessionize``)."""
+    from kestrel.operators.windows import sessionize
+    s = sessionize(events, ["user_id"], "ts", gap_seconds)
+    g = s.groupBy("user_id", "session_no").agg(
+        F.min("ts").alias("_start"), F.max("ts").alias("_last"), *_aggs())
+    return g.select("user_id", F.col("_start").cast("timestamp_ntz").alias("session_start"),
+                    (F.col("_last").cast("timestamp_ntz") + F.expr(f"INTERVAL {gap_seconds} SECONDS"))
+                    .alias("session_end"), "events", "value_sum")
+
+
 def run_upsert_log(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Run an update-mode aggregation to completion, logging each batch's
     updated rows, and return the latest row per key."""

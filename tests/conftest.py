@@ -19,6 +19,7 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.driver.memory", "4g")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="kestrel-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # tests only: the checkpoint folder is unset locally, so set our own
