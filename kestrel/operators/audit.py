@@ -273,12 +273,23 @@ def run_completeness(trail: DataFrame, expected: list[str] | None = None) -> Dat
 # S12, W12, A10, A11, T5
 # --------------------------------------------------------------------------
 
-def insert_or_ignore(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def insert_or_ignore(stored: DataFrame, batch: DataFrame, max_broadcast_keys: int = 1_000_000) -> DataFrame:
     """Rows of ``batch`` that an INSERT OR IGNORE keeps: not already
     stored by event_id nor by (run_id, sequence_number), and the first of
-    the batch for each key (by event_id order)."""
-    b = batch.join(stored.select("event_id"), "event_id", "left_anti")
-    b = b.join(stored.select("run_id", "sequence_number"), ["run_id", "sequence_number"], "left_anti")
+    the batch for each key (by event_id order).
+
+    The stored trail grows without bound while a batch is small: the stored
+    keys are first reduced to those present in the batch with a semi-join
+    against the batch's keys (broadcast when they provably fit, so the
+    stored trail is scanned but not shuffled), and the batch is anti-joined
+    with that small set."""
+    from kestrel.operators.joins import bounded_broadcast
+    ids = bounded_broadcast(batch.select("event_id").distinct(), max_broadcast_keys)
+    seqs = bounded_broadcast(batch.select("run_id", "sequence_number").distinct(), max_broadcast_keys)
+    hit_ids = stored.select("event_id").join(ids, "event_id", "left_semi")
+    hit_seqs = stored.select("run_id", "sequence_number").join(seqs, ["run_id", "sequence_number"], "left_semi")
+    b = batch.join(hit_ids, "event_id", "left_anti")
+    b = b.join(hit_seqs, ["run_id", "sequence_number"], "left_anti")
     w1 = Window.partitionBy("event_id").orderBy("run_id", "sequence_number")
     b = b.withColumn("_r", F.row_number().over(w1)).where("_r = 1").drop("_r")
     w2 = Window.partitionBy("run_id", "sequence_number").orderBy("event_id")

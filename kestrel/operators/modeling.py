@@ -48,7 +48,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], seed: int =
     one task."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed)))
     h = F.conv(F.substring(F.sha2(key, 256), 1, 15), 16, 10).cast("long")
-    d = df.withColumn("_h", h).withColumn("_hb", F.shiftright("_h", 50))
+    d = df.withColumn("_h", h).withColumn("_hb", F.shiftright("_h", 44))   # 65536 buckets per class
     d = prior_frame(d, [label], ["_hb", "_h"] + key_cols, {"_pos": ("count", "_h")},
                     skew_split=True, include_current=True)
     n = d.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

@@ -282,3 +282,10 @@ ORACLES["feature_table_write_verify"] = f"""WITH {STAR_CTE}
 SELECT '{RUN_DATE}' AS run_date, count(*) AS written_rows, count(*) AS read_rows, true AS verified FROM star"""
 ORACLES["baseline_scores_write_verify"] = f"""WITH {STAR_CTE}
 SELECT '{RUN_DATE}' AS score_date, count(*) AS written_rows, count(*) AS read_rows, true AS verified FROM star"""
+
+ORACLES["sql_segment_revenue"] = """
+SELECT c.c_mktsegment AS segment, year(o.o_orderdate) AS order_year,
+       CAST(sum(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
+       count(*) AS lines
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+GROUP BY ALL"""

@@ -140,3 +140,21 @@ def baseline_scores_write_verify(spark, sf_dir):
 
 QUERIES["feature_table_write_verify"] = feature_table_write_verify
 QUERIES["baseline_scores_write_verify"] = baseline_scores_write_verify
+
+
+def sql_segment_revenue(spark, sf_dir):
+    """S14 + the SQL API: the given tables as temp views, one Catalyst plan
+    from SQL text (revenue and lines per market segment and order year)."""
+    from kestrel.sources.tables import register_views
+    register_views(spark, sf_dir, ["lineitem", "orders", "customer"])
+    return spark.sql("""
+        SELECT c.c_mktsegment AS segment, year(o.o_orderdate) AS order_year,
+               CAST(sum(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))))
+                    AS DOUBLE) AS revenue,
+               count(*) AS lines
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+        JOIN customer c ON o.o_custkey = c.c_custkey
+        GROUP BY c.c_mktsegment, year(o.o_orderdate)""")
+
+
+QUERIES["sql_segment_revenue"] = sql_segment_revenue

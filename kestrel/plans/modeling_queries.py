@@ -164,7 +164,9 @@ def model_feature_importance(spark, sf_dir):
 def batch_scores(spark, sf_dir):
     """M6 (F-3): score every row of the feature table with its keys."""
     from kestrel.operators import ml
+    from kestrel.sources.tables import require_rows
     model, f, _feats = _trained(spark, sf_dir)
+    require_rows(f, "feature table")                     # S3: refuse to score nothing
     return ml.score(model, f, ["customer_id", "product_id", "run_date"], "category_rf", "2002-01-01") \
              .drop("probability")
 
