@@ -239,14 +239,18 @@ def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
                   dates: DataFrame, opts: FeatureOptions, enriched: DataFrame | None = None) -> DataFrame:
     """All per-row features before one-hot, label encoding and selection."""
     e = enriched if enriched is not None else enrich_orders(orders, customers, products, dates, opts.run_date)
-    f = prior_customer_history(e, opts.order_keys, opts.skew_split)
-    f = customer_recency(f, opts.run_date)
+    if opts.skew_split:
+        f = customer_features(e, opts.order_keys, opts.run_date)
+    else:
+        f = prior_customer_history(e, opts.order_keys, False)
+        f = customer_recency(f, opts.run_date)
     # product and category totals are over the enriched rows (the windows
     # above add columns, never rows), so they aggregate the cheap frame.
     f = f.join(product_features(e), "product_id", "left")
     ranks = bounded_broadcast(category_ranking(e).select("product_category", "category_popularity_rank"))
     f = f.join(ranks, f.product_category.eqNullSafe(ranks.product_category), "left").drop(ranks.product_category)
-    f = category_affinity(f, opts.order_keys, opts.skew_split)
+    if not opts.skew_split:
+        f = category_affinity(f, opts.order_keys, False)
     f = f.withColumn("customer_purchased_similar_price_range", relative_gap_below(
         "product_price", "customer_avg_price_purchased", opts.similar_price_limit))
     f = f.withColumn("customer_id_hash", hash_bucket("customer_id", opts.hash_buckets))
@@ -271,3 +275,114 @@ def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
     f = f.withColumn("run_date", F.lit(opts.run_date))
     out = f.select("customer_id", "product_id", *FEATURE_COLS, *onehots, *extra_cols)
     return out.where(F.col("product_id_label").isNotNull())
+
+
+def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
+    """W1–W6, W9, A1, F2, F6 and the prior average price in ONE shuffle of
+    the fact.
+
+    The rows are hash-partitioned once on (customer, order date); every
+    window below is partitioned by a superset of those keys, so none of them
+    re-shuffles the rows. Everything that crosses days comes from small
+    tables keyed by (customer, date) — built from map-side partial
+    aggregates — and joins on exactly the rows' partitioning:
+
+    * carry: per (customer, day) totals, prefix-summed over earlier days by a
+      window over the customer's days (bounded by the calendar), plus the
+      customer's first and last order date;
+    * new products / categories: the values whose first day for the customer
+      is that day (first-seen flags for the distinct counts, W6);
+    * category carry: per (customer, category) rows on earlier days, packed
+      as an array per (customer, day).
+    A customer with a third of all rows is spread over its order dates.
+    """
+    c, d = "customer_id", order_keys[0]
+    rest = list(order_keys[1:])
+    keys = [c, d]
+    rev, qty, price = F.col("revenue"), F.col("quantity"), F.col("product_price")
+    from kestrel.functions.exact import dec
+    rows = e.repartition(c, d)
+
+    # -------- small tables keyed by (customer, day)
+    hist = e.groupBy(*keys).agg(
+        F.count("order_id").alias("h_n"), F.count(rev).alias("h_nr"), F.sum(dec(rev)).alias("h_sr"),
+        F.sum(dec(rev) * dec(rev)).alias("h_ssr"), F.count(qty).alias("h_nq"), F.sum(dec(qty)).alias("h_sq"),
+        F.max(qty).alias("h_mq"), F.count(price).alias("h_np"), F.sum(dec(price)).alias("h_sp"))
+    new_p = (e.groupBy(c, "product_id").agg(F.min(d).alias(d))
+             .groupBy(*keys).agg(F.collect_set("product_id").alias("new_products")))
+    new_c = (e.where(F.col("product_category").isNotNull()).groupBy(c, "product_category").agg(F.min(d).alias(d))
+             .groupBy(*keys).agg(F.collect_set("product_category").alias("new_categories")))
+    hist = (hist.join(new_p, keys, "left").join(new_c, keys, "left")
+            .withColumn("h_up", F.coalesce(F.size("new_products"), F.lit(0)))
+            .withColumn("h_uc", F.coalesce(F.size("new_categories"), F.lit(0))))
+    wp = Window.partitionBy(c).orderBy(F.asc_nulls_first(d)).rowsBetween(Window.unboundedPreceding, -1)
+    wa = Window.partitionBy(c)
+    carry = hist.select(
+        *keys, "new_products", "new_categories",
+        *[F.sum(x).over(wp).alias(f"c{x[1:]}") for x in
+          ("h_n", "h_nr", "h_sr", "h_ssr", "h_nq", "h_sq", "h_np", "h_sp", "h_up", "h_uc")],
+        F.max("h_mq").over(wp).alias("c_mq"),
+        F.min(d).over(wa).alias("first_order_date"), F.max(d).over(wa).alias("last_order_date"))
+    cat_hist = e.groupBy(c, "product_category", d).agg(F.count("order_id").alias("_k"))
+    wcat = Window.partitionBy(c, "product_category").orderBy(F.asc_nulls_first(d)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    cat_carry = (cat_hist.select(c, "product_category", d, F.coalesce(F.sum("_k").over(wcat), F.lit(0)).alias("_cc"))
+                 .groupBy(*keys).agg(F.collect_list(F.struct(F.col("product_category").alias("cat"),
+                                                             F.col("_cc").alias("n"))).alias("cat_carry")))
+
+    # -------- row windows inside the (customer, day) partitions
+    o = [F.col(x) for x in rest] or [F.col(d)]
+    w = Window.partitionBy(*keys).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    w_p = Window.partitionBy(c, d, "product_id").orderBy(*o)
+    w_c = Window.partitionBy(c, d, "product_category").orderBy(*o)
+    w_cat = Window.partitionBy(c, d, "product_category").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1)
+    r = rows.select("*",
+                    (F.row_number().over(w_p) == 1).alias("_fp_day"),
+                    (F.row_number().over(w_c) == 1).alias("_fc_day"),
+                    F.count("order_id").over(w_cat).alias("_cat_local"))
+    r = r.join(carry, keys, "left").join(cat_carry, keys, "left")
+    r = r.withColumn("_new_p", F.when(F.col("_fp_day") & F.array_contains(F.col("new_products"), F.col("product_id")), 1))
+    r = r.withColumn("_new_c", F.when(F.col("_fc_day") & F.col("product_category").isNotNull()
+                                      & F.array_contains(F.col("new_categories"), F.col("product_category")), 1))
+    r = r.select("*",
+                 F.count("order_id").over(w).alias("l_n"), F.count(rev).over(w).alias("l_nr"),
+                 F.sum(dec(rev)).over(w).alias("l_sr"), F.sum(dec(rev) * dec(rev)).over(w).alias("l_ssr"),
+                 F.count(qty).over(w).alias("l_nq"), F.sum(dec(qty)).over(w).alias("l_sq"),
+                 F.max(qty).over(w).alias("l_mq"), F.count(price).over(w).alias("l_np"),
+                 F.sum(dec(price)).over(w).alias("l_sp"),
+                 F.count("_new_p").over(w).alias("l_up"), F.count("_new_c").over(w).alias("l_uc"))
+
+    def tot(x, decimal=False):
+        lc, cc = F.col(f"l_{x}"), F.col(f"c_{x}")
+        if decimal:
+            return F.coalesce(lc, F.lit(0)) + F.coalesce(cc, F.lit(0))
+        return lc + F.coalesce(cc, F.lit(0))
+
+    n, nr, nq, np_ = tot("n"), tot("nr"), tot("nq"), tot("np")
+    sr = F.when(nr > 0, tot("sr", True)).cast("double")
+    ssr = F.when(nr > 0, tot("ssr", True)).cast("double")
+    sq = F.when(nq > 0, tot("sq", True)).cast("double")
+    sp = F.when(np_ > 0, tot("sp", True)).cast("double")
+    from kestrel.operators.windows import _std
+    ref = F.lit(run_date).cast("date")
+    cat_prior = F.coalesce(F.element_at(F.filter("cat_carry", lambda x: x["cat"].eqNullSafe(F.col("product_category"))), 1)["n"], F.lit(0))
+    cat_count = (F.col("_cat_local") + cat_prior).cast("long")
+    total_orders = n.cast("long")
+    out = r.select(
+        *e.columns,
+        total_orders.alias("customer_total_orders"),
+        sr.alias("customer_total_revenue"), sq.alias("customer_total_quantity"),
+        F.try_divide(sr, nr.cast("double")).alias("customer_avg_order_value"),
+        F.try_divide(sq, nq.cast("double")).alias("customer_avg_quantity"),
+        F.greatest(F.col("l_mq"), F.col("c_mq")).alias("customer_max_quantity"),
+        _std(nr, sr, ssr).alias("customer_revenue_std"),
+        tot("up").cast("long").alias("customer_unique_products"),
+        tot("uc").cast("long").alias("customer_unique_categories"),
+        F.try_divide(sp, np_.cast("double")).alias("customer_avg_price_purchased"),
+        "first_order_date", "last_order_date",
+        F.datediff(d, "first_order_date").alias("days_since_first_order"),
+        F.datediff(ref, F.col("last_order_date")).alias("days_since_last_order"),
+        cat_count.alias("customer_category_purchase_count"),
+        F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before"))
+    return out.withColumn("order_frequency_days", ratio_or_zero(
+        F.col("customer_total_orders") > 1, "days_since_first_order", "customer_total_orders"))

@@ -38,7 +38,9 @@ HISTORY_COLS = ["customer_total_orders", "customer_total_revenue", "customer_tot
 
 def prior_customer_history(spark, sf_dir, skew_split: bool = True):
     """What had this customer bought before this line?"""
-    f = fx.prior_customer_history(_enriched(spark, sf_dir), ss.ORDER_KEYS, skew_split)
+    e = _enriched(spark, sf_dir)
+    f = (fx.customer_features(e, ss.ORDER_KEYS, RUN_DATE) if skew_split
+         else fx.prior_customer_history(e, ss.ORDER_KEYS, False))
     return f.select("order_id", "line_number", "customer_id", "product_id", "supplier_id",
                     "order_date", "quantity", "revenue", *HISTORY_COLS)
 
@@ -71,7 +73,9 @@ def price_percentile(spark, sf_dir):
 
 def category_affinity(spark, sf_dir, skew_split: bool = True):
     """Earlier purchases of the same category by the same customer."""
-    f = fx.category_affinity(_enriched(spark, sf_dir), ss.ORDER_KEYS, skew_split)
+    e = _enriched(spark, sf_dir)
+    f = (fx.customer_features(e, ss.ORDER_KEYS, RUN_DATE) if skew_split
+         else fx.category_affinity(e, ss.ORDER_KEYS, False))
     return f.select("order_id", "line_number", "customer_id", "product_id", "supplier_id",
                     "order_date", "quantity", "revenue", "product_category",
                     "customer_category_purchase_count", "customer_purchased_this_category_before")

@@ -111,3 +111,19 @@ def test_rmse_and_accuracy(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 2.0)], "y double, p double")
     assert md.rmse(df, "y", "p").first().rmse == round(math.sqrt((1 + 0 + 9) / 3), 6)
     assert md.accuracy(df, "y", "p").first().accuracy == pytest.approx(1 / 3)
+
+
+def test_single_shuffle_customer_features_equal_plain_windows_with_hot_customer(spark):
+    e = fq._enriched(spark, SF0001)
+    # a third of the rows move to one customer
+    e = e.withColumn("customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(-1)).otherwise(F.col("customer_id")))
+    fast = fx.customer_features(e, ss.ORDER_KEYS, fq.RUN_DATE)
+    slow = fx.category_affinity(fx.customer_recency(
+        fx.prior_customer_history(e, ss.ORDER_KEYS, False), fq.RUN_DATE), ss.ORDER_KEYS, False)
+    cols = ["order_id", "line_number", "product_id", "supplier_id", "quantity", "extended_price", "discount",
+            "tax", "return_flag", "line_status", "ship_date", "customer_id"] + fq.HISTORY_COLS + [
+        "days_since_first_order", "days_since_last_order", "order_frequency_days",
+        "customer_category_purchase_count", "customer_purchased_this_category_before"]
+    a, b = fast.select(*cols), slow.select(*cols)
+    assert a.count() == b.count() == e.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
