@@ -66,19 +66,20 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFr
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     s = (spark.readStream.schema(schema).option("basePath", sf_dir)
          .option("maxFilesPerTrigger", max_files).parquet(path))
-    # watermarks need TIMESTAMP; wall-clock NTZ values are read as UTC
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    # watermarks need TIMESTAMP (the session time zone reads the wall clock;
+    # UTC in our sessions); the original wall-clock value stays in ts_wall
+    return s.withColumn("ts_wall", F.col("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def audit_ingest(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Streaming events (event_id, ts, user_id, event_type, props) -> chained
     audit rows, one run per user."""
     e = events.select(
-        F.col("user_id").cast("string").alias("run_id"), F.to_date("ts").alias("_day"),
+        F.col("user_id").cast("string").alias("run_id"), F.to_date("ts_wall").alias("_day"),
         F.col("ts").alias("_ts"), F.col("event_id").alias("_eid"), "event_type",
         F.when(F.col("event_type").isin("signup", "purchase"), "user").otherwise("agent").alias("actor"),
         F.concat(F.col("event_type"), F.lit("_node")).alias("node_name"),
-        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp_utc"),
+        F.concat(F.date_format("ts_wall", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp_utc"),
         F.col("props").alias("payload"))
     e = e.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(["_eid"])
     return e.groupBy("run_id").applyInPandasWithState(
