@@ -262,6 +262,7 @@ def run_completeness(trail: DataFrame, expected: list[str] | None = None) -> Dat
         spark = trail.sparkSession
         exp = spark.createDataFrame([(i + 1, t) for i, t in enumerate(expected)],
                                     "sequence_number long, expected_type string")
+        # the expected list is given by the caller (a handful of event types)
         mism = (trail.join(F.broadcast(exp), "sequence_number", "inner")
                 .groupBy("run_id").agg(F.count_if(F.col("event_type") != F.col("expected_type"))
                                        .alias("order_mismatches")))

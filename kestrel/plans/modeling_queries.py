@@ -121,7 +121,8 @@ def _ml_frame(spark, sf_dir):
     from kestrel.session import cut_lineage
     f = feature_table(spark, sf_dir, extra_cols=("product_category",))
     idx = frequency_index(_enriched(spark, sf_dir), "product_category", LABEL)
-    f = f.join(F.broadcast(idx), "product_category", "left")
+    from kestrel.operators.joins import bounded_broadcast
+    f = f.join(bounded_broadcast(idx, 100_000), "product_category", "left")
     feats = [c for c in f.columns if not c.startswith(ML_EXCLUDE_PREFIX)
              and c not in ("customer_id", "product_id", "run_date", LABEL, "product_category")]
     f = md.temporal_split(f.withColumn("_d", F.date_sub(F.lit("2002-01-01").cast("date"), F.col("days_since_order"))), "_d")

@@ -92,7 +92,7 @@ def apply_plan(df: DataFrame, decisions: list[tuple[str, str]], run_date: str,
 
 def plan_decisions(plan: DataFrame, table_name: str) -> list[tuple[str, str]]:
     """The plan rows of one table (bounded by its column count)."""
-    rows = plan.where(F.col("table_name") == table_name).select("column_name", "transform").collect()
+    rows = plan.where(F.col("table_name") == table_name).select("column_name", "transform").collect()  # ≤ columns
     return sorted((r[0], r[1]) for r in rows)
 
 
