@@ -118,10 +118,15 @@ def test_completeness_and_order(spark, chain):
 
 
 def test_long_run_chain_and_verify(spark):
-    n = 20_000
+    n = 100_000
     rows = [(f"e{i}", "big", i, "step", "agent", "node", f"t{i:06d}", '{"i": %d}' % i) for i in range(1, n + 1)]
     ev = spark.createDataFrame(rows, "event_id string, run_id string, sequence_number long, event_type string, "
                                      "actor string, node_name string, timestamp_utc string, payload string")
     ch = au.build_chain(ev)
     v = au.verify_runs(ch).collect()[0]
     assert v.valid and v.event_count == n
+    # one changed payload deep inside the run is found at its sequence
+    bad = ch.withColumn("payload", F.when(F.col("sequence_number") == 77_777, F.lit('{"i": 0}'))
+                        .otherwise(F.col("payload")))
+    v = au.verify_runs(bad).collect()[0]
+    assert (v.valid, v.tampered_at_sequence, v.reason) == (False, 77_777, "hash_mismatch")

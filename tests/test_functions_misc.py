@@ -70,6 +70,8 @@ def test_model_registry_and_regression(spark):
     loaded = ml.load_model_by_alias(spark, f"{base}/registry", "m", "Champion")
     scored = ml.score(loaded, df.withColumn("k", F.col("a")), ["k"], "m", "2024-01-01")
     assert scored.count() == 200 and set(scored.columns) >= {"k", "prediction", "score_date", "model_name"}
+    # every score row keeps its key (no row-id join)
+    assert scored.select("k").exceptAll(df.select(F.col("a").alias("k"))).count() == 0
 
 
 def test_impute_median(spark):
