@@ -23,8 +23,8 @@ lines AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 ),
 dates AS (
-  SELECT DISTINCT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, year(d) AS year,
-         month(d) AS month, quarter(d) AS quarter
+  SELECT DISTINCT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, CAST(year(d) AS INTEGER) AS year,
+         CAST(month(d) AS INTEGER) AS month, CAST(quarter(d) AS INTEGER) AS quarter
   FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)
 ),
 cust AS (
@@ -35,7 +35,7 @@ prod AS (SELECT p_partkey AS product_id, p_type AS product_category, p_retailpri
 star AS (
   SELECT l.*, d.year, d.month, d.quarter, c.country, c.segment, p.product_price, p.product_category,
          CAST(try_strptime(CAST(l.date_id AS VARCHAR), '%Y%m%d') AS DATE) AS order_date,
-         date_diff('day', CAST(try_strptime(CAST(l.date_id AS VARCHAR), '%Y%m%d') AS DATE), DATE '{RUN_DATE}') AS days_since_order
+         CAST(date_diff('day', CAST(try_strptime(CAST(l.date_id AS VARCHAR), '%Y%m%d') AS DATE), DATE '{RUN_DATE}') AS INTEGER) AS days_since_order
   FROM lines l
   LEFT JOIN dates d ON l.date_id = d.date_id
   LEFT JOIN cust c ON l.customer_id = c.customer_id
@@ -98,8 +98,8 @@ fl AS (SELECT customer_id, min(order_date) AS first_order_date, max(order_date)
        FROM star GROUP BY customer_id)
 SELECT s.order_id, s.line_number, s.customer_id, s.product_id, s.supplier_id, s.quantity, s.revenue,
        s.order_date, fl.first_order_date, fl.last_order_date,
-       date_diff('day', fl.first_order_date, s.order_date) AS days_since_first_order,
-       date_diff('day', fl.last_order_date, DATE '{RUN_DATE}') AS days_since_last_order
+       CAST(date_diff('day', fl.first_order_date, s.order_date) AS INTEGER) AS days_since_first_order,
+       CAST(date_diff('day', fl.last_order_date, DATE '{RUN_DATE}') AS INTEGER) AS days_since_last_order
 FROM star s LEFT JOIN fl ON s.customer_id = fl.customer_id
 """
 
@@ -230,8 +230,8 @@ lab AS (
 feat AS (
   SELECT h.*, p.product_total_sales, p.product_purchase_count, p.product_avg_quantity_per_order,
          c.category_popularity_rank, lab.product_id_label,
-         date_diff('day', h.first_order_date, h.order_date) AS days_since_first_order,
-         date_diff('day', h.last_order_date, DATE '{RUN_DATE}') AS days_since_last_order
+         CAST(date_diff('day', h.first_order_date, h.order_date) AS INTEGER) AS days_since_first_order,
+         CAST(date_diff('day', h.last_order_date, DATE '{RUN_DATE}') AS INTEGER) AS days_since_last_order
   FROM hist h
   LEFT JOIN pagg p ON h.product_id = p.product_id
   LEFT JOIN cagg c ON h.product_category IS NOT DISTINCT FROM c.product_category
@@ -284,7 +284,7 @@ ORACLES["baseline_scores_write_verify"] = f"""WITH {STAR_CTE}
 SELECT '{RUN_DATE}' AS score_date, count(*) AS written_rows, count(*) AS read_rows, true AS verified FROM star"""
 
 ORACLES["sql_segment_revenue"] = """
-SELECT c.c_mktsegment AS segment, year(o.o_orderdate) AS order_year,
+SELECT c.c_mktsegment AS segment, CAST(year(o.o_orderdate) AS INTEGER) AS order_year,
        CAST(sum(CAST(l.l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue,
        count(*) AS lines
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey

@@ -243,8 +243,8 @@ FROM split s, maj WHERE s.split = 'test'""",
     "baseline_class_report": f"""WITH {STAR_CTE},
 p AS (SELECT product_category AS y, lag(product_category) OVER (PARTITION BY customer_id ORDER BY {ORDER_BY}) AS yhat FROM star),
 cm AS (SELECT y, yhat, count(*) AS c FROM p WHERE yhat IS NOT NULL GROUP BY y, yhat),
-sup AS (SELECT y AS cls, sum(c) AS support FROM cm GROUP BY y),
-prd AS (SELECT yhat AS cls, sum(c) AS predicted FROM cm GROUP BY yhat),
+sup AS (SELECT y AS cls, CAST(sum(c) AS BIGINT) AS support FROM cm GROUP BY y),
+prd AS (SELECT yhat AS cls, CAST(sum(c) AS BIGINT) AS predicted FROM cm GROUP BY yhat),
 tp AS (SELECT y AS cls, c AS tp FROM cm WHERE y = yhat),
 r AS (SELECT coalesce(sup.cls, prd.cls) AS cls, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted
       FROM sup FULL JOIN prd ON sup.cls = prd.cls),
@@ -264,7 +264,7 @@ SELECT round(sqrt(avg((q - quantity) * (q - quantity))), 6) AS rmse, count(q - q
 WITH h AS (SELECT l_discount AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS p,
                   count(*) FILTER (WHERE l_returnflag <> 'R') AS n FROM lineitem GROUP BY l_discount),
 c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM h)
-SELECT CAST(sum(p * (nb * 2 + n)) AS DOUBLE) / CAST(sum(p) * sum(n) * 2 AS DOUBLE) AS auc, sum(p) AS "P", sum(n) AS "N" FROM c""",
+SELECT CAST(sum(p * (nb * 2 + n)) AS DOUBLE) / CAST(sum(p) * sum(n) * 2 AS DOUBLE) AS auc, CAST(sum(p) AS BIGINT) AS "P", CAST(sum(n) AS BIGINT) AS "N" FROM c""",
     "revenue_drift_psi": f"""WITH {STAR_CTE},
 rng AS (SELECT min(revenue) AS lo, max(revenue) AS hi FROM star WHERE order_date < DATE '{DRIFT_CUT}'),
 b AS (SELECT CASE WHEN order_date < DATE '{DRIFT_CUT}' THEN 'e' ELSE 'a' END AS side,
@@ -277,7 +277,7 @@ j AS (SELECT greatest(coalesce((SELECT share FROM sh WHERE side = 'e' AND sh.buc
       FROM allb)
 SELECT round(sum((a - e) * ln(a / e)), 6) AS psi FROM j""",
     "transform_orders": f"""
-SELECT CAST(o_custkey AS DOUBLE) AS o_custkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '{TRANSFORM_RUN_DATE}') AS o_orderdate_days_since,
+SELECT CAST(o_custkey AS DOUBLE) AS o_custkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '{TRANSFORM_RUN_DATE}') AS INTEGER) AS o_orderdate_days_since,
        CAST(o_orderkey AS DOUBLE) AS o_orderkey, {_oh('o_orderpriority', ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])},
        {_oh('o_orderstatus', ['F', 'O', 'P'])}, coalesce(o_totalprice, 0.0) AS o_totalprice
 FROM orders""",
@@ -293,7 +293,7 @@ SELECT b.l AS p_brand_label, n.l AS p_name_label, CAST(p_partkey AS DOUBLE) AS p
 FROM part LEFT JOIN {_lab('p_brand', 'part')} b ON part.p_brand = b.v LEFT JOIN {_lab('p_name', 'part')} n ON part.p_name = n.v""",
     "transform_events": f"""
 SELECT event_id, {_oh('event_type', ['click', 'error', 'purchase', 'signup', 'view'])},
-       pl.l AS props_label, date_diff('day', CAST(ts AS DATE), DATE '{TRANSFORM_RUN_DATE}') AS ts_days_since,
+       pl.l AS props_label, CAST(date_diff('day', CAST(ts AS DATE), DATE '{TRANSFORM_RUN_DATE}') AS INTEGER) AS ts_days_since,
        coalesce(value, 0.0) AS value
 FROM events LEFT JOIN {_lab('props', 'events')} pl ON events.props = pl.v""",
 }

@@ -63,7 +63,7 @@ WHERE rn <= 5""",
 SELECT conv_id,
        arg_max(turn, row(turn = 3, -turn)) AS turn,
        arg_max(role, row(turn = 3, -turn)) AS role,
-       arg_max(length(text), row(turn = 3, -turn)) AS chars,
+       CAST(arg_max(length(text), row(turn = 3, -turn)) AS INTEGER) AS chars,
        max(CASE WHEN turn = 3 THEN 1 ELSE 0 END) = 1 AS was_chosen
 FROM conversations GROUP BY conv_id""",
     "opportunity_ranking": f"""WITH {_inventory_cte()}, {_profile_cte()},
@@ -75,7 +75,7 @@ t AS (SELECT i.name, i.row_count, i.column_count, round(r.fill, 9) AS readiness_
              round(log10(CAST(i.row_count AS DOUBLE) + 1) * (r.fill * (1 + r.has_date * r.has_label))
                    / CAST(i.column_count AS DOUBLE), 9) AS score
       FROM inv i JOIN r ON i.name = r.table_name)
-SELECT *, row_number() OVER (ORDER BY score DESC, name ASC) AS rank FROM t""",
+SELECT *, CAST(row_number() OVER (ORDER BY score DESC, name ASC) AS INTEGER) AS rank FROM t""",
     "first_tables": f"WITH {_inventory_cte()} SELECT name, row_count, column_count FROM inv ORDER BY name LIMIT 20",
     "explicit_plan_transform": """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('R') THEN 1 ELSE 0 END AS target,
