@@ -18,10 +18,13 @@ METRIC_DIGITS = 6
 
 
 def _one_row_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Attach a single-row frame to every row (equi-join on a constant key;
-    the single row is broadcast — its size is one row)."""
-    return left.withColumn("_one", F.lit(1)).join(
-        F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the values of a single-row aggregate to every row: the row is
+    read once (a scalar result, like any global aggregate) and added as typed
+    literals — no join at all."""
+    row = right.first()
+    cols = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name)
+            for f in right.schema.fields]
+    return left.select("*", *cols)
 
 
 # ---------------------------------------------------------------- splits

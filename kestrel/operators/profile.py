@@ -146,14 +146,16 @@ def relationship_candidates(spark: SparkSession, sf_dir: str, columns: DataFrame
         child = table(spark, sf_dir, ct).select(F.col(cc).alias("v"))
         parent = table(spark, sf_dir, pt).select(F.col(pc).alias("v"))
         pdist = parent.where(F.col("v").isNotNull()).distinct().withColumn("_hit", F.lit(True))
-        c_side = child.join(pdist, "v", "left").agg(
-            F.count(F.lit(1)).alias("child_rows"),
-            F.count_if(F.col("v").isNotNull() & F.col("_hit").isNull()).alias("orphans"),
-            F.lit(1).alias("_k"))
-        p_side = parent.agg(F.count(F.lit(1)).alias("parent_rows"),
-                            F.count_distinct("v").alias("parent_distinct"), F.lit(1).alias("_k"))
-        # both sides are single rows: an equi-join on a constant key
-        frames.append(c_side.join(p_side, "_k").select(
+        c_side = child.join(pdist, "v", "left").select(
+            F.lit(1).alias("_r"), F.lit(None).cast("long").alias("_p"), F.lit(None).alias("v"),
+            (F.col("v").isNotNull() & F.col("_hit").isNull()).cast("int").alias("_o"))
+        p_side = parent.select(F.lit(None).cast("int").alias("_r"), F.lit(1).cast("long").alias("_p"),
+                               F.col("v"), F.lit(None).cast("int").alias("_o"))
+        # one union and one global aggregate: child rows, orphans, parent rows
+        # and parent distinct values in a single row, no join of the two sides
+        frames.append(c_side.unionByName(p_side).agg(
+            F.count("_r").alias("child_rows"), F.coalesce(F.sum("_o"), F.lit(0)).cast("long").alias("orphans"),
+            F.count("_p").alias("parent_rows"), F.count_distinct("v").alias("parent_distinct")).select(
             F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"),
             F.lit(pt).alias("parent_table"), F.lit(pc).alias("parent_column"),
             "child_rows", "orphans", "parent_rows", "parent_distinct"))

@@ -23,8 +23,15 @@ def _events(spark, sf_dir) -> DataFrame:
     return au.events_as_audit(table(spark, sf_dir, "events"))
 
 
-def _chain(spark, sf_dir) -> DataFrame:
-    return au.build_chain(_events(spark, sf_dir))
+def _chain(spark, sf_dir, materialize: bool = True) -> DataFrame:
+    """The chained trail, written once to the shared checkpoint folder when
+    a query reads it more than once (the chain is the expensive, sequential
+    step)."""
+    c = au.build_chain(_events(spark, sf_dir))
+    if materialize:
+        from kestrel.session import cut_lineage
+        c = cut_lineage(c)
+    return c
 
 
 def _tampered(spark, sf_dir) -> DataFrame:
@@ -46,7 +53,7 @@ def audit_events(spark, sf_dir):
 
 
 def audit_chain(spark, sf_dir):
-    return _chain(spark, sf_dir)
+    return _chain(spark, sf_dir, materialize=False)
 
 
 def audit_verify(spark, sf_dir):

@@ -34,14 +34,14 @@ def class_weights(spark, sf_dir):
 
 
 def target_distribution(spark, sf_dir):
-    return md.value_distribution(_enriched(spark, sf_dir), "product_id", 20)
+    return md.value_distribution(_enriched(spark, sf_dir, materialize=False), "product_id", 20)
 
 
 SUMMARY_COLS = ["quantity", "revenue", "year", "product_price", "days_since_order"]
 
 
 def numeric_summary(spark, sf_dir):
-    return md.numeric_summary(_enriched(spark, sf_dir), SUMMARY_COLS)
+    return md.numeric_summary(_enriched(spark, sf_dir, materialize=False), SUMMARY_COLS)
 
 
 def baseline_accuracy(spark, sf_dir):
