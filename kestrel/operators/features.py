@@ -277,7 +277,7 @@ def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
     return out.where(F.col("product_id_label").isNotNull())
 
 
-def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
+def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool = True) -> DataFrame:
     """W1–W6, W9, A1, F2, F6 and the prior average price in ONE shuffle of
     the fact.
 
@@ -323,12 +323,14 @@ def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
           ("h_n", "h_nr", "h_sr", "h_ssr", "h_nq", "h_sq", "h_np", "h_sp", "h_up", "h_uc")],
         F.max("h_mq").over(wp).alias("c_mq"),
         F.min(d).over(wa).alias("first_order_date"), F.max(d).over(wa).alias("last_order_date"))
-    cat_hist = e.groupBy(c, "product_category", d).agg(F.count("order_id").alias("_k"))
-    wcat = Window.partitionBy(c, "product_category").orderBy(F.asc_nulls_first(d)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    cat_carry = (cat_hist.select(c, "product_category", d, F.coalesce(F.sum("_k").over(wcat), F.lit(0)).alias("_cc"))
-                 .groupBy(*keys).agg(F.collect_list(F.struct(F.col("product_category").alias("cat"),
-                                                             F.col("_cc").alias("n"))).alias("cat_carry")))
+    if affinity:
+        cat_hist = e.groupBy(c, "product_category", d).agg(F.count("order_id").alias("_k"))
+        wcat = Window.partitionBy(c, "product_category").orderBy(F.asc_nulls_first(d)).rowsBetween(
+            Window.unboundedPreceding, -1)
+        cat_carry = (cat_hist.select(c, "product_category", d,
+                                     F.coalesce(F.sum("_k").over(wcat), F.lit(0)).alias("_cc"))
+                     .groupBy(*keys).agg(F.collect_list(F.struct(F.col("product_category").alias("cat"),
+                                                                 F.col("_cc").alias("n"))).alias("cat_carry")))
 
     # -------- row windows inside the (customer, day) partitions
     o = [F.col(x) for x in rest] or [F.col(d)]
@@ -339,8 +341,10 @@ def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
     r = rows.select("*",
                     (F.row_number().over(w_p) == 1).alias("_fp_day"),
                     (F.row_number().over(w_c) == 1).alias("_fc_day"),
-                    F.count("order_id").over(w_cat).alias("_cat_local"))
-    r = r.join(carry, keys, "left").join(cat_carry, keys, "left")
+                    *([F.count("order_id").over(w_cat).alias("_cat_local")] if affinity else []))
+    r = r.join(carry, keys, "left")
+    if affinity:
+        r = r.join(cat_carry, keys, "left")
     r = r.withColumn("_new_p", F.when(F.col("_fp_day") & F.array_contains(F.col("new_products"), F.col("product_id")), 1))
     r = r.withColumn("_new_c", F.when(F.col("_fc_day") & F.col("product_category").isNotNull()
                                       & F.array_contains(F.col("new_categories"), F.col("product_category")), 1))
@@ -365,9 +369,14 @@ def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
     sp = F.when(np_ > 0, tot("sp", True)).cast("double")
     from kestrel.operators.windows import _std
     ref = F.lit(run_date).cast("date")
-    cat_prior = F.coalesce(F.element_at(F.filter("cat_carry", lambda x: x["cat"].eqNullSafe(F.col("product_category"))), 1)["n"], F.lit(0))
-    cat_count = (F.col("_cat_local") + cat_prior).cast("long")
     total_orders = n.cast("long")
+    affinity_cols = []
+    if affinity:
+        cat_prior = F.coalesce(F.element_at(F.filter(
+            "cat_carry", lambda x: x["cat"].eqNullSafe(F.col("product_category"))), 1)["n"], F.lit(0))
+        cat_count = (F.col("_cat_local") + cat_prior).cast("long")
+        affinity_cols = [cat_count.alias("customer_category_purchase_count"),
+                         F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before")]
     out = r.select(
         *e.columns,
         total_orders.alias("customer_total_orders"),
@@ -382,7 +391,6 @@ def customer_features(e: DataFrame, order_keys, run_date: str) -> DataFrame:
         "first_order_date", "last_order_date",
         F.datediff(d, "first_order_date").alias("days_since_first_order"),
         F.datediff(ref, F.col("last_order_date")).alias("days_since_last_order"),
-        cat_count.alias("customer_category_purchase_count"),
-        F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before"))
+        *affinity_cols)
     return out.withColumn("order_frequency_days", ratio_or_zero(
         F.col("customer_total_orders") > 1, "days_since_first_order", "customer_total_orders"))

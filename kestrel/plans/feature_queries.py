@@ -46,7 +46,7 @@ HISTORY_COLS = ["customer_total_orders", "customer_total_revenue", "customer_tot
 def prior_customer_history(spark, sf_dir, skew_split: bool = True):
     """What had this customer bought before this line?"""
     e = _enriched(spark, sf_dir)
-    f = (fx.customer_features(e, ss.ORDER_KEYS, RUN_DATE) if skew_split
+    f = (fx.customer_features(e, ss.ORDER_KEYS, RUN_DATE, affinity=False) if skew_split
          else fx.prior_customer_history(e, ss.ORDER_KEYS, False))
     return f.select("order_id", "line_number", "customer_id", "product_id", "supplier_id",
                     "order_date", "quantity", "revenue", *HISTORY_COLS)
