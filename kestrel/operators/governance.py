@@ -16,11 +16,35 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.scalars import readiness
 
-# The scorecard checks, in report order, with their texts.
+# The scorecard checks in report order, and every text the
+# checks and the overall summary produce ("{}" marks an inserted value).
 CHECKS = [
     "Train/test split", "Class imbalance", "High-cardinality features", "UC access grants",
     "MLflow + UC registry", "Job-safe parameters", "Rollback path", "Estimated compute cost",
 ]
+TEXTS = {
+    "split_temporal": "Temporal split on '{}' — no data leakage",
+    "split_random_series": "Random split on time-series data — consider temporal split",
+    "split_applied": "{} split applied",
+    "imbalance_weighted": "Imbalance detected ({}), handled via class_weight",
+    "imbalance_unhandled": "Imbalance detected ({}) but no strategy set — model may predict majority class",
+    "balanced": "Dataset appears balanced",
+    "high_card": "Detected and handled: {}",
+    "high_card_none": "None detected",
+    "grants_yes": "GRANT SELECT statements included in notebooks",
+    "grants_no": "No GRANT statements found — downstream consumers may lack access",
+    "tracking_full": "MLflow tracking enabled, model registered in Unity Catalog",
+    "tracking_partial": "MLflow present but UC registry not confirmed",
+    "tracking_none": "MLflow tracking not found in generated code",
+    "widgets_yes": "dbutils.widgets used — notebooks safe for both interactive and job runs",
+    "widgets_no": "Hardcoded values detected — notebooks may fail as scheduled jobs",
+    "alias_yes": "Champion alias set in UC Model Registry — reassign alias to roll back",
+    "alias_no": "No Champion alias found — rollback requires manual version management",
+    "cost": "{} per full run (feature + training + inference)",
+    "summary_blocked": "{} critical issue(s) must be resolved before deployment.",
+    "summary_review": "{} warning(s) to review — deployment can proceed with awareness.",
+    "summary_ready": "All checks passed. Code is ready to deploy.",
+}
 GRANT_NEEDLE = "GRANT SELECT"
 TRACKING_NEEDLE = "mlflow"            # matched on lower-cased text
 REGISTRY_NEEDLE = "databricks-uc"
@@ -58,6 +82,15 @@ def class_balance(labels: DataFrame, group: str, label: str, rate: float = IMBAL
         F.try_divide(F.col("negatives").cast("double"), F.col("positives").cast("double")).alias("scale_pos_weight"))
 
 
+def _text(key: str, *values: Column) -> Column:
+    """A fixed text with its ``{}`` slots filled by columns."""
+    pieces = TEXTS[key].split("{}")
+    out = [F.lit(pieces[0])]
+    for v, rest in zip(values, pieces[1:]):
+        out += [v, F.lit(rest)]
+    return F.concat(*out) if len(out) > 1 else out[0]
+
+
 def _item(order: int, check: str, status: Column, detail: Column) -> Column:
     return F.struct(F.lit(order).alias("check_order"), F.lit(check).alias("check"),
                     status.alias("status"), detail.alias("detail"))
@@ -78,43 +111,32 @@ def scorecard_items(plans: DataFrame, flags: DataFrame) -> DataFrame:
         _item(1, CHECKS[0],
               F.when((split == "random") & (F.col("ml_type") == "forecasting"), "warn").otherwise("pass"),
               F.when((split == "temporal") & F.col("split_column").isNotNull(),
-                     F.concat(F.lit("Temporal split on '"), F.col("split_column"), F.lit("' — no data leakage")))
-               .when((split == "random") & (F.col("ml_type") == "forecasting"),
-                     F.lit("Random split on time-series data — consider temporal split"))
-               .otherwise(F.concat(F.initcap(F.coalesce(split, F.lit("random"))), F.lit(" split applied")))),
+                     _text("split_temporal", F.col("split_column")))
+               .when((split == "random") & (F.col("ml_type") == "forecasting"), _text("split_random_series"))
+               .otherwise(_text("split_applied", F.initcap(F.coalesce(split, F.lit("random")))))),
         _item(2, CHECKS[1],
               F.when((F.col("balance_type") == "imbalanced") & (F.col("balance_strategy") == "none"), "warn")
                .otherwise("pass"),
               F.when((F.col("balance_type") == "imbalanced") & (F.col("balance_strategy") == "class_weight"),
-                     F.concat(F.lit("Imbalance detected ("), ratio, F.lit("), handled via class_weight")))
+                     _text("imbalance_weighted", ratio))
                .when((F.col("balance_type") == "imbalanced") & (F.col("balance_strategy") == "none"),
-                     F.concat(F.lit("Imbalance detected ("), ratio,
-                              F.lit(") but no strategy set — model may predict majority class")))
-               .otherwise(F.lit("Dataset appears balanced"))),
+                     _text("imbalance_unhandled", ratio))
+               .otherwise(_text("balanced"))),
         _item(3, CHECKS[2], F.lit("pass"),
-              F.when(F.size(hc) > 0, F.concat(F.lit("Detected and handled: "), F.array_join(hc, ", ")))
-               .otherwise(F.lit("None detected"))),
+              F.when(F.size(hc) > 0, _text("high_card", F.array_join(hc, ", "))).otherwise(_text("high_card_none"))),
         _item(4, CHECKS[3], F.when(has["has_grants"], "pass").otherwise("warn"),
-              F.when(has["has_grants"], F.lit("GRANT SELECT statements included in notebooks"))
-               .otherwise(F.lit("No GRANT statements found — downstream consumers may lack access"))),
+              F.when(has["has_grants"], _text("grants_yes")).otherwise(_text("grants_no"))),
         _item(5, CHECKS[4],
               F.when(has["has_tracking"] & has["has_registry"], "pass")
                .when(has["has_tracking"], "warn").otherwise("fail"),
-              F.when(has["has_tracking"] & has["has_registry"],
-                     F.lit("MLflow tracking enabled, model registered in Unity Catalog"))
-               .when(has["has_tracking"], F.lit("MLflow present but UC registry not confirmed"))
-               .otherwise(F.lit("MLflow tracking not found in generated code"))),
+              F.when(has["has_tracking"] & has["has_registry"], _text("tracking_full"))
+               .when(has["has_tracking"], _text("tracking_partial")).otherwise(_text("tracking_none"))),
         _item(6, CHECKS[5], F.when(has["has_widgets"], "pass").otherwise("fail"),
-              F.when(has["has_widgets"],
-                     F.lit("dbutils.widgets used — notebooks safe for both interactive and job runs"))
-               .otherwise(F.lit("Hardcoded values detected — notebooks may fail as scheduled jobs"))),
+              F.when(has["has_widgets"], _text("widgets_yes")).otherwise(_text("widgets_no"))),
         _item(7, CHECKS[6], F.when(has["has_alias"], "pass").otherwise("warn"),
-              F.when(has["has_alias"],
-                     F.lit("Champion alias set in UC Model Registry — reassign alias to roll back"))
-               .otherwise(F.lit("No Champion alias found — rollback requires manual version management"))),
+              F.when(has["has_alias"], _text("alias_yes")).otherwise(_text("alias_no"))),
         _item(8, CHECKS[7], F.lit("pass"),
-              F.concat(F.coalesce(F.col("estimated_cost"), F.lit("Unknown")),
-                       F.lit(" per full run (feature + training + inference)"))),
+              _text("cost", F.coalesce(F.col("estimated_cost"), F.lit("Unknown")))),
     )
     return p.select("run_id", F.inline(items))
 
@@ -127,11 +149,9 @@ def scorecard_overall(items: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "warn").alias("warn_count"),
         F.count_if(F.col("status") == "pass").alias("pass_count"))
     overall = readiness("fail_count", "warn_count")
-    summary = (F.when(F.col("fail_count") > 0, F.concat(F.col("fail_count").cast("string"),
-                      F.lit(" critical issue(s) must be resolved before deployment.")))
-               .when(F.col("warn_count") > 0, F.concat(F.col("warn_count").cast("string"),
-                     F.lit(" warning(s) to review — deployment can proceed with awareness.")))
-               .otherwise(F.lit("All checks passed. Code is ready to deploy.")))
+    summary = (F.when(F.col("fail_count") > 0, _text("summary_blocked", F.col("fail_count").cast("string")))
+               .when(F.col("warn_count") > 0, _text("summary_review", F.col("warn_count").cast("string")))
+               .otherwise(_text("summary_ready")))
     return agg.select("*", overall.alias("overall"), summary.alias("summary"))
 
 
