@@ -141,25 +141,29 @@ def relationship_candidates(spark: SparkSession, sf_dir: str, columns: DataFrame
         for ct, cc, cb in keyish:
             if pt != ct and pb == cb and (pc.startswith(pt[0] + "_") or pc == cc):
                 pairs.append((ct, cc, pt, pc))
-    frames = []
-    for ct, cc, pt, pc in sorted(set(pairs)):
-        child = table(spark, sf_dir, ct).select(F.col(cc).alias("v"))
-        parent = table(spark, sf_dir, pt).select(F.col(pc).alias("v"))
-        pdist = parent.where(F.col("v").isNotNull()).distinct().withColumn("_hit", F.lit(True))
-        c_side = child.join(pdist, "v", "left").select(
-            F.lit(1).alias("_r"), F.lit(None).cast("long").alias("_p"), F.lit(None).alias("v"),
-            (F.col("v").isNotNull() & F.col("_hit").isNull()).cast("int").alias("_o"))
-        p_side = parent.select(F.lit(None).cast("int").alias("_r"), F.lit(1).cast("long").alias("_p"),
-                               F.col("v"), F.lit(None).cast("int").alias("_o"))
-        # one union and one global aggregate: child rows, orphans, parent rows
-        # and parent distinct values in a single row, no join of the two sides
-        frames.append(c_side.unionByName(p_side).agg(
-            F.count("_r").alias("child_rows"), F.coalesce(F.sum("_o"), F.lit(0)).cast("long").alias("orphans"),
-            F.count("_p").alias("parent_rows"), F.count_distinct("v").alias("parent_distinct")).select(
-            F.lit(ct).alias("child_table"), F.lit(cc).alias("child_column"),
-            F.lit(pt).alias("parent_table"), F.lit(pc).alias("parent_column"),
-            "child_rows", "orphans", "parent_rows", "parent_distinct"))
-    out = reduce(DataFrame.unionByName, frames)
+    pairs = sorted(set(pairs))
+    # Every pair's child and parent values in ONE union, tagged with the pair
+    # id; one aggregation per (pair, value) then one per pair gives child rows,
+    # orphans, parent rows and parent distinct values — one shuffle in all.
+    sides = []
+    for i, (ct, cc, pt, pc) in enumerate(pairs):
+        sides.append(table(spark, sf_dir, ct).select(F.lit(i).alias("pair"), F.col(cc).cast("string").alias("v"),
+                                                     F.lit(1).alias("c"), F.lit(0).alias("p")))
+        sides.append(table(spark, sf_dir, pt).select(F.lit(i).alias("pair"), F.col(pc).cast("string").alias("v"),
+                                                     F.lit(0).alias("c"), F.lit(1).alias("p")))
+    per_value = reduce(DataFrame.unionByName, sides).groupBy("pair", "v").agg(
+        F.sum("c").alias("nc"), F.sum("p").alias("np"))
+    per_pair = per_value.groupBy("pair").agg(
+        F.sum("nc").cast("long").alias("child_rows"),
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull() & (F.col("np") == 0), F.col("nc"))), F.lit(0))
+        .cast("long").alias("orphans"),
+        F.sum("np").cast("long").alias("parent_rows"),
+        F.count_if(F.col("v").isNotNull() & (F.col("np") > 0)).alias("parent_distinct"))
+    names = F.array(*[F.array(*[F.lit(x) for x in pr_]) for pr_ in pairs])
+    nm = F.element_at(names, F.col("pair") + 1)
+    out = per_pair.select(nm[0].alias("child_table"), nm[1].alias("child_column"),
+                          nm[2].alias("parent_table"), nm[3].alias("parent_column"),
+                          "child_rows", "orphans", "parent_rows", "parent_distinct")
     return out.withColumn("is_foreign_key", (F.col("orphans") == 0)
                           & (F.col("parent_rows") == F.col("parent_distinct")))
 
