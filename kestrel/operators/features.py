@@ -345,9 +345,18 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
     r = r.join(carry, keys, "left")
     if affinity:
         r = r.join(cat_carry, keys, "left")
-    r = r.withColumn("_new_p", F.when(F.col("_fp_day") & F.array_contains(F.col("new_products"), F.col("product_id")), 1))
-    r = r.withColumn("_new_c", F.when(F.col("_fc_day") & F.col("product_category").isNotNull()
-                                      & F.array_contains(F.col("new_categories"), F.col("product_category")), 1))
+    # Evaluate every lookup into the joined per-day arrays right here and drop
+    # the arrays, so no row carries them into the window sort below.
+    lookups = [
+        F.when(F.col("_fp_day") & F.array_contains(F.col("new_products"), F.col("product_id")), 1).alias("_new_p"),
+        F.when(F.col("_fc_day") & F.col("product_category").isNotNull()
+               & F.array_contains(F.col("new_categories"), F.col("product_category")), 1).alias("_new_c")]
+    if affinity:
+        lookups.append(F.coalesce(F.element_at(F.filter(
+            "cat_carry", lambda x: x["cat"].eqNullSafe(F.col("product_category"))), 1)["n"], F.lit(0))
+            .alias("_cat_prior"))
+    arrays = {"new_products", "new_categories", "cat_carry"}
+    r = r.select(*[x for x in r.columns if x not in arrays], *lookups)
     r = r.select("*",
                  F.count("order_id").over(w).alias("l_n"), F.count(rev).over(w).alias("l_nr"),
                  F.sum(dec(rev)).over(w).alias("l_sr"), F.sum(dec(rev) * dec(rev)).over(w).alias("l_ssr"),
@@ -372,9 +381,7 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
     total_orders = n.cast("long")
     affinity_cols = []
     if affinity:
-        cat_prior = F.coalesce(F.element_at(F.filter(
-            "cat_carry", lambda x: x["cat"].eqNullSafe(F.col("product_category"))), 1)["n"], F.lit(0))
-        cat_count = (F.col("_cat_local") + cat_prior).cast("long")
+        cat_count = (F.col("_cat_local") + F.col("_cat_prior")).cast("long")
         affinity_cols = [cat_count.alias("customer_category_purchase_count"),
                          F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before")]
     out = r.select(
