@@ -88,8 +88,9 @@ def prior_customer_history(df: DataFrame, order_keys, skew_split: bool = False)
     df = df.withColumn("_ok", key)
     for grp, flag in (("product_id", "_first_product"), ("product_category", "_first_category")):
         firsts = df.groupBy("customer_id", grp).agg(F.min("_ok").alias(f"_min{flag}"))
+        # NULL values do not count as a distinct value (countDistinct semantics)
         df = (df.join(firsts, ["customer_id", grp], "left")
-                .withColumn(flag, F.when(F.col("_ok") == F.col(f"_min{flag}"), F.lit(1)))
+                .withColumn(flag, F.when(F.col(grp).isNotNull() & (F.col("_ok") == F.col(f"_min{flag}")), F.lit(1)))
                 .drop(f"_min{flag}"))
     df = df.drop("_ok")
 

@@ -66,7 +66,8 @@ WITH {STAR_CTE},
 flagged AS (
   SELECT *,
     CASE WHEN row_number() OVER (PARTITION BY customer_id, product_id ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fp,
-    CASE WHEN row_number() OVER (PARTITION BY customer_id, product_category ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fc
+    CASE WHEN product_category IS NOT NULL
+         AND row_number() OVER (PARTITION BY customer_id, product_category ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fc
   FROM star
 )
 SELECT {LINE_KEYS}, order_date, quantity, revenue,
@@ -186,7 +187,8 @@ WITH {STAR_CTE},
 flagged AS (
   SELECT *,
     CASE WHEN row_number() OVER (PARTITION BY customer_id, product_id ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fp,
-    CASE WHEN row_number() OVER (PARTITION BY customer_id, product_category ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fc
+    CASE WHEN product_category IS NOT NULL
+         AND row_number() OVER (PARTITION BY customer_id, product_category ORDER BY {ORDER_BY}) = 1 THEN 1 END AS fc
   FROM star
 ),
 hist AS (

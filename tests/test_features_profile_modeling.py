@@ -117,6 +117,9 @@ def test_single_shuffle_customer_features_equal_plain_windows_with_hot_customer(
     e = fq._enriched(spark, SF0001)
     # a third of the rows move to one customer
     e = e.withColumn("customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(-1)).otherwise(F.col("customer_id")))
+    # and some lines lose their category (NULLs are not a distinct value)
+    e = e.withColumn("product_category", F.when(F.col("order_id") % 7 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.col("product_category")))
     fast = fx.customer_features(e, ss.ORDER_KEYS, fq.RUN_DATE)
     slow = fx.category_affinity(fx.customer_recency(
         fx.prior_customer_history(e, ss.ORDER_KEYS, False), fq.RUN_DATE), ss.ORDER_KEYS, False)
