@@ -140,15 +140,21 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
 
 
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Per class support, precision, recall, F1 from the confusion
-    counts (a small table: one row per label/prediction pair)."""
+    """Per class support, predicted count, true positives, precision,
+    recall and F1 — one aggregation over the confusion counts, each count
+    viewed once as its true class and once as its predicted class (no
+    joins)."""
     cm = confusion(pred, label, prediction)
-    tp = cm.where(F.col("label") == F.col("prediction")).select(F.col("label").alias("cls"), F.col("count").alias("tp"))
-    sup = cm.groupBy(F.col("label").alias("cls")).agg(F.sum("count").alias("support"))
-    prd = cm.groupBy(F.col("prediction").alias("cls")).agg(F.sum("count").alias("predicted"))
-    r = sup.join(prd, "cls", "full").join(tp, "cls", "left").fillna(0, ["support", "predicted", "tp"])
-    precision = F.try_divide(F.col("tp").cast("double"), F.col("predicted").cast("double"))
-    recall = F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double"))
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("count")).otherwise(F.lit(0))
+    roles = F.array(
+        F.struct(F.col("label").alias("cls"), F.col("count").alias("s"), F.lit(0).cast("long").alias("p"),
+                 hit.cast("long").alias("t")),
+        F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("s"), F.col("count").alias("p"),
+                 F.lit(0).cast("long").alias("t")))
+    r = cm.select(F.inline(roles)).groupBy("cls").agg(
+        F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("t").alias("tp"))
+    precision = F.when(F.col("predicted") > 0, F.col("tp").cast("double") / F.col("predicted").cast("double"))
+    recall = F.when(F.col("support") > 0, F.col("tp").cast("double") / F.col("support").cast("double"))
     f1 = F.try_divide(F.lit(2.0) * precision * recall, precision + recall)
     return r.select("cls", "support", "predicted", "tp", precision.alias("precision"),
                     recall.alias("recall"), F.round(f1, METRIC_DIGITS).alias("f1"))

@@ -98,7 +98,7 @@ def customer_hash_bucket(spark, sf_dir):
 def product_label_index(spark, sf_dir):
     """product_id -> label by frequency (StringIndexer order)."""
     from kestrel.operators.ordering import frequency_index
-    return frequency_index(_enriched(spark, sf_dir), "product_id", "product_id_label")
+    return frequency_index(_enriched(spark, sf_dir, materialize=False), "product_id", "product_id_label")
 
 
 def feature_table(spark, sf_dir, skew_split: bool = True, extra_cols=()):
