@@ -18,12 +18,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.functions.exact import exact_avg, exact_stddev, exact_sum
+from kestrel.functions.exact import dec, exact_avg, exact_sum
 from kestrel.functions.scalars import (date_from_id, hash_bucket, ratio_or_zero,
                                        relative_gap_below, safe_name)
 from kestrel.operators.joins import bounded_broadcast, left_dimension_join
 from kestrel.operators.ordering import frequency_index_from_counts
-from kestrel.operators.windows import prior_frame
+from kestrel.operators.windows import _std, prior_frame
 
 # Aggregate feature columns filled with 0 when NULL.
 FILL_ZERO_COLS = [
@@ -301,7 +301,6 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
     rest = list(order_keys[1:])
     keys = [c, d]
     rev, qty, price = F.col("revenue"), F.col("quantity"), F.col("product_price")
-    from kestrel.functions.exact import dec
     rows = e.repartition(c, d)
 
     # -------- small tables keyed by (customer, day)
@@ -377,7 +376,6 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
     ssr = F.when(nr > 0, tot("ssr", True)).cast("double")
     sq = F.when(nq > 0, tot("sq", True)).cast("double")
     sp = F.when(np_ > 0, tot("sp", True)).cast("double")
-    from kestrel.operators.windows import _std
     ref = F.lit(run_date).cast("date")
     total_orders = n.cast("long")
     affinity_cols = []
