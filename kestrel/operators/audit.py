@@ -34,7 +34,6 @@ from kestrel.operators.windows import prior_frame
 GENESIS = "GENESIS"
 EVENT_FIELDS = ["event_id", "run_id", "sequence_number", "event_type", "actor",
                 "node_name", "timestamp_utc", "payload", "prev_hash", "event_hash"]
-REASON_RANK = {"hash_mismatch": 0, "chain_broken": 1}
 
 
 # --------------------------------------------------------------------------
