@@ -18,12 +18,13 @@ def _opts(skew_split: bool = True) -> fx.FeatureOptions:
 def _enriched(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """The enriched fact. Queries that read it more than once (aggregate and
     join back, split windows) get it materialised once in the shared
-    checkpoint folder instead of redoing the fact and dimension joins."""
+    checkpoint folder instead of redoing the fact and dimension joins — when
+    the inputs are large enough for that to pay off."""
     e = fx.enrich_orders(ss.order_lines(spark, sf_dir), ss.customers(spark, sf_dir),
                          ss.products(spark, sf_dir), ss.dates(spark, sf_dir), RUN_DATE)
     if materialize:
-        from kestrel.session import cut_lineage
-        e = cut_lineage(e)
+        from kestrel.session import materialize_if_large
+        e = materialize_if_large(e, "enriched")
     return e
 
 

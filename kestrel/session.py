@@ -69,3 +69,33 @@ def cut_lineage(df: DataFrame, name: str = "materialized") -> DataFrame:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+# Inputs smaller than this are recomputed rather than materialised: writing
+# and re-reading a table costs more than re-running a small join. Session
+# conf ``kestrel.materialize.minBytes`` overrides it.
+MATERIALIZE_MIN_BYTES = 256 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Sum of the sizes of the plan's leaf relations (file sizes for parquet
+    scans) — known before anything runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        total += int(str(leaves.apply(i).stats().sizeInBytes()))
+    return total
+
+
+def materialize_if_large(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """``cut_lineage`` when the input is large enough for a recomputation to
+    cost more than a write and a pruned re-read; otherwise ``df`` itself.
+    Use it only where materialising is an optimisation, never where a
+    branch needs identical rows (see ``ordering.global_ordinal``)."""
+    spark = df.sparkSession
+    threshold = int(spark.conf.get("kestrel.materialize.minBytes", str(MATERIALIZE_MIN_BYTES)))
+    try:
+        size = input_bytes(df)
+    except Exception:  # noqa: BLE001 — unknown size: materialise
+        size = threshold
+    return cut_lineage(df, name) if size >= threshold else df

@@ -130,3 +130,16 @@ def test_single_shuffle_customer_features_equal_plain_windows_with_hot_customer(
     a, b = fast.select(*cols), slow.select(*cols)
     assert a.count() == b.count() == e.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_materialised_and_recomputed_feature_tables_are_equal(spark):
+    a = fq.feature_table(spark, SF0001)                      # small input: recomputed
+    spark.conf.set("kestrel.materialize.minBytes", "0")      # force the parquet materialisation
+    try:
+        b = fq.feature_table(spark, SF0001)
+        plan_a = a._jdf.queryExecution().executedPlan().toString()
+        plan_b = b._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" in plan_a and "lineitem.parquet" not in plan_b   # b reads the written table
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    finally:
+        spark.conf.unset("kestrel.materialize.minBytes")
