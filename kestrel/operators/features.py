@@ -269,8 +269,9 @@ def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
     values) is taken from it too."""
     base = enrich_orders(orders, customers, products, dates, opts.run_date)
     if materialize:
-        from kestrel.session import materialize_if_large
-        base = materialize_if_large(base, "enriched")
+        # about ten branches read it: materialising pays off at any size
+        from kestrel.session import cut_lineage
+        base = cut_lineage(base, "enriched")
     onehots = onehot_columns(base, ONEHOT_FAMILIES, opts.max_onehot_values)
     f = feature_frame(orders, customers, products, dates, opts, enriched=base)
     f = f.withColumn("run_date", F.lit(opts.run_date))

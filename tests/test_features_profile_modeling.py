@@ -132,14 +132,18 @@ def test_single_shuffle_customer_features_equal_plain_windows_with_hot_customer(
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_materialised_and_recomputed_feature_tables_are_equal(spark):
-    a = fq.feature_table(spark, SF0001)                      # small input: recomputed
+def test_materialised_and_recomputed_inputs_give_equal_results(spark):
+    a = fq.prior_customer_history(spark, SF0001)             # small input: recomputed
     spark.conf.set("kestrel.materialize.minBytes", "0")      # force the parquet materialisation
     try:
-        b = fq.feature_table(spark, SF0001)
+        b = fq.prior_customer_history(spark, SF0001)
         plan_a = a._jdf.queryExecution().executedPlan().toString()
         plan_b = b._jdf.queryExecution().executedPlan().toString()
         assert "lineitem.parquet" in plan_a and "lineitem.parquet" not in plan_b   # b reads the written table
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
         spark.conf.unset("kestrel.materialize.minBytes")
+    c = fx.feature_table(ss.order_lines(spark, SF0001), ss.customers(spark, SF0001), ss.products(spark, SF0001),
+                         ss.dates(spark, SF0001), fq._opts(True), (), materialize=False)
+    d = fq.feature_table(spark, SF0001)
+    assert c.exceptAll(d).count() == 0 and d.exceptAll(c).count() == 0
