@@ -36,7 +36,8 @@ def temporal_split(df: DataFrame, date_col: str, train_share: float = 0.8) -> Da
     hist = df.groupBy(date_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(date_col).rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.select(date_col, F.sum("_n").over(w).alias("_cum"), F.sum("_n").over(Window.partitionBy()).alias("_tot"))
-    cut = hist.where(F.col("_cum") * 10 >= F.col("_tot") * int(round(train_share * 10))) \
+    # exact integer test of cum / tot >= share, share in thousandths
+    cut = hist.where(F.col("_cum") * 1000 >= F.col("_tot") * int(round(train_share * 1000))) \
               .agg(F.min(date_col).alias("split_cut"))
     out = _one_row_join(df, cut)
     return out.withColumn("split", F.when(F.col(date_col) <= F.col("split_cut"), "train").otherwise("test"))
