@@ -42,3 +42,11 @@ def test_sessions_batch_match_session_window(spark):
     a = ew.sessions_batch(ev)
     b = ew.sessions(ev.withColumn("ts", F.col("ts").cast("timestamp")))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_closed_sessions_stream_emits_only_final_sessions(spark):
+    out = ew.stream_sessions_closed(ai.event_stream(spark, SF0001))
+    batch = ew.sessions_batch(spark.read.parquet(f"{SF0001}/events.parquet"))
+    n_out, n_all = out.count(), batch.count()
+    # sessions still inside the watermark stay in state; every emitted one is final
+    assert 0 < n_out <= n_all and out.exceptAll(batch).count() == 0
