@@ -63,6 +63,7 @@ class FeatureOptions:
     similar_price_limit: float = 0.3
     max_onehot_values: int = 50
     skew_split: bool = False                          # see windows.prior_frame
+    order_bucket_bits: int = 20                       # order-id block size inside a (customer, day)
 
 
 def enrich_orders(orders: DataFrame, customers: DataFrame, products: DataFrame,
@@ -241,7 +242,7 @@ def feature_frame(orders: DataFrame, customers: DataFrame, products: DataFrame,
     """All per-row features before one-hot, label encoding and selection."""
     e = enriched if enriched is not None else enrich_orders(orders, customers, products, dates, opts.run_date)
     if opts.skew_split:
-        f = customer_features(e, opts.order_keys, opts.run_date)
+        f = customer_features(e, opts.order_keys, opts.run_date, order_bucket_bits=opts.order_bucket_bits)
     else:
         f = prior_customer_history(e, opts.order_keys, False)
         f = customer_recency(f, opts.run_date)
@@ -279,7 +280,8 @@ def feature_table(orders: DataFrame, customers: DataFrame, products: DataFrame,
     return out.where(F.col("product_id_label").isNotNull())
 
 
-def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool = True) -> DataFrame:
+def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool = True,
+                      order_bucket_bits: int = 20) -> DataFrame:
     """W1–W6, W9, A1, F2, F6 and the prior average price in ONE shuffle of
     the fact.
 
@@ -296,10 +298,17 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
       is that day (first-seen flags for the distinct counts, W6);
     * category carry: per (customer, category) rows on earlier days, packed
       as an array per (customer, day).
-    A customer with a third of all rows is spread over its order dates.
+    A customer with a third of all rows is spread over its order dates, and a
+    single (customer, day) over blocks of ``2**order_bucket_bits`` order ids:
+    the bucket is (date, order_id >> bits), which keeps the total order
+    (date first, then order id) and bounds every window task.
     """
-    c, d = "customer_id", order_keys[0]
+    c = "customer_id"
     rest = list(order_keys[1:])
+    e = e.withColumn("_ob", F.shiftright(F.col("order_id"), order_bucket_bits))
+    d_col = order_keys[0]
+    d = "_bk"
+    e = e.withColumn(d, F.struct(F.col(d_col).alias("d"), F.col("_ob").alias("b")))
     keys = [c, d]
     rev, qty, price = F.col("revenue"), F.col("quantity"), F.col("product_price")
     rows = e.repartition(c, d)
@@ -323,7 +332,8 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
         *[F.sum(x).over(wp).alias(f"c{x[1:]}") for x in
           ("h_n", "h_nr", "h_sr", "h_ssr", "h_nq", "h_sq", "h_np", "h_sp", "h_up", "h_uc")],
         F.max("h_mq").over(wp).alias("c_mq"),
-        F.min(d).over(wa).alias("first_order_date"), F.max(d).over(wa).alias("last_order_date"))
+        F.min(F.col(d)["d"]).over(wa).alias("first_order_date"),
+        F.max(F.col(d)["d"]).over(wa).alias("last_order_date"))
     if affinity:
         cat_hist = e.groupBy(c, "product_category", d).agg(F.count("order_id").alias("_k"))
         wcat = Window.partitionBy(c, "product_category").orderBy(F.asc_nulls_first(d)).rowsBetween(
@@ -385,7 +395,7 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
         affinity_cols = [cat_count.alias("customer_category_purchase_count"),
                          F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before")]
     out = r.select(
-        *e.columns,
+        *[x for x in e.columns if x not in ("_ob", d)],
         total_orders.alias("customer_total_orders"),
         sr.alias("customer_total_revenue"), sq.alias("customer_total_quantity"),
         F.try_divide(sr, nr.cast("double")).alias("customer_avg_order_value"),
@@ -396,7 +406,7 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
         tot("uc").cast("long").alias("customer_unique_categories"),
         F.try_divide(sp, np_.cast("double")).alias("customer_avg_price_purchased"),
         "first_order_date", "last_order_date",
-        F.datediff(d, "first_order_date").alias("days_since_first_order"),
+        F.datediff(d_col, "first_order_date").alias("days_since_first_order"),
         F.datediff(ref, F.col("last_order_date")).alias("days_since_last_order"),
         *affinity_cols)
     return out.withColumn("order_frequency_days", ratio_or_zero(

@@ -147,3 +147,21 @@ def test_materialised_and_recomputed_inputs_give_equal_results(spark):
                          ss.dates(spark, SF0001), fq._opts(True), (), materialize=False)
     d = fq.feature_table(spark, SF0001)
     assert c.exceptAll(d).count() == 0 and d.exceptAll(c).count() == 0
+
+
+def test_hot_customer_day_split_into_order_blocks(spark):
+    """A third of the rows on one customer AND one day: with 16-order blocks
+    the (customer, day) group is cut into many window tasks; results equal
+    the plain windows."""
+    e = fq._enriched(spark, SF0001, materialize=False)
+    hot = F.col("order_id") % 3 == 0
+    e = (e.withColumn("customer_id", F.when(hot, F.lit(-1)).otherwise(F.col("customer_id")))
+          .withColumn("order_date", F.when(hot, F.lit("1996-06-01").cast("date")).otherwise(F.col("order_date"))))
+    fast = fx.customer_features(e, ss.ORDER_KEYS, fq.RUN_DATE, order_bucket_bits=4)
+    slow = fx.category_affinity(fx.customer_recency(
+        fx.prior_customer_history(e, ss.ORDER_KEYS, False), fq.RUN_DATE), ss.ORDER_KEYS, False)
+    cols = ["order_id", "line_number", "product_id", "supplier_id", "quantity", "extended_price", "discount",
+            "tax", "return_flag", "line_status", "ship_date", "customer_id", "order_date"] + fq.HISTORY_COLS + [
+        "days_since_first_order", "days_since_last_order", "customer_category_purchase_count"]
+    a, b = fast.select(*cols), slow.select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
