@@ -167,15 +167,16 @@ def prior_last(df: DataFrame, part, order, value: str, out: str, skew_split: boo
             .drop("_lag", "_first", "_carry")
 
 
-def sessionize(df: DataFrame, part, ts: str, gap_seconds: int, day_col: str = "_day") -> DataFrame:
+def sessionize(df: DataFrame, part, ts: str, gap_seconds: int, day_col: str = "_hour") -> DataFrame:
     """Per-``part`` sessions of ``ts`` with an inactivity gap (a new session
     starts when the previous event is ``gap_seconds`` or more earlier), as
     ``session_window`` defines them, without holding a whole key in one
     task: the previous timestamp comes from the split lag, the session
     number from the split running count of session starts (both bucketed
-    by day), and sessions are then aggregated map-side. Adds ``session_no``."""
+    by hour, which keeps the time order), and sessions are then aggregated
+    map-side. Adds ``session_no``."""
     part = [part] if isinstance(part, str) else list(part)
-    d = df.withColumn(day_col, F.to_date(ts)).withColumn("_tsl", F.col(ts).cast("timestamp"))
+    d = df.withColumn(day_col, F.date_trunc("hour", ts)).withColumn("_tsl", F.col(ts).cast("timestamp"))
     d = prior_last(d, part, [day_col, "_tsl"], "_tsl", "_prev_ts", skew_split=True)
     start = F.col("_prev_ts").isNull() | (
         F.unix_micros("_tsl") - F.unix_micros("_prev_ts") >= F.lit(gap_seconds * 1_000_000))
