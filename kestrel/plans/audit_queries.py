@@ -49,14 +49,17 @@ def _runs(spark, sf_dir) -> DataFrame:
 
 
 def audit_events(spark, sf_dir):
+    """W12 + F25: events mapped onto audit events, sequence per run."""
     return _events(spark, sf_dir)
 
 
 def audit_chain(spark, sf_dir):
+    """G1 + F14: the hash chain (per-run streaming fold)."""
     return _chain(spark, sf_dir, materialize=False)
 
 
 def audit_verify(spark, sf_dir):
+    """G2 + W11: first failing event per run, no_events for unknown runs."""
     return au.verify_runs(_tampered(spark, sf_dir), _runs(spark, sf_dir))
 
 
@@ -66,18 +69,22 @@ def audit_verify_exact(spark, sf_dir):
 
 
 def audit_link_check(spark, sf_dir):
+    """Link-only check (split lag of the stored hash)."""
     return au.link_check(_tampered(spark, sf_dir))
 
 
 def audit_completeness(spark, sf_dir):
+    """Count, gaps, actors and order against an expected funnel."""
     return au.run_completeness(_tampered(spark, sf_dir), EXPECTED_FUNNEL)
 
 
 def audit_trail_validity(spark, sf_dir):
+    """G5 + T3: every event with its run's verification result."""
     return au.trail_with_validity(_tampered(spark, sf_dir))
 
 
 def audit_insert_or_ignore(spark, sf_dir):
+    """Rows an INSERT OR IGNORE keeps from an overlapping batch."""
     c = _chain(spark, sf_dir)
     stored = c.where(F.col("timestamp_utc") < STORED_BEFORE)
     batch = c.where(F.col("timestamp_utc") >= BATCH_FROM).unionByName(
@@ -86,6 +93,7 @@ def audit_insert_or_ignore(spark, sf_dir):
 
 
 def audit_sequence_assign(spark, sf_dir):
+    """New events numbered after each run's stored maximum."""
     ev = table(spark, sf_dir, "events")
     stored = _events(spark, sf_dir).where(F.col("timestamp_utc") < STORED_BEFORE)
     new = ev.where(F.col("ts") >= F.lit(STORED_BEFORE).cast("timestamp")).select(
@@ -96,14 +104,17 @@ def audit_sequence_assign(spark, sf_dir):
 
 
 def audit_max_sequence(spark, sf_dir):
+    """A10: max sequence per run, 0 without events."""
     return au.max_sequence(_events(spark, sf_dir), _runs(spark, sf_dir))
 
 
 def audit_events_per_run(spark, sf_dir):
+    """Events per run plus the total (ROLLUP)."""
     return au.events_per_run(_events(spark, sf_dir))
 
 
 def audit_recent_runs(spark, sf_dir):
+    """T5: the five most recently active runs."""
     return au.recent_runs(_events(spark, sf_dir), 5)
 
 

@@ -32,21 +32,25 @@ def _updates(spark, sf_dir) -> DataFrame:
 
 
 def run_history(spark, sf_dir):
+    """S13 + A9: run history from a log of upserts."""
     return hs.history_from_updates(_updates(spark, sf_dir))
 
 
 def run_history_merge(spark, sf_dir):
+    """Updates merged into a stored history (one aggregation)."""
     u = _updates(spark, sf_dir)
     stored = hs.history_from_updates(u.where(F.col("at") < SPLIT_AT))
     return hs.merge_history(stored, u.where(F.col("at") >= SPLIT_AT))
 
 
 def run_history_recent(spark, sf_dir):
+    """Newest runs first, limit 20."""
     return hs.latest_runs(hs.history_from_updates(_updates(spark, sf_dir)), 20)
 
 
 # ---------------------------------------------------------------- text rules
 def offtopic_questions(spark, sf_dir):
+    """Off-topic predicate over user turns."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     return c.select("conv_id", "turn", off_topic("text").alias("off_topic"))
 
@@ -60,6 +64,7 @@ def _artifacts(spark, sf_dir) -> DataFrame:
 
 
 def artifact_flags(spark, sf_dir):
+    """P11 + P14: presence rules over each run's .py artifacts."""
     return gv.artifact_flags(_artifacts(spark, sf_dir))
 
 
@@ -69,6 +74,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 def class_balance(spark, sf_dir):
+    """A25 + A18: class share, imbalance flag, scale_pos_weight."""
     return gv.class_balance(_labelled(spark, sf_dir), "source", "toxic")
 
 
@@ -84,10 +90,12 @@ def _plans(spark, sf_dir) -> DataFrame:
 
 
 def scorecard(spark, sf_dir):
+    """The eight rule checks per run."""
     return gv.scorecard_items(_plans(spark, sf_dir), gv.artifact_flags(_artifacts(spark, sf_dir)))
 
 
 def scorecard_overall(spark, sf_dir):
+    """A13 + F24: counts per status and the overall readiness."""
     return gv.scorecard_overall(scorecard(spark, sf_dir))
 
 
