@@ -10,26 +10,32 @@ PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "linei
 
 
 def table_inventory(spark, sf_dir):
+    """S7 + S8 + J8 + A12 + A15: tables with row/column counts and summary lines."""
     return pr.table_inventory(spark, sf_dir, cat.parquet_tables(spark, sf_dir), cat.parquet_columns(spark, sf_dir))
 
 
 def estate_metrics(spark, sf_dir):
+    """Tables, managed, external, columns, rows."""
     return pr.estate_metrics(table_inventory(spark, sf_dir))
 
 
 def estate_summary(spark, sf_dir):
+    """The rendered estate summary as one text."""
     return pr.estate_summary(table_inventory(spark, sf_dir), HEADER)
 
 
 def column_profile(spark, sf_dir):
+    """A24 + A6 + P9 + P12 + F26 + G7: one-pass per-column profile."""
     return pr.profile_tables(spark, sf_dir, PROFILED)
 
 
 def relationship_candidates(spark, sf_dir):
+    """FK candidates by name, checked on the data in one aggregation."""
     return pr.relationship_candidates(spark, sf_dir, cat.parquet_columns(spark, sf_dir))
 
 
 def feature_plan(spark, sf_dir):
+    """A transform per column chosen from its profile."""
     return pr.plan_from_profile(pr.profile_tables(spark, sf_dir, PROFILED))
 
 
