@@ -145,12 +145,16 @@ def relationship_candidates(spark: SparkSession, sf_dir: str, columns: DataFrame
     # Every pair's child and parent values in ONE union, tagged with the pair
     # id; one aggregation per (pair, value) then one per pair gives child rows,
     # orphans, parent rows and parent distinct values — one shuffle in all.
-    sides = []
+    by_table: dict[str, list] = {}
     for i, (ct, cc, pt, pc) in enumerate(pairs):
-        sides.append(table(spark, sf_dir, ct).select(F.lit(i).alias("pair"), F.col(cc).cast("string").alias("v"),
-                                                     F.lit(1).alias("c"), F.lit(0).alias("p")))
-        sides.append(table(spark, sf_dir, pt).select(F.lit(i).alias("pair"), F.col(pc).cast("string").alias("v"),
-                                                     F.lit(0).alias("c"), F.lit(1).alias("p")))
+        by_table.setdefault(ct, []).append((i, cc, 1, 0))
+        by_table.setdefault(pt, []).append((i, pc, 0, 1))
+    sides = []
+    for t, entries in sorted(by_table.items()):
+        # one scan per table: its key columns exploded into (pair, value, side)
+        items = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(col).cast("string").alias("v"),
+                                   F.lit(ch).alias("c"), F.lit(pa).alias("p")) for i, col, ch, pa in entries])
+        sides.append(table(spark, sf_dir, t).select(F.inline(items)))
     per_value = reduce(DataFrame.unionByName, sides).groupBy("pair", "v").agg(
         F.sum("c").alias("nc"), F.sum("p").alias("np"))
     per_pair = per_value.groupBy("pair").agg(
