@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001
@@ -47,3 +48,15 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
 def test_feature_plan_has_no_cartesian_product(spark):
     plan = _plan(fq.feature_table(spark, SF0001))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+NO_CROSS = ["feature_table", "prior_customer_history", "temporal_split", "class_weights", "revenue_drift_psi",
+            "baseline_accuracy", "relationship_candidates", "audit_verify", "audit_insert_or_ignore",
+            "stratified_split", "event_sessions", "opportunity_ranking"]
+
+
+@pytest.mark.parametrize("name", NO_CROSS)
+def test_registered_plans_have_no_cross_joins(spark, name):
+    import __spark_entry__ as entry
+    plan = _plan(entry.queries()[name](spark, SF0001))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
