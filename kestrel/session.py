@@ -66,6 +66,11 @@ def cut_lineage(df: DataFrame, name: str = "materialized") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table: ``<sf_dir>/<name>.parquet``, local or remote."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     return os.path.join(checkpoint_dir(spark), *parts)
