@@ -9,6 +9,7 @@ only set a private one when it is unset (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +39,20 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
-
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) a fresh private folder is created and registered."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of
+    the session, else the folder the caller gave ``setCheckpointDir``. Only a
+    local session (tests) may have neither: it gets a private folder, once.
+    On a cluster that is an error, as executors would write to their own disks."""
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
-    local = tempfile.mkdtemp(prefix="kestrel-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    given = spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kestrel-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, name: str = "materialized") -> DataFrame:

@@ -24,8 +24,6 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests only: the checkpoint folder is unset locally, so set our own
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="kestrel-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kestrel-test-ckpt-"))
     yield s
     s.stop()
