@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from kestrel.llm.chat_format import op9_chat_format
+from kestrel.llm.quality_outliers import op2_quality_outliers
+from kestrel.llm.secrets import op5_secret_scan
 from kestrel.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_quality_outliers": op2_quality_outliers,
+    "op5_secret_scan": op5_secret_scan,
+    "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
 
