@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        sizes = np.asarray(pa.compute.binary_length(batch.column(at)).fill_null(0), np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(at)).fill_null(0), np.int64)
         block = np.cumsum(sizes) // CHUNK_BYTES
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
