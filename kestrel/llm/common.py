@@ -118,15 +118,16 @@ class Words:
         """Text index of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word, the same in every task."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """64-bit hash of each word (of its first ``most`` bytes), the same in every task."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE_KEY[self.data] * powers("base", len(self.data)), out=sums[1:])
-        out = sums[self.end] - sums[self.start]
+        end = self.end if most is None else np.minimum(self.end, self.start + most)
+        out = sums[end] - sums[self.start]
         out *= powers("inverse", len(self.data))[self.start]
-        return mix(out + (self.end - self.start).astype(np.uint64))
+        return mix(out + (end - self.start).astype(np.uint64))
 
     def strings(self, i: int) -> list[bytes]:
         """The words of text i."""

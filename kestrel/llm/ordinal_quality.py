@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.llm import common
-from kestrel.llm.common import chunks, raw, read, texts_of
+from kestrel.llm.common import chunks, mix, raw, read, texts_of
 
 #: Labelled documents the fit may use; the driver holds their feature lists.
 SAMPLE = 6000
 SLOTS = 1 << 18
 #: A slot must occur in so many documents of the sample.
 LEAST_DOCS = 8
-L1 = 4e-4
-ROUNDS = 250
+L1 = 1e-3
+ROUNDS = 300
 KEEP = 0.5
 
 _WORD = np.zeros(256, bool)
@@ -47,6 +47,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[*b"#*$%&|<>@^~=+_\\{}[]"]] = True
 _MARK = np.zeros(256, bool)
 _MARK[[*b"!?.,;:\"'()-"]] = True
+#: Words also count by their first bytes, once, and again if so many begin alike.
+PREFIX = (5, 7)
+OFTEN = (2, 4, 8)
 #: Upper ends of the buckets of each shape feature.
 SHAPE = {
     "words": (5, 10, 20, 50, 100, 1000),
@@ -76,6 +79,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         "word length": np.bincount(doc, weights=(w.end - w.start).astype(float), minlength=n) / np.maximum(w.counts, 1),
     }
     pairs, base = [doc.astype(np.uint64) << np.uint64(32) | (h & np.uint64(SLOTS - 1))], SLOTS
+    for size in PREFIX:
+        long = w.end - w.start > size
+        begins = doc[long].astype(np.uint64) << np.uint64(32) | (mix(w.hashes(size)[long] + np.uint64(size)) & np.uint64(SLOTS - 1))
+        found, times = np.unique(begins, return_counts=True)
+        pairs.append(found)
+        pairs += [found[times >= k] ^ np.uint64(k) for k in OFTEN]
     for name, ends in SHAPE.items():
         pairs.append(np.arange(n, dtype=np.uint64) << np.uint64(32) | (base + np.searchsorted(ends, measured[name])).astype(np.uint64))
         base += len(ends) + 1
