@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kestrel.llm.chat_format import op9_chat_format
+from kestrel.llm.minhash_dups import op3_minhash_dups
 from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
 from kestrel.llm.secrets import op5_secret_scan
@@ -10,6 +11,7 @@ from kestrel.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op2_quality_outliers": op2_quality_outliers,
+    "op3_minhash_dups": op3_minhash_dups,
     "op5_secret_scan": op5_secret_scan,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op9_chat_format": op9_chat_format,
