@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kestrel.llm.chat_format import op9_chat_format
+from kestrel.llm.linear_packing import op6_linear_packing
 from kestrel.llm.minhash_dups import op3_minhash_dups
 from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_outliers": op2_quality_outliers,
     "op3_minhash_dups": op3_minhash_dups,
     "op5_secret_scan": op5_secret_scan,
+    "op6_linear_packing": op6_linear_packing,
     "op7_ordinal_quality": op7_ordinal_quality,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
