@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kestrel.llm.chat_format import op9_chat_format
+from kestrel.llm.latent_decontamination import op1_latent_decontamination
 from kestrel.llm.linear_packing import op6_linear_packing
 from kestrel.llm.minhash_dups import op3_minhash_dups
 from kestrel.llm.ordinal_quality import op7_ordinal_quality
@@ -11,6 +12,7 @@ from kestrel.llm.secrets import op5_secret_scan
 from kestrel.llm.token_counts import op10_token_counts
 
 QUERIES = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_quality_outliers": op2_quality_outliers,
     "op3_minhash_dups": op3_minhash_dups,
     "op5_secret_scan": op5_secret_scan,
