@@ -39,6 +39,8 @@ SUBSET = 0.75
 STEPS = 5
 BINS = 4096
 LEAST_GROUP = 200
+#: Most rows (of some 400 bytes) of a table of groups that is broadcast.
+SMALL_ROWS = 10_000
 #: Share of normal documents that lie within the cut.
 COVERED = 1 - 1e-7
 
@@ -114,6 +116,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.select("*", failed.alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector)))
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table (a row a group), to be broadcast if it has few rows, so that a
+    hot group's documents stay where they lie; else it joins by its key, where
+    adaptive execution splits a hot one."""
+    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
+
+
 def scoped(stats: DataFrame) -> DataFrame:
     """With the column ``scope``: the document's group or pool."""
     n = stats.groupBy("lang", "source").agg(F.count("*").alias("_n"))
@@ -123,6 +132,7 @@ def scoped(stats: DataFrame) -> DataFrame:
     scope = F.when(F.col("_n") >= LEAST_GROUP, group).when(F.col("_lang_n") >= LEAST_GROUP, F.concat(F.lit("pool "), F.to_json(F.struct("_l")))).otherwise("pool")
     both = n.withColumnRenamed("lang", "_l").join(lang.withColumnRenamed("lang", "_m"), F.col("_l").eqNullSafe(F.col("_m")))
     both = both.select(F.col("_l"), F.col("source").alias("_s"), scope.alias("scope"))
+    both = small(cut_lineage(both, "quality-scopes"))
     return stats.join(both, stats["lang"].eqNullSafe(both["_l"]) & stats["source"].eqNullSafe(both["_s"])).drop("_l", "_s")
 
 
@@ -175,7 +185,7 @@ def start(stats: DataFrame) -> DataFrame:
 def distances(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     """With the column ``d2``: squared distance from the group's estimate."""
     parts = [sum((F.col(f"w{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(P)]
-    joined = stats.join(estimate, "scope")
+    joined = stats.join(small(estimate), "scope")
     return joined.withColumn("d2", sum((p * p for p in parts), F.lit(0.0))).drop(*(x.split()[0] for x in ESTIMATE.split(", ")[1:]))
 
 
@@ -220,11 +230,11 @@ def quality_outliers(docs: DataFrame) -> DataFrame:
     """Every document's counts, base verdict, distance and whether it is kept."""
     stats = cut_lineage(statistics(docs), "quality-statistics")
     stats = scoped(stats)
-    estimate = start(stats)
+    estimate = cut_lineage(start(stats), "quality-estimate")
     for _ in range(STEPS):
         estimate = cut_lineage(step(stats, estimate), "quality-estimate")
     factor = cut_lineage(scale(stats, estimate), "quality-scale")
-    d = distances(stats, estimate).join(factor, "scope").withColumn("d2", F.col("d2") / F.col("factor"))
+    d = distances(stats, estimate).join(small(factor), "scope").withColumn("d2", F.col("d2") / F.col("factor"))
     kept = ~F.col("base_failed") & (F.col("d2") <= chi2_quantile(COVERED, P))
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.sqrt("d2").alias("distance"), kept.alias("kept"))
 
