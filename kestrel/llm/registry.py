@@ -9,12 +9,14 @@ from kestrel.llm.minhash_dups import op3_minhash_dups
 from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
 from kestrel.llm.secrets import op5_secret_scan
+from kestrel.llm.sketch_substrings import op4_sketch_substrings
 from kestrel.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_latent_decontamination": op1_latent_decontamination,
     "op2_quality_outliers": op2_quality_outliers,
     "op3_minhash_dups": op3_minhash_dups,
+    "op4_sketch_substrings": op4_sketch_substrings,
     "op5_secret_scan": op5_secret_scan,
     "op6_linear_packing": op6_linear_packing,
     "op7_ordinal_quality": op7_ordinal_quality,
