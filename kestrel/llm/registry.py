@@ -10,6 +10,7 @@ from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
 from kestrel.llm.secrets import op5_secret_scan
 from kestrel.llm.sketch_substrings import op4_sketch_substrings
+from kestrel.llm.suffix_tree_lm import op8_suffix_tree_lm
 from kestrel.llm.token_counts import op10_token_counts
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_linear_packing": op6_linear_packing,
     "op7_ordinal_quality": op7_ordinal_quality,
+    "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
 }
