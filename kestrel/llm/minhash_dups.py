@@ -19,7 +19,8 @@ stays over ``NEAR`` by six standard deviations.
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows
 have equal sets; rows of one id with different texts are one document that has
-the links of either. An empty table gives an empty
+the links of either. Null ids are never chosen to stand for others and are
+kept. An empty table gives an empty
 result; other columns play no part.
 """
 
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import chunks, cut_lineage, mix, read, texts_of, windows, words
@@ -44,6 +46,8 @@ LEAST = 75
 NEAR = 0.5
 #: Most members of a group compared at once.
 GROUP = 400
+#: Most ids (8 bytes each) that are broadcast to pick their texts.
+FEW_IDS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
@@ -142,7 +146,9 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
 
-    wanted = p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct()
+    wanted = cut_lineage(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct(), "wanted")
+    if wanted.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)  # then the texts stay where they lie; else both sides meet by id
     full = texts_of(docs).join(wanted, "doc_id").mapInArrow(sets, "id long, shingles binary")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +165,8 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, id, component) of the buckets that still touch several components."""
+    """The members (bucket, used, id) of buckets that still touch several
+    components, with component and the bucket's size."""
     m = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = m.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     return m.join(several.select("bucket", "size"), "bucket")
@@ -169,17 +176,19 @@ def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame) ->
     """(bucket, id, component): groups of at most ``GROUP`` members or so that
     hold every pair worth comparing. A larger bucket is split by one more
     shared band, twice at most, then into pairs of blocks."""
-    out, todo = None, cut_lineage(unsettled(members, component), "unsettled")
+    out, todo = None, cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
     for _ in range(2):
         fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
         out = fine if out is None else out.union(fine)
         large = todo.where(F.col("size") > GROUP)
         if large.isEmpty():
             return out
-        finer = large.select("bucket", "id").join(bands, "id").select(F.xxhash64("bucket", F.explode("bands")).alias("bucket"), "id").distinct()
+        finer = large.select("used", "id").join(bands, "id").select("id", "used", F.explode(F.array_except("bands", "used")).alias("more"))
+        finer = finer.select(F.array_sort(F.array_append("used", F.col("more"))).alias("used"), "id")
+        finer = finer.select(F.xxhash64("used").alias("bucket"), "used", "id").distinct()
         todo = cut_lineage(unsettled(finer, component), "unsettled")
     out = out.union(todo.where(F.col("size") <= GROUP).select("bucket", "id", "component"))
-    large = todo.where(F.col("size") > GROUP).withColumn("blocks", F.ceil(F.col("size") / (GROUP // 2)).cast("int"))
+    large = todo.where(F.col("size") > GROUP).withColumn("blocks", F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = large.withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     parts = parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component")
@@ -232,7 +241,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             component = components(links)
     out = marked.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     # a component's least node is the least id among its sets' least ids
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The table with one document of each component, the one with the least
+    id; of repeated rows of an id one stays, rows without an id all do."""
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    first = W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
+    one = named.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    return one.union(docs.where("doc_id IS NULL"))
 
 
 def op3_minhash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
