@@ -43,7 +43,7 @@ ALLOW = (
     r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+",
     r"[0-9+/_=-]+",
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"(?:[A-Za-z]+[-_/=+]?)+[0-9]{1,4}",
+    r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+[0-9]{1,4}",
 )
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
