@@ -23,6 +23,9 @@ from kestrel.session import cut_lineage, shared_path, table_of  # noqa: F401
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 8 * 1024 * 1024
 
+#: Bytes hashed at once.
+SLICE = 1 << 19
+
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_KEY = _SEED.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -120,14 +123,19 @@ class Words:
 
     def hashes(self, most: int | None = None) -> np.ndarray:
         """64-bit hash of each word (of its first ``most`` bytes), the same in every task."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_KEY[self.data] * powers("base", len(self.data)), out=sums[1:])
         end = self.end if most is None else np.minimum(self.end, self.start + most)
-        out = sums[end] - sums[self.start]
-        out *= powers("inverse", len(self.data))[self.start]
-        return mix(out + (end - self.start).astype(np.uint64))
+        out, n, a = np.empty(len(self.start), np.uint64), len(self.start), 0
+        while a < n:  # a slice of bytes at a time: the sums are eight bytes a byte of text
+            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + SLICE)))
+            low, part = self.start[a], self.data[self.start[a] : end[b - 1]]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE_KEY[part] * powers("base", len(part)), out=sums[1:])
+            begin, stop = self.start[a:b] - low, end[a:b] - low
+            h = sums[stop] - sums[begin]
+            h *= powers("inverse", len(part) + 1)[begin]
+            out[a:b] = mix(h + (stop - begin).astype(np.uint64))
+            a = b
+        return out
 
     def strings(self, i: int) -> list[bytes]:
         """The words of text i."""

@@ -39,7 +39,7 @@ DEPTH = 2
 #: Counters of a sketch row for each window of the input, at least.
 WIDTH = 4
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12 * 1024 * 1024
+BLOCK_BYTES = 8 * 1024 * 1024
 LAST = 2**63 - 1
 
 
