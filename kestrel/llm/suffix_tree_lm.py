@@ -37,7 +37,7 @@ GAIN = 2.0
 MASS = 8.0
 SPLIT = 1 << 18
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 12 * 1024 * 1024
+BLOCK_BYTES = 6 * 1024 * 1024
 FINGER = 40
 END = np.uint64(0x243F6A8885A308D3)
 MESSAGE = "block int, level int, shard int, body binary"
