@@ -5,7 +5,9 @@ Event schema (F-4): event_id, run_id, sequence_number, event_type, actor,
 node_name, timestamp_utc, payload (JSON text), prev_hash, event_hash.
 
 event_hash = SHA-256 of the canonical JSON of every field except event_hash:
-keys sorted, separators ``,`` and ``:``, non-ASCII escaped. ``prev_hash`` is
+keys sorted, separators ``,`` and ``:``, non-ASCII as it is; batch and stream
+build the same text (``exact_event_hash`` is the original application's form,
+for trails that it wrote). ``prev_hash`` is
 the previous event's hash in sequence order, ``GENESIS`` for the first.
 
 * Building a chain is sequential inside a run (each hash needs the previous
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.scalars import deterministic_event_id
+from kestrel.operators.joins import null_safe_left_join
 from kestrel.operators.windows import prior_frame
+from kestrel.session import cut_lineage
 
 GENESIS = "GENESIS"
 EVENT_FIELDS = ["event_id", "run_id", "sequence_number", "event_type", "actor",
@@ -41,15 +45,19 @@ EVENT_FIELDS = ["event_id", "run_id", "sequence_number", "event_type", "actor",
 # --------------------------------------------------------------------------
 
 def _js(c: Column) -> Column:
-    """JSON string literal of a text column (``null`` for NULL)."""
-    return F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1)
+    """JSON string literal of a text column (``null`` for NULL): the one
+    element of an array, without its brackets."""
+    t = F.to_json(F.array(c))
+    return F.substring(t, F.lit(2), F.length(t) - 2)
 
 
 def canonical_payload(c) -> Column:
     """Payload JSON text -> canonical text (keys sorted at every level,
-    compact separators) through the VARIANT type; NULL stays ``null``."""
+    compact separators) through the VARIANT type; NULL stays ``null``. Text
+    that is not JSON is hashed as it stands, as ``{"$raw":"..."}``."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.to_json(F.try_parse_json(c)), F.lit("null"))
+    raw = F.concat(F.lit('{"$raw":'), _js(c), F.lit("}"))
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), raw))
 
 
 def hash_parts(df: DataFrame) -> DataFrame:
@@ -77,6 +85,14 @@ def recomputed_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat(F.col("_before"), F.col("prev_hash"), F.col("_after")), 256)
 
 
+def _parsed(payload: str | None):
+    """The payload's value; text that is not JSON as it stands."""
+    try:
+        return None if payload is None else json.loads(payload)
+    except ValueError:
+        return {"$raw": payload}
+
+
 @F.pandas_udf(T.StringType())
 def exact_event_hash(actor: pd.Series, event_id: pd.Series, event_type: pd.Series,
                      node_name: pd.Series, payload: pd.Series, prev_hash: pd.Series,
@@ -89,7 +105,7 @@ def exact_event_hash(actor: pd.Series, event_id: pd.Series, event_type: pd.Serie
     for a, e, t, n, p, ph, r, s, u in zip(actor, event_id, event_type, node_name, payload,
                                           prev_hash, run_id, seq, ts):
         fields = {"actor": a, "event_id": e, "event_type": t, "node_name": n,
-                  "payload": json.loads(p) if p is not None else None, "prev_hash": ph,
+                  "payload": _parsed(p), "prev_hash": ph,
                   "run_id": r, "sequence_number": int(s), "timestamp_utc": u}
         canon = json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
         out.append(hashlib.sha256(canon.encode("utf-8")).hexdigest())
@@ -174,7 +190,7 @@ def split_lag(df: DataFrame, part: str, order: str, value: str, out: str,
     d = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.lag(order).over(w).isNull())
     last = d.groupBy(part, "_b").agg(F.max_by(value, order).alias("_last"))
     carry = last.select(part, "_b", F.lag("_last").over(Window.partitionBy(part).orderBy("_b")).alias("_carry"))
-    d = d.join(carry, [part, "_b"], "left")
+    d = null_safe_left_join(d, carry, [part, "_b"])
     return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
             .drop("_b", "_lag", "_first", "_carry")
 
@@ -195,8 +211,9 @@ def event_checks(trail: DataFrame, exact: bool = False) -> DataFrame:
     d = d.withColumn("_rec", rec).drop("_before", "_after")
     d = split_lag(d, "run_id", "sequence_number", "event_hash", "_prev_stored")
     expected_prev = F.coalesce(F.col("_prev_stored"), F.lit(GENESIS))
-    reason = (F.when(F.col("_rec") != F.col("event_hash"), "hash_mismatch")
-              .when(F.col("prev_hash") != expected_prev, "chain_broken"))
+    # null-safe: a missing hash is no match
+    reason = (F.when(~F.col("_rec").eqNullSafe(F.col("event_hash")) | F.col("_rec").isNull(), "hash_mismatch")
+              .when(~F.col("prev_hash").eqNullSafe(expected_prev), "chain_broken"))
     return d.withColumn("expected_prev_hash", expected_prev).withColumn("failure", reason) \
             .drop("_rec", "_prev_stored")
 
@@ -230,7 +247,7 @@ def link_check(trail: DataFrame) -> DataFrame:
     not the previous stored hash (NULL when every link holds)."""
     d = split_lag(trail.select("run_id", "sequence_number", "prev_hash", "event_hash"),
                   "run_id", "sequence_number", "event_hash", "_prev")
-    broken = F.col("prev_hash") != F.coalesce(F.col("_prev"), F.lit(GENESIS))
+    broken = ~F.col("prev_hash").eqNullSafe(F.coalesce(F.col("_prev"), F.lit(GENESIS)))
     return d.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("event_count"),
         F.min(F.when(broken, F.col("sequence_number"))).alias("first_broken_sequence"),
@@ -276,8 +293,8 @@ def run_completeness(trail: DataFrame, expected: list[str] | None = None) -> Dat
 
 def insert_or_ignore(stored: DataFrame, batch: DataFrame, max_broadcast_keys: int = 1_000_000) -> DataFrame:
     """Rows of ``batch`` that an INSERT OR IGNORE keeps: not already
-    stored by event_id nor by (run_id, sequence_number), and the first of
-    the batch for each key (by event_id order).
+    stored by event_id nor by (run_id, sequence_number), and, in event_id
+    order, no clash with a row of the batch that was kept before it.
 
     The stored trail grows without bound while a batch is small: the stored
     keys are first reduced to those present in the batch with a semi-join
@@ -290,11 +307,23 @@ def insert_or_ignore(stored: DataFrame, batch: DataFrame, max_broadcast_keys: in
     hit_ids = stored.select("event_id").join(ids, "event_id", "left_semi")
     hit_seqs = stored.select("run_id", "sequence_number").join(seqs, ["run_id", "sequence_number"], "left_semi")
     b = batch.join(hit_ids, "event_id", "left_anti")
-    b = b.join(hit_seqs, ["run_id", "sequence_number"], "left_anti")
-    w1 = Window.partitionBy("event_id").orderBy("run_id", "sequence_number")
-    b = b.withColumn("_r", F.row_number().over(w1)).where("_r = 1").drop("_r")
-    w2 = Window.partitionBy("run_id", "sequence_number").orderBy("event_id")
-    return b.withColumn("_r", F.row_number().over(w2)).where("_r = 1").drop("_r")
+    todo = b.join(hit_seqs, ["run_id", "sequence_number"], "left_anti")
+    # within the batch, in order: a row is kept unless one kept before it has
+    # its event_id or its place. Rows first by both keys are kept, rows that
+    # clash with those are not, and what is left goes through the same again.
+    order = ["event_id", "run_id", "sequence_number"]
+    kept = None
+    while True:
+        by_id = F.row_number().over(Window.partitionBy("event_id").orderBy(*order))
+        by_place = F.row_number().over(Window.partitionBy("run_id", "sequence_number").orderBy(*order))
+        ranked = cut_lineage(todo.withColumn("_i", by_id).withColumn("_p", by_place), "insert")
+        first = ranked.where("_i = 1 AND _p = 1").drop("_i", "_p")
+        kept = first if kept is None else kept.unionByName(first)
+        rest = ranked.where("_i > 1 OR _p > 1").drop("_i", "_p")
+        todo = (rest.join(first.select("event_id"), "event_id", "left_anti")
+                .join(first.select("run_id", "sequence_number"), ["run_id", "sequence_number"], "left_anti"))
+        if todo.isEmpty():
+            return kept
 
 
 def max_sequence(trail: DataFrame, runs: DataFrame) -> DataFrame:

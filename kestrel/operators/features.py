@@ -384,7 +384,6 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
 
     n, nr, nq, np_ = tot("n"), tot("nr"), tot("nq"), tot("np")
     sr = F.when(nr > 0, tot("sr", True)).cast("double")
-    ssr = F.when(nr > 0, tot("ssr", True)).cast("double")
     sq = F.when(nq > 0, tot("sq", True)).cast("double")
     sp = F.when(np_ > 0, tot("sp", True)).cast("double")
     ref = F.lit(run_date).cast("date")
@@ -401,7 +400,7 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
         F.try_divide(sr, nr.cast("double")).alias("customer_avg_order_value"),
         F.try_divide(sq, nq.cast("double")).alias("customer_avg_quantity"),
         F.greatest(F.col("l_mq"), F.col("c_mq")).alias("customer_max_quantity"),
-        _std(nr, sr, ssr).alias("customer_revenue_std"),
+        _std(nr, F.when(nr > 0, tot("sr", True)), F.when(nr > 0, tot("ssr", True))).alias("customer_revenue_std"),
         tot("up").cast("long").alias("customer_unique_products"),
         tot("uc").cast("long").alias("customer_unique_categories"),
         F.try_divide(sp, np_.cast("double")).alias("customer_avg_price_purchased"),

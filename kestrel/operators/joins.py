@@ -42,3 +42,13 @@ def join_aggregate(fact: DataFrame, keys, agg_exprs, how: str = "left") -> DataF
     keys = [keys] if isinstance(keys, str) else list(keys)
     agg = fact.groupBy(*keys).agg(*agg_exprs)
     return fact.join(agg, on=keys, how=how)
+
+
+def null_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where NULL meets NULL, with the keys once."""
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])

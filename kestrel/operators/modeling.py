@@ -178,7 +178,7 @@ def binary_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
                                    (F.col("P") * F.col("N") * 2).cast("double")).alias("auc"), "P", "N")
 
 
-def weighted_ovr_auc(pred: DataFrame, classes: int, label: str = "label", proba: str = "probability") -> DataFrame:
+def weighted_ovr_auc(pred: DataFrame, label: str = "label", proba: str = "probability") -> DataFrame:
     """One-vs-rest AUC per class from the class's probability, averaged
     with class support as weights (sklearn ``average='weighted'``). One pass:
     rows are exploded to (class, score, is_label), histogrammed per
@@ -187,7 +187,7 @@ def weighted_ovr_auc(pred: DataFrame, classes: int, label: str = "label", proba:
     if dict(pred.dtypes)[proba] != "array<double>":
         from pyspark.ml.functions import vector_to_array
         p = vector_to_array(p)
-    d = pred.select(F.col(label).cast("int").alias("_y"), F.posexplode(F.slice(p, 1, classes)).alias("cls", "_s"))
+    d = pred.select(F.col(label).cast("int").alias("_y"), F.posexplode(p).alias("cls", "_s"))
     hist = d.groupBy("cls", "_s").agg(F.count_if(F.col("_y") == F.col("cls")).alias("_p"),
                                       F.count_if(F.col("_y") != F.col("cls")).alias("_n"))
     hist = hist.withColumn("_b", F.floor(F.col("_s") * 1024))

@@ -1,8 +1,7 @@
 """Selection operators.
 
-All are group-wise picks computed without collecting a group: positions
-come from the split running count (a hot group is spread over its buckets)
-and picks from ``max_by`` aggregates (map-side partial).
+All are group-wise picks computed without collecting a group: limits on row
+numbers and ``max_by`` aggregates both work map-side first.
 """
 
 from __future__ import annotations
@@ -10,21 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.operators.windows import prior_frame
-
-
-def last_k_per_group(df: DataFrame, key: str, order: list[str], k: int, bucket: str | None = None) -> DataFrame:
-    """The last ``k`` rows of each group in ``order`` (as
-    ``row_number() over (order desc) <= k``). Position from the split running
-    count, group size from a partial aggregate."""
-    order = list(order)
-    d = df if bucket else df.withColumn("_bk", F.floor(F.col(order[0]) / F.lit(1 << 16)))
-    b = bucket or "_bk"
-    d = prior_frame(d, [key], [b] + order, {"_pos": ("count", key)}, skew_split=True, include_current=True)
-    n = d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, key, "left")
-    out = d.where(F.col("_pos") > F.col("_n") - k).withColumn("position_from_end", F.col("_n") - F.col("_pos") + 1)
-    return out.drop("_pos", "_n", "_bk")
+
+def last_k_per_group(df: DataFrame, key: str, order: list[str], k: int) -> DataFrame:
+    """The last ``k`` rows of each group in ``order``. The limit on the
+    row number reaches below the exchange (a window group limit in each map
+    task), so at most ``k`` rows a task of a hot group are shuffled."""
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("position_from_end", F.row_number().over(w)).where(F.col("position_from_end") <= k)
 
 
 def chosen_or_first(df: DataFrame, key: str, rank_col: str, chosen, order: list[str]) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.exact import STD_DIGITS, dec
+from kestrel.operators.joins import null_safe_left_join
 
 _UNB = Window.unboundedPreceding
 
@@ -48,14 +49,22 @@ def _window_value(kind, c, scale, w):
     if kind == "avg":
         return F.try_divide(s, n.cast("double"))
     if kind == "std":
-        ss = F.sum(dec(c, scale) * dec(c, scale)).over(w).cast("double")
-        return _std(n, s, ss)
+        return _std(n, F.sum(dec(c, scale)).over(w), F.sum(dec(c, scale) * dec(c, scale)).over(w))
     raise ValueError(kind)
 
 
 def _std(n, s, ss):
-    nd = n.cast("double")
-    var = F.try_divide(ss - s * s / nd, nd - F.lit(1.0))
+    """Sample standard deviation from the exact (decimal) sums of x and x².
+    The squares are taken about m, the mean to four decimals, before anything
+    becomes a double, so a large mean loses no digits: Σ(x-m)² = Σx² - 2mΣx +
+    nm² exactly. Sums too large for that (over 10^14) use doubles."""
+    m = F.try_divide(s, n).try_cast("decimal(18,4)")
+    sd, nd = s.try_cast("decimal(19,4)"), n.try_cast("decimal(19,0)")
+    about = ss.try_cast("decimal(38,8)") - F.lit(2) * (m * sd).cast("decimal(38,8)") + (m * m).cast("decimal(38,8)") * nd
+    off = (sd - (m * nd).cast("decimal(38,4)")).cast("double")
+    exact = about.cast("double") - F.try_divide(off * off, n.cast("double"))
+    rough = ss.cast("double") - F.try_divide(s.cast("double") * s.cast("double"), n.cast("double"))
+    var = F.try_divide(F.coalesce(exact, rough), n.cast("double") - F.lit(1.0))
     return F.when(n > 1, F.round(F.sqrt(F.greatest(var, F.lit(0.0))), STD_DIGITS))
 
 
@@ -111,7 +120,7 @@ def _prior_frame_split(df, part, order, specs, end):
                 v = F.sum(h).over(w_hist)
             carry_cols.append(v.alias(f"_c_{name}_{k}"))
     carry = hist.select(*keys, *carry_cols)
-    joined = local.join(carry, keys, "left")
+    joined = null_safe_left_join(local, carry, keys)
 
     out_cols = []
     for name, (kind, ks) in parts.items():
@@ -134,8 +143,8 @@ def _prior_frame_split(df, part, order, specs, end):
                 v = F.try_divide(s, n.cast("double"))
             else:
                 lss, css = both("ss")
-                ss = F.when(n > 0, F.coalesce(lss, F.lit(0)) + F.coalesce(css, F.lit(0))).cast("double")
-                v = _std(n, s, ss)
+                ss = F.when(n > 0, F.coalesce(lss, F.lit(0)) + F.coalesce(css, F.lit(0)))
+                v = _std(n, s_dec, ss)
         out_cols.append(v.alias(name))
     tmp = [c for c in joined.columns if c.startswith(("_l_", "_c_"))]
     return joined.select(*[c for c in joined.columns if c not in tmp], *out_cols)
@@ -162,7 +171,7 @@ def prior_last(df: DataFrame, part, order, value: str, out: str, skew_split: boo
     okey = F.struct(*[F.col(c) for c in order[1:] or [bucket]])
     last = d.groupBy(*keys).agg(F.max_by(value, okey).alias("_last"))
     carry = last.select(*keys, F.lag("_last").over(Window.partitionBy(*part).orderBy(bucket)).alias("_carry"))
-    d = d.join(carry, keys, "left")
+    d = null_safe_left_join(d, carry, keys)
     return d.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
             .drop("_lag", "_first", "_carry")
 

@@ -55,10 +55,7 @@ def _davg(c, w):
 
 
 def _dstd(c, w):
-    n = f"CAST(count({c}) OVER {w} AS DOUBLE)"
-    s = _dsum(c, w)
-    ss = f"CAST(sum(CAST({c} AS DECIMAL(38,4)) * CAST({c} AS DECIMAL(38,4))) OVER {w} AS DOUBLE)"
-    return (f"CASE WHEN count({c}) OVER {w} > 1 THEN round(sqrt(greatest(({ss} - {s} * {s} / {n}) / ({n} - 1.0), 0.0)), 6) END")
+    return f"round(stddev_samp({c}) OVER {w}, 6)"
 
 
 HISTORY_SQL = f"""

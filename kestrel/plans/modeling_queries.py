@@ -148,7 +148,7 @@ def model_metrics(spark, sf_dir):
     acc = md.accuracy(test, LABEL, "prediction").select(F.lit("accuracy").alias("key"), F.col("accuracy").alias("value"))
     top = md.top_k_accuracy(test, (5,), LABEL, "probability").select(F.lit("top5_accuracy").alias("key"),
                                                                      F.col("top5_accuracy").alias("value"))
-    auc = md.weighted_ovr_auc(test, 6, LABEL, "probability").select(F.lit("weighted_auc").alias("key"),
+    auc = md.weighted_ovr_auc(test, LABEL, "probability").select(F.lit("weighted_auc").alias("key"),
                                                                     F.col("weighted_auc").alias("value"))
     params = spark.createDataFrame([("num_trees", 100.0), ("max_depth", 6.0), ("seed", 42.0),
                                     ("features", float(len(feats)))], "key string, value double")

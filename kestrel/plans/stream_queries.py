@@ -16,11 +16,9 @@ def stream_audit_chain(spark, sf_dir):
 
 def stream_event_windows(spark, sf_dir):
     """Tumbling and sliding hourly windows per event type."""
-    ev = ai.event_stream(spark, sf_dir)
     keys = ["window_kind", "event_type", "window_start", "window_end"]
-    tum = ew.run_upsert_log(ew.tumbling(ev), keys, "tumbling")
-    sld = ew.run_upsert_log(ew.sliding(ai.event_stream(spark, sf_dir)), keys, "sliding")
-    return tum.unionByName(sld)
+    both = lambda e: ew.tumbling(e).unionByName(ew.sliding(e))
+    return ew.run_partial_log(ai.event_stream(spark, sf_dir), both, keys, "event_windows")
 
 
 def event_sessions(spark, sf_dir):

@@ -1,10 +1,12 @@
 """Streaming audit ingest (ours; the reference writes events one by one
 from a process with an in-memory map run -> (last sequence, last hash)).
 
-The stream deduplicates events by id within a watermark (INSERT OR IGNORE
-semantics), then ``applyInPandasWithState`` keeps, per run, only
+The stream deduplicates events by id (INSERT OR IGNORE semantics; without a
+watermark, as an audit trail must not drop a late event, so the state holds
+every id seen), then ``applyInPandasWithState`` keeps, per run, only
 (last sequence, last hash) as state. Each micro-batch's events of a run are
-sorted, numbered from the stored sequence and chained from the stored hash;
+sorted, numbered from the stored sequence (arrival order across
+micro-batches, time order inside one) and chained from the stored hash;
 the state is O(1) per run, and a run's rows held at once are bounded by the
 micro-batch size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``).
 
@@ -15,7 +17,6 @@ so streamed and batch-built trails verify identically.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 
 import pandas as pd
@@ -24,22 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from kestrel.operators.audit import _CHAIN_SCHEMA, GENESIS
+from kestrel.operators.audit import _CHAIN_SCHEMA, GENESIS, _js, canonical_payload
 from kestrel.session import shared_path
 
 STATE_SCHEMA = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("last_hash", T.StringType())])
 
 
-def _js(v) -> str:
-    return json.dumps(v, ensure_ascii=True)
-
-
-def _canon_payload(p) -> str:
-    if p is None:
-        return "null"
-    return json.dumps(json.loads(p), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
-
-
 def _chain_group(key, pdfs, state):
     run_id = key[0]
     seq, last = (state.get if state.exists else (0, GENESIS))
@@ -48,10 +39,10 @@ def _chain_group(key, pdfs, state):
     for r in pdf.itertuples(index=False):
         seq += 1
         eid = hashlib.sha256(f"{run_id}|{seq}".encode("utf-8")).hexdigest()
-        canon = ('{"actor":' + _js(r.actor) + ',"event_id":' + _js(eid) + ',"event_type":' + _js(r.event_type)
-                 + ',"node_name":' + _js(r.node_name) + ',"payload":' + _canon_payload(r.payload)
-                 + ',"prev_hash":' + _js(last) + ',"run_id":' + _js(run_id) + ',"sequence_number":' + str(seq)
-                 + ',"timestamp_utc":' + _js(r.timestamp_utc) + "}")
+        canon = ('{"actor":' + r.actor_json + ',"event_id":"' + eid + '","event_type":' + r.type_json
+                 + ',"node_name":' + r.node_json + ',"payload":' + r.payload_json
+                 + ',"prev_hash":"' + last + '","run_id":' + r.run_json + ',"sequence_number":' + str(seq)
+                 + ',"timestamp_utc":' + r.time_json + "}")
         h = hashlib.sha256(canon.encode("utf-8")).hexdigest()
         out.append((eid, run_id, seq, r.event_type, r.actor, r.node_name, r.timestamp_utc, r.payload, last, h))
         last = h
@@ -66,12 +57,12 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFr
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     s = (spark.readStream.schema(schema).option("basePath", sf_dir)
          .option("maxFilesPerTrigger", max_files).parquet(path))
-    # watermarks need TIMESTAMP (the session time zone reads the wall clock;
+    # windows need TIMESTAMP (the session time zone reads the wall clock;
     # UTC in our sessions); the original wall-clock value stays in ts_wall
     return s.withColumn("ts_wall", F.col("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def audit_ingest(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+def audit_ingest(events: DataFrame) -> DataFrame:
     """Streaming events (event_id, ts, user_id, event_type, props) -> chained
     audit rows, one run per user."""
     e = events.select(
@@ -81,7 +72,10 @@ def audit_ingest(events: DataFrame, watermark: str = "1 day") -> DataFrame:
         F.concat(F.col("event_type"), F.lit("_node")).alias("node_name"),
         F.concat(F.date_format("ts_wall", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp_utc"),
         F.col("props").alias("payload"))
-    e = e.withWatermark("_ts", watermark).dropDuplicatesWithinWatermark(["_eid"])
+    # the canonical texts come from the batch chain's own expressions
+    for name, c in (("actor", "actor"), ("type", "event_type"), ("node", "node_name"), ("run", "run_id"), ("time", "timestamp_utc")):
+        e = e.withColumn(f"{name}_json", _js(F.col(c)))
+    e = e.withColumn("payload_json", canonical_payload("payload")).dropDuplicates(["_eid"])
     return e.groupBy("run_id").applyInPandasWithState(
         _chain_group, _CHAIN_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 

@@ -1,11 +1,11 @@
 """Rolling event features over the ``events`` stream (ours).
 
-Tumbling (1 h), sliding (1 h every 15 min) and session (30 min gap) windows
-with a watermark. Aggregates run in ``update`` mode — state older than the
-watermark is evicted, so state stays bounded on an endless stream — and each
-micro-batch's updated rows are appended to a parquet log by ``foreachBatch``
-with the batch id; the current table is the latest row per key
-(``max_by`` over the batch id). Late rows beyond the watermark are dropped.
+Tumbling (1 h) and sliding (1 h every 15 min) windows are aggregated inside
+each micro-batch and the partial rows are logged by ``foreachBatch`` in a
+folder of the batch's own (written over if the batch is retried); the current
+table is their sum by key. No state is kept and no row is too late to count,
+in whatever order files arrive. Sessions (30 min gap) need a watermark and run
+in append mode, or over the table.
 """
 
 from __future__ import annotations
@@ -23,18 +23,22 @@ def _aggs():
     return [F.count(F.lit(1)).alias("events"), F.sum(dec("value", 4)).cast("double").alias("value_sum")]
 
 
-def tumbling(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    e = events.withWatermark("ts", watermark)
-    tum = (e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(*_aggs())
+def _partials():
+    return [F.count(F.lit(1)).alias("events"), F.sum(dec("value", 4)).alias("value_sum")]
+
+
+def tumbling(e: DataFrame) -> DataFrame:
+    """Partial rows of a batch of events."""
+    tum = (e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(*_partials())
            .select(F.lit("tumbling_1h").alias("window_kind"), "event_type",
                    F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events", "value_sum"))
     return tum
 
 
-def sliding(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    e = events.withWatermark("ts", watermark)
-    return (e.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "event_type").agg(*_aggs())
+def sliding(e: DataFrame) -> DataFrame:
+    """Partial rows of a batch of events."""
+    return (e.groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "event_type").agg(*_partials())
             .select(F.lit("sliding_1h_15m").alias("window_kind"), "event_type",
                     F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events", "value_sum"))
@@ -59,23 +63,20 @@ def sessions_batch(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
                     .alias("session_end"), "events", "value_sum")
 
 
-def run_upsert_log(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run an update-mode aggregation to completion, logging each batch's
-    updated rows, and return the latest row per key."""
+def run_partial_log(stream: DataFrame, partial, keys: list[str], name: str) -> DataFrame:
+    """Run a stream of events to completion, logging ``partial`` of each
+    micro-batch, and return the sums by key."""
     spark = stream.sparkSession
     base = shared_path(spark, "streams", f"{name}-{uuid.uuid4().hex}")
-    log = f"{base}/log"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(log)
+        partial(batch).write.mode("overwrite").parquet(f"{base}/log/batch={batch_id}")
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
+    q = (stream.writeStream.foreachBatch(sink)
          .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    t = spark.read.parquet(log)
-    vals = [c for c in t.columns if c not in keys and c != "_batch"]
-    latest = t.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_v"))
-    return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals])
+    log = spark.read.parquet(f"{base}/log")
+    return log.groupBy(*keys).agg(F.sum("events").alias("events"), F.sum("value_sum").cast("double").alias("value_sum"))
 
 
 def stream_sessions_closed(events: DataFrame, name: str = "sessions") -> DataFrame:

@@ -130,3 +130,39 @@ def test_long_run_chain_and_verify(spark):
                         .otherwise(F.col("payload")))
     v = au.verify_runs(bad).collect()[0]
     assert (v.valid, v.tampered_at_sequence, v.reason) == (False, 77_777, "hash_mismatch")
+
+
+def _verify(spark, trail):
+    return {r.run_id: r for r in au.verify_runs(trail).collect()}
+
+
+def test_missing_hashes_are_no_match(spark, chain):
+    last = chain.withColumn("event_hash", F.when(F.col("sequence_number") < 9, F.col("event_hash")))
+    assert not _verify(spark, last)["run-1"].valid
+    blank = chain.withColumn("prev_hash", F.lit(None).cast("string")).withColumn("payload", F.lit("{}"))
+    assert not _verify(spark, blank)["run-1"].valid
+    assert au.link_check(blank).first().broken_links == 9
+
+
+def test_malformed_payloads_hash_as_they_stand(spark):
+    events = _events(spark, events=FULL_RUN[:2]).withColumn("payload", F.lit("not json A"))
+    trail = au.build_chain(events)
+    assert _verify(spark, trail)["run-1"].valid
+    assert not _verify(spark, trail.withColumn("payload", F.lit("other junk B")))["run-1"].valid
+
+
+@pytest.mark.parametrize("mark", [" ", " ", "\u0085", "é", '"', "]"])
+def test_every_character_counts(spark, mark):
+    trail = au.build_chain(_events(spark, events=FULL_RUN[:2]).withColumn("node_name", F.lit(f"a{mark}b")))
+    assert _verify(spark, trail)["run-1"].valid
+    assert not _verify(spark, trail.withColumn("node_name", F.lit(f"a{mark}c")))["run-1"].valid
+
+
+def test_crossed_keys_are_ignored_in_order(spark, chain):
+    template = chain.limit(1)
+    batch = None
+    for e, n in (("e1", 1), ("e2", 1), ("e2", 5), ("e3", 5), ("e3", 7)):
+        row = template.withColumn("event_id", F.lit(e)).withColumn("run_id", F.lit("r")).withColumn("sequence_number", F.lit(n).cast("long"))
+        batch = row if batch is None else batch.union(row)
+    kept = {(r.event_id, r.sequence_number) for r in au.insert_or_ignore(chain.limit(0), batch).collect()}
+    assert kept == {("e1", 1), ("e2", 5), ("e3", 7)}

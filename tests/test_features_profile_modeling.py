@@ -81,7 +81,7 @@ def test_top_k_and_weighted_auc(spark):
     top2 = md.top_k_accuracy(df, (2,)).first().top2_accuracy
     exp = sum(1 for y, p in rows if y in sorted(range(4), key=lambda i: -p[i])[:2]) / len(rows)
     assert abs(top2 - exp) < 1e-12
-    w = md.weighted_ovr_auc(df, 4).first().weighted_auc
+    w = md.weighted_ovr_auc(df).first().weighted_auc
     aucs = [_auc_brute([(1 if y == c else 0, p[c]) for y, p in rows]) for c in range(4)]
     sup = [sum(1 for y, _ in rows if y == c) for c in range(4)]
     assert abs(w - round(sum(a * s for a, s in zip(aucs, sup)) / sum(sup), 6)) < 1e-9

@@ -94,3 +94,12 @@ def test_frequency_index_matches_string_indexer_order(spark):
     model = StringIndexer(inputCol="p", outputCol="lab").fit(df.withColumn("p", F.col("p").cast("string")))
     theirs = {int(v): float(i) for i, v in enumerate(model.labels)}
     assert ours == theirs
+
+
+def test_stddev_keeps_digits_at_a_large_mean_and_null_keys_form_a_group(spark):
+    rows = [(1, 1, 0, 1e9), (1, 2, 1, 1e9 + 0.01), (1, 3, 2, 1e9 + 0.02), (None, 1, 3, 1.0), (None, 2, 4, 2.0), (None, 3, 5, 4.0)]
+    df = spark.createDataFrame(rows, "k long, d long, i long, x double")
+    specs = {"sd": ("std", "x"), "n": ("count", "x")}
+    split, plain = ([tuple(r) for r in prior_frame(df, ["k"], ["d", "i"], specs, skew_split=s, include_current=True).orderBy("i").collect()] for s in (True, False))
+    assert split == plain
+    assert split[2][4] == 0.01 and [r[5] for r in split[3:]] == [1, 2, 3]
