@@ -6,15 +6,18 @@ give candidates; equal bits, counted and corrected for chance agreement,
 estimate the similarity; links are confirmed on the full shingle sets.
 
 No bucket's pairs are all written out. Equal sets are settled first (the one
-with the least id stands for them). In each bucket the least id is compared
-with the others, and the confirmed links are joined to components; a bucket
-that lies within one component is done. What is left goes through small groups:
-a bucket of more than ``GROUP`` members is split by a second and third shared
-band, and beyond that into blocks, and a group gives only pairs of different
-components whose estimate comes near the threshold.
+with the least id stands for them). In each bucket a leader is compared with the
+others: the member with most company over all its buckets, which in a group of
+near copies is the original they share their bands with. The confirmed links
+are joined to components; a bucket that lies within one component is done. In
+what is left the heaviest member outside the leader's component leads once more.
+The rest goes through small groups: a bucket of more than ``GROUP`` members is
+split by a second and third shared band, and beyond that into blocks; equal
+groups count once; and a group gives only pairs of different components whose
+sizes and estimate come near the threshold.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; its estimate
-stays over ``NEAR`` by six standard deviations.
+stays over ``NEAR`` by over four standard deviations (1 - 1e-5).
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows
@@ -43,7 +46,7 @@ BANDS = HASHES // ROWS
 #: Least similarity of a link, in hundredths.
 LEAST = 75
 #: Least estimate that is confirmed on full sets.
-NEAR = 0.5
+NEAR = 0.58
 #: Most members of a group compared at once.
 GROUP = 400
 #: Most ids (8 bytes each) that are broadcast to pick their texts.
@@ -196,26 +199,57 @@ def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame) ->
 
 
 def group_pairs(groups: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a group whose estimate is at
-    least ``NEAR``; with ``best``, only the best of every two components."""
+    """Pairs (a, b) of different components in a group whose sizes allow a link
+    and whose estimate is at least ``NEAR``; with ``best``, only the best of
+    every two components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own = (np.asarray(table.column(c)) for c in ("id", "component"))
+        ids, own, sizes = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles"))
         bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, own, bits = ids[order], own[order], bits[order]
-        found = {}
+        ids, own, sizes, bits = ids[order], own[order], sizes[order], bits[order]
+        a, b, score = [], [], []
         for i in range(len(ids) - 1):
-            x = estimates(bits[i], bits[i + 1 :])
-            for j in np.flatnonzero((x >= NEAR) & (own[i + 1 :] != own[i])):
-                k = i + 1 + j
-                key = (min(own[i], own[k]), max(own[i], own[k])) if best else (ids[i], ids[k])
-                if key not in found or x[j] > found[key][0]:
-                    found[key] = (x[j], ids[i], ids[k])
-        return pa.table({"a": pa.array([v[1] for v in found.values()], pa.int64()), "b": pa.array([v[2] for v in found.values()], pa.int64())})
-
-    signed = groups.join(reps.select(F.col("doc_id").alias("id"), "signature"), "id")
-    return signed.groupBy("bucket").applyInArrow(run, "a long, b long")
+            other = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= LEAST * np.maximum(sizes[i + 1 :], sizes[i])))
+            x = estimates(bits[i], bits[other])
+            near = x >= NEAR
+            a.append(np.full(int(near.sum()), i))
+            b.append(other[near])
+            score.append(x[near])
+        a, b, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, score))
+        if best and len(a):
+            low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
+            order = np.lexsort((-score, high, low))
+            low, high = low[order], high[order]
+            first = order[np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))]
+            a, b = a[first], b[first]
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    # many bands give the same members: one group of each is enough
+    g = groups.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
+    one = g.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    signed = groups.join(one, "bucket").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "signature"), "id")
+    return signed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+
+def star_pairs(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(a, b): each bucket's leader a and its other members b that are not yet
+    of its component. The leader is the member whose buckets hold most members
+    together; once components are known, the heaviest outside the component
+    that holds the heaviest."""
+    members = members.select("bucket", "id", *([] if component is None else ["component"]))
+    size = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weight = members.join(size, "bucket").groupBy("id").agg(F.sum("size").alias("weight"))
+    m = members.join(weight, "id")
+    rank = F.struct("weight", -F.col("id"))
+    if component is None:
+        leader = m.groupBy("bucket").agg(F.max_by("id", rank).alias("a"))
+        return members.join(leader, "bucket").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    # members already carry their component here
+    first = m.groupBy("bucket").agg(F.max_by("component", rank).alias("led"))
+    second = m.join(first, "bucket").where("component <> led").groupBy("bucket").agg(F.max_by(F.struct("id", "component"), rank).alias("lead"))
+    second = second.select("bucket", F.col("lead.id").alias("a"), F.col("lead.component").alias("of"))
+    return members.join(second, "bucket").where("component <> of").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,10 +261,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = cut_lineage(reps.where("n_shingles > 0").select("doc_id", "n_shingles", "signature", "bands"), "representatives")
     members = cut_lineage(shared_buckets(reps), "buckets")
 
-    leader = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    stars = members.join(leader, "bucket").where("a < id").select("a", F.col("id").alias("b"))
-    links = confirm(stars, reps, docs)
+    links = confirm(star_pairs(members, None), reps, docs)
     component = components(links)
+    left = cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
+    more = confirm(star_pairs(left, component), reps, docs)
+    if not more.isEmpty():
+        links = links.union(more)
+        component = components(links)
+    members = left.select("bucket", "id")
     for best in (True, False):
         pairs = cut_lineage(group_pairs(small_groups(members, reps.select(F.col("doc_id").alias("id"), "bands"), component), reps, best), "pairs")
         if pairs.isEmpty():
