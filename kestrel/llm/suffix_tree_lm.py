@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,18 +38,18 @@ GAIN = 2.0
 MASS = 8.0
 SPLIT = 1 << 18
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6 * 1024 * 1024
-FINGER = 40
+BLOCK_BYTES = 8 * 1024 * 1024
 END = np.uint64(0x243F6A8885A308D3)
 MESSAGE = "block int, level int, shard int, body binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def bundle(*parts: bytes) -> bytes:
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+    return zstandard.ZstdCompressor().compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
 
 
 def unbundle(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(data[:4], "<u4")[0])
     at = 4 + 4 * n + np.append(0, np.cumsum(np.frombuffer(data[4 : 4 + 4 * n], "<u4").astype(np.int64)))
     return [data[a:b] for a, b in zip(at, at[1:])]
@@ -103,9 +104,12 @@ class Block:
         cut = _starts(shard)
         return [(int(shard[a]), bundle(pack(steps(self.vocab[a:b])), pack(counts[a:b]))) for a, b in zip(cut, [*cut[1:], len(shard)])]
 
-    def hear_words(self, answers: list[bytes]) -> None:
-        """Every shard says its tokens and distinct words, and the counts of what was asked."""
-        parts = [unbundle(a) for a in answers]
+    def hear_words(self, answers: list[tuple[int, bytes]], shards: int) -> None:
+        """Every shard says its tokens and distinct words, and the counts and
+        ranks of what was asked: rank and shard number a word everywhere alike."""
+        parts = [unbundle(a) for _, a in answers]
+        ranks = [np.cumsum(unpack(p[2]), dtype=np.uint64) * np.uint64(shards) + np.uint64(s) for (s, _), p in zip(answers, parts)]
+        self.number = np.concatenate(ranks)[self.word] if parts else np.zeros(0, np.uint64)
         totals = [unpack(p[0]) for p in parts]
         self.n, self.v = (int(sum(int(t[i]) for t in totals)) for i in (0, 1))
         counts = np.concatenate([unpack(p[1]) for p in parts]) if parts else np.zeros(0, np.uint64)
@@ -123,29 +127,30 @@ class Block:
         """Tokens whose context is tested at this level, in the order of
         (shard, context, part, next word), with where equal ones begin."""
         own = np.flatnonzero((self.place >= level) & (self.context_count >= LEAST) & self.kept)
-        s, finger = self.context[own], mix(self.h[own] ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FINGER)
+        s, word = self.context[own], self.number[own]
         parts = -(-self.context_count[own] // split)
-        part = (finger * parts.astype(np.uint64)) >> np.uint64(FINGER)
+        part = ((mix(word + np.uint64(1)) >> np.uint64(32)) * parts.astype(np.uint64)) >> np.uint64(32)
         shard = shard_of(mix(s + part * np.uint64(0xD1342543DE82EF95)), 64, shards)
         # one sort: contexts numbered in the order of (shard, context, part)
         run = np.lexsort((part, s, shard))
         at = _starts(shard[run], s[run], part[run])
         number = np.empty(len(own), np.uint64)
         number[run] = _spread(np.arange(len(at), dtype=np.uint64), at, len(run))
-        if len(at) < 2 ** (64 - FINGER):
-            order = np.argsort(number << np.uint64(FINGER) | finger, kind="stable")
+        bits = int(word.max(initial=np.uint64(0))).bit_length()
+        if len(at) < 2 ** (64 - bits):
+            order = np.argsort(number << np.uint64(bits) | word, kind="stable")
         else:
-            order = np.lexsort((finger, number))
-        return own[order], shard[order], s[order], part[order], finger[order], number[order]
+            order = np.lexsort((word, number))
+        return own[order], shard[order], s[order], part[order], word[order], number[order]
 
     def ask_contexts(self, level: int, shards: int, split: int) -> list[tuple[int, bytes]]:
-        own, shard, s, part, finger, number = self.entries(level, shards, split)
-        at = _starts(number, finger)
+        own, shard, s, part, word, number = self.entries(level, shards, split)
+        at = _starts(number, word)
         counts = np.add.reduceat(self.train[own].astype(np.uint64), at) if len(at) else np.zeros(0, np.uint64)
-        own, shard, s, part, finger, number = (x[at] for x in (own, shard, s, part, finger, number))
-        delta = steps(finger)
+        own, shard, s, part, word, number = (x[at] for x in (own, shard, s, part, word, number))
+        delta = steps(word)
         head = _starts(number)
-        delta[head] = finger[head]
+        delta[head] = word[head]
         size = np.diff(np.append(head, len(number))).astype(np.uint64)
         cut = _starts(shard)
         out = []
@@ -159,8 +164,8 @@ class Block:
         return out
 
     def hear_contexts(self, level: int, shards: int, split: int, answers: list[bytes], shared: list[bytes]) -> None:
-        own, shard, s, part, finger, number = self.entries(level, shards, split)
-        at = _starts(number, finger)
+        own, shard, s, part, word, number = self.entries(level, shards, split)
+        at = _starts(number, word)
         head = _starts(number[at])
         said = [unbundle(a) for a in answers]
         verdict = np.concatenate([np.frombuffer(x[0], np.uint8) for x in said]) if said else np.zeros(0, np.uint8)
@@ -203,7 +208,8 @@ class Block:
 
 
 def merge_words(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
-    """Of one shard: the answer to each message, and the shard's totals."""
+    """Of one shard: the answer to each message (totals, counts, and the words'
+    ranks in the shard), and the shard's totals alone."""
     parts = [unbundle(b) for b in bodies]
     names = [np.cumsum(unpack(p[0]), dtype=np.uint64) for p in parts]
     counts = [unpack(p[1]) for p in parts]
@@ -213,9 +219,11 @@ def merge_words(bodies: list[bytes]) -> tuple[list[bytes], bytes]:
     total = np.add.reduceat(source[order], at)
     back = np.empty(len(every), np.uint64)
     back[order] = _spread(total, at, len(every))
+    rank = np.empty(len(every), np.uint64)
+    rank[order] = _spread(np.arange(len(at), dtype=np.uint64), at, len(every))
     totals = pack(np.array([int(total.sum()), int((total > 0).sum())], np.uint64))
     cut = np.append(0, np.cumsum([len(x) for x in names]))
-    return [bundle(totals, pack(back[a:b])) for a, b in zip(cut, cut[1:])], bundle(totals, b"")
+    return [bundle(totals, pack(back[a:b]), pack(steps(rank[a:b]))) for a, b in zip(cut, cut[1:])], bundle(totals, b"", b"")
 
 
 def merge_contexts(bodies: list[bytes], split: int) -> tuple[list[bytes], bytes | None]:
@@ -227,12 +235,12 @@ def merge_contexts(bodies: list[bytes], split: int) -> tuple[list[bytes], bytes
     part = [unpack(p[1]) for p in parts]
     n = [unpack(p[2]).astype(np.int64) for p in parts]
     size = [unpack(p[3]).astype(np.int64) for p in parts]
-    fingers = []
+    numbers = []
     for p, z in zip(parts, size):
         delta = unpack(p[4])
         run = np.cumsum(delta, dtype=np.uint64)
         head = np.append(0, np.cumsum(z))[:-1]
-        fingers.append(run - np.repeat(run[head] - delta[head], z))
+        numbers.append(run - np.repeat(run[head] - delta[head], z))
     each = np.concatenate(size)
     all_s, all_part, all_n = np.concatenate(s), np.concatenate(part), np.concatenate(n)
     order = np.lexsort((all_part, all_s))
@@ -240,11 +248,11 @@ def merge_contexts(bodies: list[bytes], split: int) -> tuple[list[bytes], bytes
     number = np.empty(len(all_s), np.int64)
     number[order] = _spread(np.arange(len(at)), at, len(order))
     run_s, run_n = all_s[order][at], all_n[order][at]
-    entry, finger = np.repeat(number, each), np.concatenate(fingers)
+    entry, word = np.repeat(number, each), np.concatenate(numbers)
     counts = np.concatenate([unpack(p[5]) for p in parts]).astype(np.int64)
     prior = np.concatenate([np.frombuffer(p[6], np.uint8) for p in parts])
-    by = np.lexsort((finger, entry))
-    first = _starts(entry[by], finger[by])
+    by = np.lexsort((word, entry))
+    first = _starts(entry[by], word[by])
     total = np.add.reduceat(counts[by], first)
     p0 = _of_byte(prior[by][first])
     seen = total > 0
@@ -287,7 +295,7 @@ def suffix_tree_scores(docs: DataFrame, held_out, depth: int = DEPTH, split: int
         said: dict[int, list[tuple[int, bytes]]] = {}
         for level, shard, body in zip(*(answers.column(c).to_pylist() for c in ("level", "shard", "body"))):
             said.setdefault(level, []).append((shard, body))
-        b.hear_words([x for _, x in sorted(said.get(0, []))])
+        b.hear_words(sorted(said.get(0, [])), shards)
         for level in range(1, levels + 1):
             shared = [x for _, x in sorted(said.get(-level, []))]
             b.hear_contexts(level, shards, split, [x for _, x in sorted(said.get(level, []))], shared)
