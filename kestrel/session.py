@@ -67,6 +67,15 @@ def cut_lineage(df: DataFrame, name: str = "materialized") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not
+    installed (their Python workers import it by name)."""
+    import shutil
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="kestrel-ship-"), "kestrel")
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "kestrel"))
+
+
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table: ``<sf_dir>/<name>.parquet``, local or remote."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

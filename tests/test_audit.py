@@ -136,7 +136,8 @@ def _verify(spark, trail):
     return {r.run_id: r for r in au.verify_runs(trail).collect()}
 
 
-def test_missing_hashes_are_no_match(spark, chain):
+def test_missing_hashes_are_no_match(spark):
+    chain = au.build_chain(_events(spark))
     last = chain.withColumn("event_hash", F.when(F.col("sequence_number") < 9, F.col("event_hash")))
     assert not _verify(spark, last)["run-1"].valid
     blank = chain.withColumn("prev_hash", F.lit(None).cast("string")).withColumn("payload", F.lit("{}"))
@@ -158,7 +159,8 @@ def test_every_character_counts(spark, mark):
     assert not _verify(spark, trail.withColumn("node_name", F.lit(f"a{mark}c")))["run-1"].valid
 
 
-def test_crossed_keys_are_ignored_in_order(spark, chain):
+def test_crossed_keys_are_ignored_in_order(spark):
+    chain = au.build_chain(_events(spark))
     template = chain.limit(1)
     batch = None
     for e, n in (("e1", 1), ("e2", 1), ("e2", 5), ("e3", 5), ("e3", 7)):
