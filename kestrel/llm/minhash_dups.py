@@ -209,12 +209,16 @@ def group_pairs(groups: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         ids, own, sizes, bits = ids[order], own[order], sizes[order], bits[order]
         a, b, score = [], [], []
-        for i in range(len(ids) - 1):
-            other = i + 1 + np.flatnonzero((own[i + 1 :] != own[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= LEAST * np.maximum(sizes[i + 1 :], sizes[i])))
-            x = estimates(bits[i], bits[other])
+        least, most = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+        worth = np.triu((own[:, None] != own) & (100 * least >= LEAST * most), 1)
+        i, j = np.nonzero(worth)
+        nothing = np.zeros(bits.shape[1], np.uint64)
+        for at in range(0, len(i), 20_000):
+            left, right = i[at : at + 20_000], j[at : at + 20_000]
+            x = estimates(nothing, bits[left] ^ bits[right])
             near = x >= NEAR
-            a.append(np.full(int(near.sum()), i))
-            b.append(other[near])
+            a.append(left[near])
+            b.append(right[near])
             score.append(x[near])
         a, b, score = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b, score))
         if best and len(a):
