@@ -5,7 +5,8 @@ of at least ``WINDOW`` characters is a candidate; its character class (hex,
 letters and digits, base64) sets the entropy a window must reach. The window
 slides one character at a time over counts that are updated incrementally;
 overlapping windows that reach the threshold join into one span. Candidates
-matched by the allow list, and spans that touch a base span, are suppressed.
+matched by the allow list are suppressed; what a base span covers of an entropy
+span is left to the base span, the rest on both sides stays.
 
 Null text: empty, no spans. One output row per input row; an empty table gives
 an empty result; other columns play no part (``redact`` passes them on).
@@ -109,6 +110,17 @@ def entropy_spans(run: str, window: int = WINDOW, least_bits: dict[str, float] =
     return out
 
 
+def outside(start: int, end: int, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans leave over of one from start to end."""
+    out = []
+    for a, b in sorted(spans):
+        if a < end and b > start:
+            if a > start:
+                out.append((start, a))
+            start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def scan_chunk(texts: pa.Array, allow: Sequence[str] = ALLOW) -> list[list[tuple[str, int, int]]]:
     """The spans (kind, start, end in code points) of each text, by start and kind."""
     allowed = re.compile("|".join(f"(?:{x})" for x in allow)) if allow else None
@@ -133,7 +145,8 @@ def scan_chunk(texts: pa.Array, allow: Sequence[str] = ALLOW) -> list[list[tuple
         spans = [] if allowed and allowed.fullmatch(run) else entropy_spans(run)
         if spans:
             i, start, _ = place(a, b)
-            found[i] += [("entropy", start + x, start + y) for x, y in spans if all(start + y <= s or e <= start + x for _, s, e in base[i])]
+            rest = [r for x, y in spans for r in outside(x, y, [(s - start, e - start) for _, s, e in base[i]])]
+            found[i] += [("entropy", start + x, start + y) for x, y in rest if any(c.isalnum() for c in run[x:y])]
     for x in found:
         x.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return found
