@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy.
 
 Fixed patterns give the base spans. Beyond them, every run of token characters
-of at least ``WINDOW`` characters is a candidate; its character class (hex,
+of at least ``WINDOW`` characters is a candidate, and so is every part of it
+that is hex, or letters and digits, alone; the character class of each (hex,
 letters and digits, base64) sets the entropy a window must reach. The window
 slides one character at a time over counts that are updated incrementally;
 overlapping windows that reach the threshold join into one span. Candidates
@@ -46,6 +47,8 @@ ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
     r"(?:[A-Za-z]+[-_/=+])*[A-Za-z]+[0-9]{1,4}",
 )
+#: Parts of a run that are of one class, though the run is not.
+PARTS = tuple(re.compile(f"[{x}]{{{WINDOW},}}") for x in ("0-9a-f", "0-9A-F", "0-9A-Za-z"))
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 
 _HEX = np.zeros(256, bool)
@@ -110,6 +113,20 @@ def entropy_spans(run: str, window: int = WINDOW, least_bits: dict[str, float] =
     return out
 
 
+def run_spans(run: str, allowed: re.Pattern | None = None) -> list[tuple[int, int]]:
+    """Joined spans of the run as a whole and of each part of one class in it,
+    judged by that class, unless the part is on the allow list."""
+    parts = {(m.start(), m.end()) for p in PARTS for m in p.finditer(run)} - {(0, len(run))}
+    spans = entropy_spans(run) + [(a + x, a + y) for a, b in parts if not (allowed and allowed.fullmatch(run[a:b])) for x, y in entropy_spans(run[a:b])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def outside(start: int, end: int, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     """What the spans leave over of one from start to end."""
     out = []
@@ -142,7 +159,7 @@ def scan_chunk(texts: pa.Array, allow: Sequence[str] = ALLOW) -> list[list[tuple
     base = [list(x) for x in found]
     for a, b in zip(*runs(data, at, _TOKEN, WINDOW)):
         run = data[a:b].tobytes().decode()
-        spans = [] if allowed and allowed.fullmatch(run) else entropy_spans(run)
+        spans = [] if allowed and allowed.fullmatch(run) else run_spans(run, allowed)
         if spans:
             i, start, _ = place(a, b)
             rest = [r for x, y in spans for r in outside(x, y, [(s - start, e - start) for _, s, e in base[i]])]

@@ -33,3 +33,32 @@ def test_what_is_left_of_spans():
         spans = [tuple(sorted(rng.sample(range(40), 2))) for _ in range(rng.randint(0, 4))]
         left = {i for x, y in secrets.outside(a, b, spans) for i in range(x, y)}
         assert left == {i for i in range(a, b) if not any(x <= i < y for x, y in spans)}
+
+
+def test_hex_joined_to_anything_is_judged_as_hex():
+    rng = random.Random(4)
+    for before in ("sig=", "key-", "id_", "a/", "x+", "Zz", ""):
+        for digits, n in (("0123456789abcdef", 24), ("0123456789abcdef", 31), ("0123456789ABCDEF", 24), ("0123456789ABCDEF", 40)):
+            hits = 0
+            for _ in range(200):
+                text = before + "".join(rng.choice(digits) for _ in range(n))
+                hits += any(k == "entropy" and a <= len(before) and b == len(text) for k, a, b in found(text))
+            assert hits >= 0.95 * 200, (before, n, hits)
+
+
+def test_each_window_counts_by_its_own_part():
+    """Brute force: a window of one class inside a run of another."""
+    rng = random.Random(8)
+    for _ in range(300):
+        run = "".join(rng.choice(["=", "-", "_", "/", "zZ", *["".join(rng.choice("0123456789abcdef") for _ in range(9))] * 6, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(12))]) for _ in range(8))
+        hits = {k for a, b in secrets.run_spans(run) for k in range(a, b)}
+        want = {k for a, b in secrets.entropy_spans(run) for k in range(a, b)}
+        for p in secrets.PARTS:
+            for m in p.finditer(run):
+                want |= {m.start() + k for a, b in secrets.entropy_spans(m[0]) for k in range(a, b)}
+        assert hits == want
+
+
+def test_plain_parts_stay_suppressed():
+    for text in ("order_20240101123456789012", "id_123e4567-e89b-12d3-a456-426614174000"[3:], "x/abcdefghijklmnopqrstuvwxyz", "some-words-joined-and_more12"):
+        assert found(text) == []
