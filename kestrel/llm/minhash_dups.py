@@ -11,13 +11,15 @@ others: the member with most company over all its buckets, which in a group of
 near copies is the original they share their bands with. The confirmed links
 are joined to components; a bucket that lies within one component is done. In
 what is left the heaviest member outside the leader's component leads once more.
-The rest goes through small groups: a bucket of more than ``GROUP`` members is
-split by a second and third shared band, and beyond that into blocks; equal
-groups count once; and a group gives only pairs of different components whose
-sizes and estimate come near the threshold.
+The rest goes through small groups: equal groups count once, and a group gives
+only pairs of different components whose sizes and estimate come near the
+threshold. Of a bucket of more than ``GROUP`` members, first the parts that
+share a second and third band are looked at and joined; then every two blocks of
+the members of what is still unsettled meet, so that one shared band is enough
+in a bucket of any size.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; its estimate
-stays over ``NEAR`` by over four standard deviations (1 - 1e-5).
+stays over ``NEAR`` by over six standard deviations (1 - 2e-9).
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows
@@ -46,7 +48,7 @@ BANDS = HASHES // ROWS
 #: Least similarity of a link, in hundredths.
 LEAST = 75
 #: Least estimate that is confirmed on full sets.
-NEAR = 0.58
+NEAR = 0.5
 #: Most members of a group compared at once.
 GROUP = 400
 #: Most ids (8 bytes each) that are broadcast to pick their texts.
@@ -175,12 +177,13 @@ def unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     return m.join(several.select("bucket", "size"), "bucket")
 
 
-def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, id, component): groups of at most ``GROUP`` members or so that
-    hold every pair worth comparing. A larger bucket is split by one more
-    shared band, twice at most, then into pairs of blocks."""
+def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame, best: bool) -> DataFrame:
+    """(bucket, id, component): groups of at most ``GROUP`` members or so. With
+    ``best``, a larger bucket is split by one more shared band, twice at most,
+    then into pairs of blocks; else into pairs of blocks at once, so that every
+    pair of its members is in a group."""
     out, todo = None, cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
-    for _ in range(2):
+    for _ in range(2 if best else 0):
         fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
         out = fine if out is None else out.union(fine)
         large = todo.where(F.col("size") > GROUP)
@@ -190,8 +193,10 @@ def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame) ->
         finer = finer.select(F.array_sort(F.array_append("used", F.col("more"))).alias("used"), "id")
         finer = finer.select(F.xxhash64("used").alias("bucket"), "used", "id").distinct()
         todo = cut_lineage(unsettled(finer, component), "unsettled")
-    out = out.union(todo.where(F.col("size") <= GROUP).select("bucket", "id", "component"))
-    large = todo.where(F.col("size") > GROUP).withColumn("blocks", F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int"))
+    fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
+    out = fine if out is None else out.union(fine)
+    large = todo.where(F.col("size") > GROUP)
+    large = large.withColumn("blocks", F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = large.withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     parts = parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component")
@@ -274,9 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component = components(links)
     members = left.select("bucket", "id")
     for best in (True, False):
-        pairs = cut_lineage(group_pairs(small_groups(members, reps.select(F.col("doc_id").alias("id"), "bands"), component), reps, best), "pairs")
+        pairs = cut_lineage(group_pairs(small_groups(members, reps.select(F.col("doc_id").alias("id"), "bands"), component, best), reps, best), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         more = confirm(pairs, reps, docs)
         if not more.isEmpty():
             links = links.union(more)
