@@ -8,6 +8,7 @@ from kestrel.llm.linear_packing import op6_linear_packing
 from kestrel.llm.minhash_dups import op3_minhash_dups
 from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
+from kestrel.llm.rank_queue_bpe import op11_bitmap_bpe
 from kestrel.llm.secrets import op5_secret_scan
 from kestrel.llm.sketch_substrings import op4_sketch_substrings
 from kestrel.llm.suffix_tree_lm import op8_suffix_tree_lm
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_tree_lm": op8_suffix_tree_lm,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op11_bitmap_bpe": op11_bitmap_bpe,
 }
 
 #: DuckDB SQL where SQL expresses the whole query.
