@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from kestrel.llm.chat_format import op9_chat_format
+from kestrel.llm.divergence_audit import ORACLE_SQL as DIVERGENCE_SQL
+from kestrel.llm.divergence_audit import op12_divergence_audit
 from kestrel.llm.latent_decontamination import op1_latent_decontamination
 from kestrel.llm.linear_packing import op6_linear_packing
 from kestrel.llm.minhash_dups import op3_minhash_dups
@@ -26,7 +28,8 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
     "op11_bitmap_bpe": op11_bitmap_bpe,
+    "op12_divergence_audit": op12_divergence_audit,
 }
 
 #: DuckDB SQL where SQL expresses the whole query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_divergence_audit": DIVERGENCE_SQL}
