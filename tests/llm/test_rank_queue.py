@@ -31,15 +31,23 @@ def test_queue_gives_lowest_rank_and_ascending_numbers():
     for _ in range(5000):
         if rng.random() < 0.6:
             rank, number = rng.choice([rng.randrange(60_000), rng.randrange(70)]), rng.randrange(100)
-            queue.put(rank, [number])
-            held.setdefault(rank, []).append(number)
+            if rng.random() < 0.5:
+                queue.put(rank, number)
+            else:
+                queue.put_all(np.array([rank, -1], np.int32), np.array([number, 5], np.int32))
+            held.setdefault(rank, set()).add(number)
         else:
             rank = min(held, default=-1)
-            assert queue.take() == (rank, sorted(held.pop(rank, [])))
+            assert taken(queue) == (rank, sorted(held.pop(rank, [])))
     while held:
         rank = min(held)
-        assert queue.take() == (rank, sorted(held.pop(rank)))
-    assert queue.take() == (-1, [])
+        assert taken(queue) == (rank, sorted(held.pop(rank)))
+    assert taken(queue) == (-1, [])
+
+
+def taken(queue):
+    rank, numbers = queue.take()
+    return rank, list(numbers)
 
 
 @pytest.mark.parametrize("name", NAMES)
