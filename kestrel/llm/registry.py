@@ -5,6 +5,8 @@ from __future__ import annotations
 from kestrel.llm.chat_format import op9_chat_format
 from kestrel.llm.divergence_audit import ORACLE_SQL as DIVERGENCE_SQL
 from kestrel.llm.divergence_audit import op12_divergence_audit
+from kestrel.llm.hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from kestrel.llm.hard_negatives import op13_hard_negatives
 from kestrel.llm.latent_decontamination import op1_latent_decontamination
 from kestrel.llm.linear_packing import op6_linear_packing
 from kestrel.llm.minhash_dups import op3_minhash_dups
@@ -29,7 +31,8 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_bitmap_bpe": op11_bitmap_bpe,
     "op12_divergence_audit": op12_divergence_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL where SQL expresses the whole query.
-ORACLES: dict[str, str] = {"op12_divergence_audit": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op12_divergence_audit": DIVERGENCE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
