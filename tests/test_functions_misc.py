@@ -60,14 +60,17 @@ def test_csv_export(spark):
 
 
 def test_model_registry_and_regression(spark):
+    from pyspark.ml import PipelineModel
+
     from kestrel.operators import ml
+    from kestrel.operators.model_registry import ModelRegistry
     rows = [(float(i), float(i % 7), 2.0 * i + (i % 7)) for i in range(200)]
     df = spark.createDataFrame(rows, "a double, b double, y double")
     model = ml.fit(df, ["a", "b"], "y", "regression", trees=5, depth=3)
     base = tempfile.mkdtemp(prefix="kestrel-model-")
-    ml.save_model(model, f"{base}/v1")
-    ml.register_model(spark, f"{base}/registry", "m", 1, f"{base}/v1", "Champion")
-    loaded = ml.load_model_by_alias(spark, f"{base}/registry", "m", "Champion")
+    models = ModelRegistry(spark, base)
+    models.promote("m", models.register("m", lambda folder: model.write().save(folder)))
+    loaded = PipelineModel.load(models.resolve("m")[1])
     scored = ml.score(loaded, df.withColumn("k", F.col("a")), ["k"], "m", "2024-01-01")
     assert scored.count() == 200 and set(scored.columns) >= {"k", "prediction", "score_date", "model_name"}
     # every score row keeps its key (no row-id join)
