@@ -5,10 +5,12 @@ Event schema (F-4): event_id, run_id, sequence_number, event_type, actor,
 node_name, timestamp_utc, payload (JSON text), prev_hash, event_hash.
 
 event_hash = SHA-256 of the canonical JSON of every field except event_hash:
-keys sorted, separators ``,`` and ``:``, non-ASCII as it is; batch and stream
-build the same text (``exact_event_hash`` is the original application's form,
-for trails that it wrote). ``prev_hash`` is
-the previous event's hash in sequence order, ``GENESIS`` for the first.
+keys sorted at every level, separators ``,`` and ``:``, non-ASCII as ``\\uXXXX``,
+numbers as Python writes them. This is byte for byte the original application's
+form; batch, stream and verification all use it. A payload that is no JSON text
+is written as ``!`` and a JSON string, which no JSON payload can look like.
+``prev_hash`` is the previous event's hash in sequence order, ``GENESIS`` for
+the first.
 
 * Building a chain is sequential inside a run (each hash needs the previous
   one). Runs are spread over partitions by hash, each partition is sorted
@@ -44,20 +46,43 @@ EVENT_FIELDS = ["event_id", "run_id", "sequence_number", "event_type", "actor",
 # canonical JSON
 # --------------------------------------------------------------------------
 
-def _js(c: Column) -> Column:
-    """JSON string literal of a text column (``null`` for NULL): the one
-    element of an array, without its brackets."""
-    t = F.to_json(F.array(c))
-    return F.substring(t, F.lit(2), F.length(t) - 2)
+def _js(c) -> Column:
+    """JSON string literal of a text column (``null`` for NULL), ASCII only. Text
+    of printable ASCII takes the fast way; else the UTF-16 code units are
+    written one by one (a character beyond them is a surrogate pair)."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    short = F.create_map(*[F.lit(x) for u, e in (("0022", '\\"'), ("005C", "\\\\"), ("0008", "\\b"), ("0009", "\\t"), ("000A", "\\n"), ("000C", "\\f"), ("000D", "\\r")) for x in (u, e)])
+    unit = lambda u: F.coalesce(
+        F.try_element_at(short, u),
+        F.when((u >= "0020") & (u <= "007E"), F.char(F.conv(u, 16, 10).cast("long"))),
+        F.concat(F.lit("\\u"), F.lower(u)))
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
+    long = F.concat(F.lit('"'), F.array_join(F.transform(units, unit), ""), F.lit('"'))
+    return F.when(c.isNull(), F.lit("null")).when(c.rlike(r"[^\x20-\x7E]"), long).otherwise(plain)
+
+
+def _canonical(payload: str | None) -> str:
+    """The payload's canonical text, as the module says."""
+    if payload is None:
+        return "null"
+    try:
+        return json.dumps(json.loads(payload), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    except (ValueError, RecursionError):
+        return "!" + json.dumps(payload)
+
+
+@F.pandas_udf(T.StringType())
+def _canonical_payloads(payload: pd.Series) -> pd.Series:
+    known = {p: _canonical(p) for p in payload.unique()}
+    return payload.map(known.__getitem__)
 
 
 def canonical_payload(c) -> Column:
-    """Payload JSON text -> canonical text (keys sorted at every level,
-    compact separators) through the VARIANT type; NULL stays ``null``. Text
-    that is not JSON is hashed as it stands, as ``{"$raw":"..."}``."""
-    c = F.col(c) if isinstance(c, str) else c
-    raw = F.concat(F.lit('{"$raw":'), _js(c), F.lit("}"))
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.coalesce(F.to_json(F.try_parse_json(c)), raw))
+    """Payload JSON text -> canonical text; ``null`` for NULL. JSON of any depth
+    with Python's number forms has no expression, so an Arrow function reads
+    each distinct payload of a batch once."""
+    return F.coalesce(_canonical_payloads(F.col(c) if isinstance(c, str) else c), F.lit("null"))
 
 
 def hash_parts(df: DataFrame) -> DataFrame:
@@ -85,29 +110,19 @@ def recomputed_hash(df: DataFrame) -> Column:
     return F.sha2(F.concat(F.col("_before"), F.col("prev_hash"), F.col("_after")), 256)
 
 
-def _parsed(payload: str | None):
-    """The payload's value; text that is not JSON as it stands."""
-    try:
-        return None if payload is None else json.loads(payload)
-    except ValueError:
-        return {"$raw": payload}
-
-
 @F.pandas_udf(T.StringType())
 def exact_event_hash(actor: pd.Series, event_id: pd.Series, event_type: pd.Series,
                      node_name: pd.Series, payload: pd.Series, prev_hash: pd.Series,
                      run_id: pd.Series, seq: pd.Series, ts: pd.Series) -> pd.Series:
-    """Byte-exact form of the reference hashing (Python ``json.dumps`` with
-    sorted keys and ASCII escapes), Arrow-batched. Used to verify trails
-    written by the original application, whose payload numbers and escapes
-    the native form may render differently."""
+    """The same hash, the whole event written by Python's ``json`` (sorted keys,
+    ASCII escapes): an independent check of the expressions above."""
     out = []
     for a, e, t, n, p, ph, r, s, u in zip(actor, event_id, event_type, node_name, payload,
                                           prev_hash, run_id, seq, ts):
-        fields = {"actor": a, "event_id": e, "event_type": t, "node_name": n,
-                  "payload": _parsed(p), "prev_hash": ph,
+        fields = {"actor": a, "event_id": e, "event_type": t, "node_name": n, "payload": None, "prev_hash": ph,
                   "run_id": r, "sequence_number": int(s), "timestamp_utc": u}
-        canon = json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        written = {k: json.dumps(v) for k, v in fields.items()} | {"payload": _canonical(p)}
+        canon = "{" + ",".join(f'"{k}":{written[k]}' for k in sorted(written)) + "}"
         out.append(hashlib.sha256(canon.encode("utf-8")).hexdigest())
     return pd.Series(out)
 

@@ -14,6 +14,29 @@ def stream_audit_chain(spark, sf_dir):
     return ai.run_to_table(ai.audit_ingest(ai.event_stream(spark, sf_dir)), "audit_ingest")
 
 
+def stream_audit_replayed(spark, sf_dir):
+    """Z1 on a careless source: the events in four files of no time order, every
+    eleventh without an id, every seventh of those with one sent again in a
+    later file. Per run: every event is there once, the chain holds."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from kestrel.operators import audit as au
+    from kestrel.session import shared_path
+    from kestrel.sources.tables import table
+    events = table(spark, sf_dir, "events").withColumn("_file", F.pmod("event_id", F.lit(4)))
+    events = events.withColumn("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_id")))
+    again = events.where("event_id % 7 = 0").withColumn("_file", F.lit(4).cast("long"))
+    both = events.unionByName(again)
+    folder = shared_path(spark, "tables", f"replayed-{uuid.uuid4().hex}")
+    for k in (2, 0, 3, 1, 4):  # their order in time is that of writing
+        both.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    trail = ai.run_to_table(ai.audit_ingest(ai.event_stream(spark, folder)), "replayed")
+    runs = au.verify_runs(trail).join(au.run_completeness(trail).select("run_id", "gap_free"), "run_id")
+    return runs.select("run_id", "valid", "event_count", "gap_free", "reason")
+
+
 def stream_event_windows(spark, sf_dir):
     """Tumbling and sliding hourly windows per event type."""
     keys = ["window_kind", "event_type", "window_start", "window_end"]
@@ -32,6 +55,7 @@ def event_sessions(spark, sf_dir):
 
 QUERIES = {
     "stream_audit_chain": stream_audit_chain,
+    "stream_audit_replayed": stream_audit_replayed,
     "stream_event_windows": stream_event_windows,
     "event_sessions": event_sessions,
 }
@@ -40,6 +64,9 @@ _VSUM = "CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value_sum"
 
 ORACLES = {
     "stream_audit_chain": AUDIT_ORACLES["audit_chain"],
+    "stream_audit_replayed": """
+SELECT CAST(user_id AS VARCHAR) AS run_id, true AS valid, count(*) AS event_count, true AS gap_free, CAST(NULL AS VARCHAR) AS reason
+FROM events GROUP BY user_id""",
     "stream_event_windows": f"""
 SELECT 'tumbling_1h' AS window_kind, event_type, date_trunc('hour', ts) AS window_start,
        date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS events, {_VSUM}

@@ -1,53 +1,106 @@
 """Streaming audit ingest (ours; the reference writes events one by one
 from a process with an in-memory map run -> (last sequence, last hash)).
 
-The stream deduplicates events by id (INSERT OR IGNORE semantics; without a
-watermark, as an audit trail must not drop a late event, so the state holds
-every id seen), then ``applyInPandasWithState`` keeps, per run, only
-(last sequence, last hash) as state. Each micro-batch's events of a run are
-sorted, numbered from the stored sequence (arrival order across
-micro-batches, time order inside one) and chained from the stored hash;
-the state is O(1) per run, and a run's rows held at once are bounded by the
-micro-batch size (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``).
-
-The hash is the same canonical JSON as the batch chain (``operators.audit``),
-so streamed and batch-built trails verify identically.
+A run is a key of ``transformWithState`` with two states in one store: the
+chain's end (sequence, hash), and the ids the run has taken. An event whose id
+the run has is ignored (INSERT OR IGNORE); an event without an id is always
+taken. The ids stay for good, or, where the source cannot repeat an event
+later than that, until the run has events ``id_ttl`` later (event time; they are
+looked through each time the run has moved on by an eighth of it).
+
+Events of a run are numbered in the order in which micro-batches bring them,
+and inside a micro-batch by day, time, id and payload. Rows stream through: up
+to ``HELD`` of them are held, more wait in the store by hour until all of the
+micro-batch have been read, and are then chained hour by hour, so a run that
+fills a micro-batch takes the memory of one of its hours.
+
+The canonical texts come from the batch chain's own expressions
+(``operators.audit``), so streamed and batch-built trails verify identically.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kestrel.operators.audit import _CHAIN_SCHEMA, GENESIS, _js, canonical_payload
 from kestrel.session import shared_path
 
-STATE_SCHEMA = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("last_hash", T.StringType())])
+#: Rows of one run and micro-batch held outside the store.
+HELD = 20_000
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_WAITING = ["_day", "_ts", "_eid", "event_type", "actor", "node_name", "timestamp_utc", "payload", "run_id", "_before", "_between", "_after"]
+
+
+class AuditChain(StatefulProcessor):
+    def __init__(self, id_ttl: int | None = None, held: int = HELD):
+        self.id_ttl, self.held = id_ttl, held
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.end = handle.getValueState("end", "seq long, hash string, newest long, cleared long")
+        self.seen = handle.getMapState("seen", "id long", "at long")
+        columns = ", ".join(f"{c} {'long' if c in ('_day', '_ts', '_eid') else 'string'}" for c in _WAITING)
+        self.waiting = handle.getMapState("waiting", "hour long, n long", columns)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        hours: dict[int, list] = {}  # rows held, by hour
+        stored: dict[int, int] = {}  # how many wait in the store, by hour
+        taken: set[int] = set()
+        n = 0
+        for r in rows:
+            if r["_eid"] is not None:
+                if r["_eid"] in taken or self.seen.containsKey((r["_eid"],)):
+                    continue
+                taken.add(r["_eid"])
+                self.seen.updateValue((r["_eid"],), (r["_ts"],))
+            hour = r["_ts"] // 3_600_000_000
+            hours.setdefault(hour, []).append(tuple(r[c] for c in _WAITING))
+            n += 1
+            if n >= self.held:
+                for h, held in hours.items():
+                    for row in held:
+                        self.waiting.updateValue((h, stored.get(h, 0)), row)
+                        stored[h] = stored.get(h, 0) + 1
+                hours, n, taken = {}, 0, set()
+        if not hours and not stored:
+            return
+        seq, last, newest, cleared = self.end.get() if self.end.exists() else (0, GENESIS, None, None)
+        for hour in sorted(hours.keys() | stored.keys()):
+            group = hours.pop(hour, [])
+            for i in range(stored.get(hour, 0)):
+                group.append(tuple(self.waiting.getValue((hour, i))))
+                self.waiting.removeKey((hour, i))
+            for x in sorted(group, key=_order):
+                r = dict(zip(_WAITING, x))
+                seq += 1
+                newest = r["_ts"] if newest is None else max(newest, r["_ts"])
+                event_id = hashlib.sha256(f"{r['run_id']}|{seq}".encode()).hexdigest()
+                text = f"{r['_before']}{event_id}{r['_between']}{last}{r['_after']}".replace("\x00", str(seq))
+                h = hashlib.sha256(text.encode()).hexdigest()
+                yield Row(event_id=event_id, run_id=r["run_id"], sequence_number=seq, event_type=r["event_type"], actor=r["actor"],
+                          node_name=r["node_name"], timestamp_utc=r["timestamp_utc"], payload=r["payload"], prev_hash=last, event_hash=h)
+                last = h
+        if self.id_ttl and newest - (cleared if cleared is not None else newest - self.id_ttl) >= self.id_ttl // 8:
+            for (i,) in [k for k, v in self.seen.iterator() if v[0] < newest - self.id_ttl]:
+                self.seen.removeKey((i,))
+            cleared = newest
+        self.end.update((seq, last, newest, cleared))
+
+    def close(self) -> None:
+        pass
 
 
-def _chain_group(key, pdfs, state):
-    run_id = key[0]
-    seq, last = (state.get if state.exists else (0, GENESIS))
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_day", "_ts", "_eid"], kind="mergesort")
-    out = []
-    for r in pdf.itertuples(index=False):
-        seq += 1
-        eid = hashlib.sha256(f"{run_id}|{seq}".encode("utf-8")).hexdigest()
-        canon = ('{"actor":' + r.actor_json + ',"event_id":"' + eid + '","event_type":' + r.type_json
-                 + ',"node_name":' + r.node_json + ',"payload":' + r.payload_json
-                 + ',"prev_hash":"' + last + '","run_id":' + r.run_json + ',"sequence_number":' + str(seq)
-                 + ',"timestamp_utc":' + r.time_json + "}")
-        h = hashlib.sha256(canon.encode("utf-8")).hexdigest()
-        out.append((eid, run_id, seq, r.event_type, r.actor, r.node_name, r.timestamp_utc, r.payload, last, h))
-        last = h
-    state.update((seq, last))
-    yield pd.DataFrame(out, columns=[f.name for f in _CHAIN_SCHEMA.fields])
+def _order(x: tuple) -> tuple:
+    """Day, time, id (none first), then the content."""
+    return (x[0], x[1], x[2] is not None, x[2] or 0, *((v is not None, v or "") for v in x[3:9]))
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
@@ -62,31 +115,44 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFr
     return s.withColumn("ts_wall", F.col("ts")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def audit_ingest(events: DataFrame) -> DataFrame:
+def audit_ingest(events: DataFrame, id_ttl: int | None = None, held: int = HELD) -> DataFrame:
     """Streaming events (event_id, ts, user_id, event_type, props) -> chained
-    audit rows, one run per user."""
+    audit rows, one run per user. ``id_ttl``: microseconds that an id is kept.
+    An event without a time comes first; one without a user is of the run NULL."""
     e = events.select(
-        F.col("user_id").cast("string").alias("run_id"), F.to_date("ts_wall").alias("_day"),
-        F.col("ts").alias("_ts"), F.col("event_id").alias("_eid"), "event_type",
+        F.col("user_id").cast("string").alias("run_id"), F.coalesce(F.unix_micros("ts"), F.lit(-(2**62))).alias("_ts"),
+        F.coalesce(F.unix_date(F.to_date("ts_wall")), F.lit(-(2**30))).cast("long").alias("_day"),
+        F.col("event_id").cast("long").alias("_eid"), "event_type",
         F.when(F.col("event_type").isin("signup", "purchase"), "user").otherwise("agent").alias("actor"),
         F.concat(F.col("event_type"), F.lit("_node")).alias("node_name"),
         F.concat(F.date_format("ts_wall", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp_utc"),
         F.col("props").alias("payload"))
-    # the canonical texts come from the batch chain's own expressions
-    for name, c in (("actor", "actor"), ("type", "event_type"), ("node", "node_name"), ("run", "run_id"), ("time", "timestamp_utc")):
-        e = e.withColumn(f"{name}_json", _js(F.col(c)))
-    e = e.withColumn("payload_json", canonical_payload("payload")).dropDuplicates(["_eid"])
-    return e.groupBy("run_id").applyInPandasWithState(
-        _chain_group, _CHAIN_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    # the canonical event around the id, the previous hash and the sequence (a
+    # NUL, which JSON text cannot hold, stands for the last)
+    e = e.withColumns({
+        "_before": F.concat(F.lit('{"actor":'), _js("actor"), F.lit(',"event_id":"')),
+        "_between": F.concat(F.lit('","event_type":'), _js("event_type"), F.lit(',"node_name":'), _js("node_name"),
+                             F.lit(',"payload":'), canonical_payload("payload"), F.lit(',"prev_hash":"')),
+        "_after": F.concat(F.lit('","run_id":'), _js("run_id"), F.lit(',"sequence_number":\x00,"timestamp_utc":'), _js("timestamp_utc"), F.lit("}")),
+        "_key": F.coalesce(F.concat(F.lit("="), F.col("run_id")), F.lit(""))})
+    return e.groupBy("_key").transformWithState(AuditChain(id_ttl, held), _CHAIN_SCHEMA, "Append", "None")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", progress: list | None = None) -> DataFrame:
     """Run a stream to completion (availableNow) into a parquet table in
-    the shared checkpoint folder and return the table."""
+    the shared checkpoint folder and return the table. ``progress`` gets the
+    progress of each micro-batch."""
     spark = stream.sparkSession
     base = shared_path(spark, "streams", f"{name}-{uuid.uuid4().hex}")
-    q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    provider = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)  # states of several kinds need it; read when the query starts
+    try:
+        q = (stream.writeStream.format("parquet").outputMode(mode)
+             .option("checkpointLocation", f"{base}/_checkpoint").option("path", f"{base}/data")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if provider is None else spark.conf.set(_PROVIDER, provider)
+    if progress is not None:
+        progress += q.recentProgress
     return spark.read.parquet(f"{base}/data")

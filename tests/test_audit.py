@@ -168,3 +168,51 @@ def test_crossed_keys_are_ignored_in_order(spark):
         batch = row if batch is None else batch.union(row)
     kept = {(r.event_id, r.sequence_number) for r in au.insert_or_ignore(chain.limit(0), batch).collect()}
     assert kept == {("e1", 1), ("e2", 5), ("e3", 7)}
+
+
+HOSTILE = ['{"b":1,"a":{"z":[1,2.50,1e5,-0,-0.0,1E400],"y":null}}', '{"a":1.0}', '{"a":1}', '{"é":"漢😀\\u0007\\/","A B":"\\ud83d"}', '[]', '"x"', "12345678901234567890123", "NaN",
+           '{"k":1,"k":2}', '{"$raw":"not json A"}', "not json A", '!"not json A"', "", " {}", '{"a": "\\u0000"}', "[" * 3000 + "]" * 3000, '{"n": 0.1e-7}', "true", '{"a":\u2028"x"}', "\x7f", "1_000"]
+
+
+def test_canonical_text_is_python_json(spark):
+    texts = ["", "plain", 'q"b\\s/', "tab\tnl\ncr\rbs\bff\f", "nul\x00bell\x07esc\x1bdel\x7f", "é漢", "😀 pair", "\u2028\u0085", "$1 \\1", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", au._js("t").alias("c")).collect()}
+    assert got == {i: json.dumps(t) for i, t in enumerate(texts)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*HOSTILE, None])], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", au.canonical_payload("t").alias("c")).collect()}
+    for i, t in enumerate(HOSTILE):
+        try:
+            want = json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            want = "!" + json.dumps(t)
+        assert got[i] == want, t
+    assert got[len(HOSTILE)] == "null"
+    assert len(set(got.values())) == len(got)  # no two of these payloads look alike
+
+
+def test_a_trail_that_the_original_wrote_is_valid(spark):
+    """Hashes made by Python's json over the whole event, with hostile payloads and names."""
+    rows, last = [], "GENESIS"
+    for n, p in enumerate([h for h in HOSTILE if h not in ("not json A", '!"not json A"', "", "\x7f", "1_000", '{"a":\u2028"x"}') and not h.startswith("[[")], start=1):
+        r = {"event_id": f"é{n}", "run_id": "r😀", "sequence_number": n, "event_type": 'a"b', "actor": None, "node_name": "n\\x", "timestamp_utc": "t\n", "payload": p, "prev_hash": last}
+        last = _py_hash(r)
+        rows.append({**r, "event_hash": last})
+    schema = "event_id string, run_id string, sequence_number long, event_type string, actor string, node_name string, timestamp_utc string, payload string, prev_hash string, event_hash string"
+    trail = spark.createDataFrame(rows, schema)
+    for exact in (False, True):
+        v = au.verify_runs(trail, exact=exact).first()
+        assert v.valid and v.event_count == len(rows)
+    rebuilt = au.build_chain(trail)
+    assert rebuilt.exceptAll(trail).isEmpty()
+
+
+@pytest.mark.parametrize("one, other", [("not json A", '{"$raw":"not json A"}'), ('{"a":1.0}', '{"a":1}'), ("x", '!"x"'), (None, "null "), ('{"a":"1"}', '{"a":1}')])
+def test_payloads_that_look_alike_are_told_apart(spark, one, other):
+    events = _events(spark, events=FULL_RUN[:2]).withColumn("payload", F.lit(one).cast("string"))
+    trail = au.build_chain(events)
+    assert _verify(spark, trail)["run-1"].valid
+    changed = trail.withColumn("payload", F.lit(other))
+    same = one is None  # JSON null and no payload are one value in the original, too
+    assert _verify(spark, changed)["run-1"].valid is same
+    assert au.verify_runs(changed, exact=True).first().valid is same

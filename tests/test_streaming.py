@@ -5,6 +5,7 @@ import os
 import tempfile
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF0001
@@ -67,3 +68,58 @@ def test_streams_lose_nothing_whatever_the_order_of_files(spark, tmp_path):
     want = stream_queries.stream_event_windows(spark, SF0001)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert got.where("window_kind = 'tumbling_1h'").agg(F.sum("events")).first()[0] == events.count()
+
+
+def _stream_of(spark, parts, schema):
+    """A file stream, a micro-batch for each part, in this order."""
+    flat = tempfile.mkdtemp(prefix="kestrel-stream-")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(os.path.join(flat, f"_{i}"))
+        (name,) = [f for f in os.listdir(os.path.join(flat, f"_{i}")) if f.endswith(".parquet")]
+        os.link(os.path.join(flat, f"_{i}", name), os.path.join(flat, f"events_{i}.parquet"))
+        os.utime(os.path.join(flat, f"events_{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(flat, "events_[0-9].parquet"))
+            .withColumn("ts_wall", F.col("ts")).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@pytest.mark.parametrize("held", [ai.HELD, 3])
+def test_events_without_id_stay_and_repeated_ids_go(spark, held):
+    """Unsorted files, ids missing, events repeated inside and across micro-batches,
+    a run without user, an event without time; few rows held outside the store."""
+    ev = spark.read.parquet(f"{SF0001}/events.parquet").where("user_id < 12 OR event_id % 3 = 0")
+    ev = ev.withColumn("event_id", F.when(F.col("event_id") % 11 != 0, F.col("event_id")))
+    ev = ev.withColumn("user_id", F.when(F.col("user_id") % 5 != 0, F.col("user_id"))).withColumn("ts", F.when(F.coalesce("event_id", F.lit(0)) % 50 != 1, F.col("ts")))
+    ev = spark.createDataFrame(ev.collect(), ev.schema)
+    part = [ev.where(F.pmod(F.xxhash64("event_id", "props"), F.lit(3)) == k) for k in (1, 0, 2)]
+    again = ev.where("event_id % 7 = 0")
+    part[1], part[2] = part[1].unionByName(part[1].where("event_id IS NOT NULL").limit(9)), part[2].unionByName(again)
+    progress = []
+    trail = ai.run_to_table(ai.audit_ingest(_stream_of(spark, part, ev.schema), held=held), "ids", progress=progress)
+    assert trail.count() == ev.count()
+    want = {r.run_id: r["count"] for r in ev.select(F.col("user_id").cast("string").alias("run_id")).groupBy("run_id").count().collect()}
+    assert {r.run_id: r["count"] for r in trail.groupBy("run_id").count().collect()} == want
+    assert trail.groupBy("run_id", "payload", "timestamp_utc", "event_type").count().exceptAll(
+        ev.select(F.col("user_id").cast("string").alias("run_id"), F.col("props").alias("payload"),
+                  F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")).alias("timestamp_utc"), "event_type")
+        .groupBy("run_id", "payload", "timestamp_utc", "event_type").count()).isEmpty()
+    assert all(r.valid for r in au.verify_runs(trail.where("run_id IS NOT NULL")).collect())
+    assert all(r.gap_free for r in au.run_completeness(trail).collect())
+    # the store: one end a run, one row an id, nothing that waits
+    rows = progress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert rows == len(want) + ev.where("event_id IS NOT NULL").select("user_id", "event_id").distinct().count()
+
+
+def test_ids_expire_by_the_stated_rule(spark):
+    """Ids of events more than the time to live before a run's newest are forgotten."""
+    given = spark.read.parquet(f"{SF0001}/events.parquet")
+    ev = spark.createDataFrame(given.where("user_id < 9").collect(), given.schema)
+    day = 86_400_000_000
+    newest = {r.user_id: r.t for r in ev.groupBy("user_id").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")).collect()}
+    old = sum(t < newest[u] - 5 * day for u, t in ((r.user_id, r.t) for r in ev.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).collect()))
+    progress = []
+    short = ai.run_to_table(ai.audit_ingest(_stream_of(spark, [ev, ev], ev.schema), id_ttl=5 * day), "short", progress=progress)
+    long = ai.run_to_table(ai.audit_ingest(_stream_of(spark, [ev, ev], ev.schema), id_ttl=400 * day), "long")
+    assert 0 < old < ev.count()
+    assert (short.count(), long.count()) == (ev.count() + old, ev.count())
+    assert progress[0]["stateOperators"][0]["numRowsTotal"] == len(newest) + ev.count() - old
+    assert all(r.valid for r in au.verify_runs(short).collect())
