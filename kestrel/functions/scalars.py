@@ -79,6 +79,20 @@ def safe_name(value: str, family: str) -> str:
     return value
 
 
+def unique_names(names: list[str]) -> list[str]:
+    """F11 for several values whose safe names meet (``A B``, ``A-B``): the first
+    keeps the name, the others get a number after it."""
+    out: list[str] = []
+    taken = set(names)
+    for n in names:
+        k, name = 1, n
+        while name in out or (k > 1 and name in taken):
+            k += 1
+            name = f"{n}_{k}"
+        out.append(name)
+    return out
+
+
 # F16: model answers wrapped in ``` fences -> JSON text.
 def strip_code_fences(c) -> Column:
     s = F.regexp_replace(F.trim(col_of(c)), r"^```(?:json)?\s*", "")

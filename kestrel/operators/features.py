@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.exact import dec, exact_avg, exact_sum
 from kestrel.functions.scalars import (date_from_id, hash_bucket, ratio_or_zero,
-                                       relative_gap_below, safe_name)
+                                       relative_gap_below, safe_name, unique_names)
 from kestrel.operators.joins import bounded_broadcast, left_dimension_join
 from kestrel.operators.ordering import frequency_index_from_counts
 from kestrel.operators.windows import _std, prior_frame
@@ -221,16 +221,12 @@ def onehot_columns(df: DataFrame, families, max_values: int) -> list[Column]:
     values: dict[str, list[str]] = {}
     for r in rows:
         values.setdefault(r.f, []).append(r.v)
-    cols, seen = [], set()
+    cols = []
     for prefix, src in families:
         vals = sorted(values.get(prefix, []))
         if len(vals) > max_values:
             raise ValueError(f"{src}: more than {max_values} distinct values; use hash_encode")
-        for v in vals:
-            name = f"{prefix}_{safe_name(v, prefix)}"
-            if name in seen:
-                continue
-            seen.add(name)
+        for v, name in zip(vals, unique_names([f"{prefix}_{safe_name(v, prefix)}" for v in vals])):
             cols.append(F.when(F.col(src) == F.lit(v).cast(types[src]), 1).otherwise(0).alias(name))
     cols += [F.when(F.col("month") == m, 1).otherwise(0).alias(f"month_{m}") for m in range(1, 13)]
     cols += [F.when(F.col("quarter") == q, 1).otherwise(0).alias(f"quarter_{q}") for q in range(1, 5)]

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from kestrel.operators import modeling as md
 from kestrel.operators import profile as pr
+from kestrel.operators import quantiles
 from kestrel.operators.windows import prior_frame, prior_last
+from kestrel.plans import fitted
 from kestrel.plans import transforms as tf
 from kestrel.plans.feature_oracles import STAR_CTE
 from kestrel.plans.feature_queries import _enriched, feature_table
+from kestrel.session import materialize_if_large
 from kestrel.sources.starschema import ORDER_KEYS
 from kestrel.sources.tables import table
 
@@ -44,6 +47,47 @@ def numeric_summary(spark, sf_dir):
     return md.numeric_summary(_enriched(spark, sf_dir, materialize=False), SUMMARY_COLS)
 
 
+def numeric_quartiles(spark, sf_dir):
+    """Exact quartiles of every summary column, by value and interpolated."""
+    found = quantiles.quantiles(materialize_if_large(_enriched(spark, sf_dir, materialize=False).select(*SUMMARY_COLS), "summary"), SUMMARY_COLS)
+    rows = [(c, f"p{int(s * 100)}", *v) for c, q in found.items() if q for s, v in zip((0.25, 0.5, 0.75), q)]
+    return spark.createDataFrame(rows, "column_name string, quartile string, value double, interpolated double")
+
+
+# a plan that learns: the customer as a label, the year as columns (later years
+# were not seen), a price with gaps, the status as the target's class
+FIT_CUT = "1997-01-01"
+FIT_PLAN = [("o_custkey", "label_encode"), ("order_year", "one_hot"), ("price", "impute_median"), ("o_orderpriority", "one_hot"),
+            ("o_totalprice", "log_transform"), ("o_orderkey", "drop")]
+
+
+def _fit_frame(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        "*", F.year("o_orderdate").alias("order_year"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("price"),
+        (F.to_date("o_orderdate") < F.lit(FIT_CUT).cast("date")).alias("train"))
+
+
+def fitted_transform(spark, sf_dir):
+    """X4, X9, X10, X13 fitted on the orders before ``FIT_CUT``, saved, read back
+    and applied to all orders: customers and years that came later are not
+    seen, gaps get the training median, the target its training label."""
+    import uuid
+
+    from kestrel.session import shared_path
+    frame = _fit_frame(spark, sf_dir)
+    folder = shared_path(spark, "fits", uuid.uuid4().hex)
+    target = ("o_orderstatus", "label_encode")
+    fitted.save(fitted.fit(frame.where("train"), FIT_PLAN, target), folder)
+    return fitted.apply(frame, fitted.load(spark, folder), FIT_PLAN, TRANSFORM_RUN_DATE, ("o_orderkey", "train"), target)
+
+
+def fitted_binary_target(spark, sf_dir):
+    """X9 binary_0_1 and keep_as_is on the same plan's frame."""
+    frame = _fit_frame(spark, sf_dir).withColumn("kept", F.col("o_orderstatus"))
+    one = fitted.apply(frame, fitted.fit(frame.where("train"), []), [], TRANSFORM_RUN_DATE, ("o_orderkey", "kept"), ("o_orderpriority", "binary_0_1"), ["1-URGENT", "2-HIGH"])
+    return fitted.apply(one.withColumnRenamed("target", "urgent"), fitted.fit(frame.where("train"), []), [], TRANSFORM_RUN_DATE, ("o_orderkey", "urgent"), ("kept", "keep_as_is"))
+
+
 def baseline_accuracy(spark, sf_dir):
     """M8 + A19: majority class of the train period predicted for the test
     period."""
@@ -178,6 +222,9 @@ QUERIES = {
     "class_weights": class_weights,
     "target_distribution": target_distribution,
     "numeric_summary": numeric_summary,
+    "numeric_quartiles": numeric_quartiles,
+    "fitted_transform": fitted_transform,
+    "fitted_binary_target": fitted_binary_target,
     "baseline_accuracy": baseline_accuracy,
     "baseline_class_report": baseline_class_report,
     "baseline_rmse": baseline_rmse,
@@ -235,6 +282,23 @@ SELECT product_id, count(*) AS count FROM star GROUP BY product_id ORDER BY coun
         f"""SELECT '{c}' AS column_name, count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
   round(stddev_samp(CAST({c} AS DOUBLE)), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max
 FROM star""" for c in SUMMARY_COLS),
+    "numeric_quartiles": f"WITH {STAR_CTE} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, 'p{int(s * 100)}' AS quartile, quantile_disc(CAST({c} AS DOUBLE), {s}) AS value,
+  quantile_cont(CAST({c} AS DOUBLE), {s}) AS interpolated FROM star""" for c in SUMMARY_COLS for s in (0.25, 0.5, 0.75)),
+    "fitted_transform": f"""
+WITH o AS (SELECT *, year(o_orderdate) AS order_year, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS price,
+                  CAST(o_orderdate AS DATE) < DATE '{FIT_CUT}' AS train FROM orders),
+t AS (SELECT * FROM o WHERE train),
+cust AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, CAST(o_custkey AS VARCHAR)) - 1 AS place FROM t GROUP BY o_custkey),
+stat AS (SELECT o_orderstatus, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) - 1 AS place FROM t GROUP BY o_orderstatus)
+SELECT o.o_orderkey, o.train, CAST(coalesce(cust.place, (SELECT count(*) FROM cust)) AS DOUBLE) AS o_custkey_label,
+       {", ".join(f"CASE WHEN order_year = {y} THEN 1 ELSE 0 END AS order_year_{y}" for y in (1995, 1996))},
+       coalesce(price, (SELECT quantile_cont(price, 0.5) FROM t)) AS price,
+       {", ".join(f"CASE WHEN o_orderpriority = '{v}' THEN 1 ELSE 0 END AS o_orderpriority_{v.replace(' ', '_').replace('-', '_')}" for v in ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))},
+       round(ln(1.0 + o_totalprice), 9) AS o_totalprice_log, CAST(stat.place AS DOUBLE) AS target
+FROM o LEFT JOIN cust ON cust.o_custkey = o.o_custkey LEFT JOIN stat ON stat.o_orderstatus = o.o_orderstatus""",
+    "fitted_binary_target": """
+SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS urgent, o_orderstatus AS target FROM orders""",
     "baseline_accuracy": f"""WITH {SPLIT_CTE},
 maj AS (SELECT product_category AS p FROM split WHERE split = 'train' GROUP BY product_category
         ORDER BY count(*) DESC, product_category LIMIT 1)

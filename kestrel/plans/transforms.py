@@ -12,12 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kestrel.functions.scalars import hash_bucket, safe_name
+from kestrel.functions.scalars import hash_bucket, safe_name, unique_names
 from kestrel.operators.features import onehot_values
 from kestrel.operators.ordering import frequency_index
 
-TRANSFORMS = ("keep_numeric", "log_transform", "extract_days_since", "one_hot", "hash_encode",
-              "binary_encode", "drop", "label_encode")
 LOG_DIGITS = 9          # log1p output rounded so every engine gives the same value
 HASH_BUCKETS = 100
 ONE_HOT_LIMIT = 20
@@ -58,6 +56,23 @@ def encode_target(c: str, encoding: str, positive=None) -> Column:        # X9
     raise ValueError("label_encode targets go through frequency_index")
 
 
+def plain_columns(c: str, t: str, dtype, run_date: str) -> list[Column]:
+    """The columns of a transform that learns nothing (none for ``drop``, X7)."""
+    if t == "drop":
+        return []
+    if t == "keep_numeric":
+        return [keep_numeric(c)]
+    if t == "log_transform":
+        return [log_transform(c)]
+    if t == "extract_days_since":
+        return [extract_days_since(c, run_date)]
+    if t == "hash_encode":
+        return [hash_encode(c)]
+    if t == "binary_encode":
+        return [binary_encode(c, dtype)]
+    raise ValueError(f"unknown transform {t} for {c}")
+
+
 def apply_plan(df: DataFrame, decisions: list[tuple[str, str]], run_date: str,
                keep: tuple[str, ...] = ()) -> DataFrame:
     """Apply (column, transform) decisions in one projection. ``keep``
@@ -66,27 +81,16 @@ def apply_plan(df: DataFrame, decisions: list[tuple[str, str]], run_date: str,
     out = df
     cols: list[Column] = [F.col(k) for k in keep]
     for c, t in decisions:
-        if t not in TRANSFORMS:
-            raise ValueError(f"unknown transform {t} for {c}")
-        if t == "drop":                                                   # X7
-            continue
-        if t == "keep_numeric":
-            cols.append(keep_numeric(c))
-        elif t == "log_transform":
-            cols.append(log_transform(c))
-        elif t == "extract_days_since":
-            cols.append(extract_days_since(c, run_date))
-        elif t == "hash_encode":
-            cols.append(hash_encode(c))
-        elif t == "binary_encode":
-            cols.append(binary_encode(c, schema[c]))
-        elif t == "one_hot":                                              # X4
-            for v in onehot_values(df, c, ONE_HOT_LIMIT):
-                cols.append(F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(f"{c}_{safe_name(str(v), '')}"))
+        if t == "one_hot":                                                # X4
+            values = onehot_values(df, c, ONE_HOT_LIMIT)
+            names = unique_names([f"{c}_{safe_name(str(v), '')}" for v in values])
+            cols += [F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(n) for v, n in zip(values, names)]
         elif t == "label_encode":                                         # X10
             idx = frequency_index(df, c, f"{c}_label")
             out = out.join(idx, c, "left")
             cols.append(F.col(f"{c}_label"))
+        else:
+            cols += plain_columns(c, t, schema[c], run_date)
     return out.select(*cols)
 
 
