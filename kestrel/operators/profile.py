@@ -34,20 +34,24 @@ def _numeric(dt) -> bool:
 
 def column_profile(df: DataFrame, table_name: str, exact: bool = True) -> DataFrame:
     """Per column of ``df``: rows, nulls, distinct values (exact, or
-    HyperLogLog++ when ``exact=False``), numeric min/max, text length
-    min/max; plus name and type flags (P9, P12, F22, F26, G7)."""
-    fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    HyperLogLog++ when ``exact=False``; ``sketches`` has those that merge),
+    numeric min/max, min/max length of texts and lists; plus name and type
+    flags (P9, P12, F22, F26, G7). Nested columns have their row as well."""
+    fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"_nn{i}"))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(f"_nd{i}"))
+        v = F.to_json(F.struct(c)) if isinstance(f.dataType, (T.MapType, T.StructType)) else c  # a map has no order
+        v = F.when(c.isNotNull(), v)
+        aggs.append((F.count_distinct(v) if exact else F.approx_count_distinct(v)).alias(f"_nd{i}"))
         num = _numeric(f.dataType)
         aggs.append((F.min(c).cast("double") if num else F.lit(None).cast("double")).alias(f"_mn{i}"))
         aggs.append((F.max(c).cast("double") if num else F.lit(None).cast("double")).alias(f"_mx{i}"))
-        txt = isinstance(f.dataType, T.StringType)
-        aggs.append((F.min(F.length(c)) if txt else F.lit(None).cast("int")).alias(f"_ln{i}"))
-        aggs.append((F.max(F.length(c)) if txt else F.lit(None).cast("int")).alias(f"_lx{i}"))
+        size = (F.length(c) if isinstance(f.dataType, T.StringType)
+                else F.when(c.isNotNull(), F.size(c)) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else None)
+        aggs.append((F.min(size) if size is not None else F.lit(None).cast("int")).alias(f"_ln{i}"))
+        aggs.append((F.max(size) if size is not None else F.lit(None).cast("int")).alias(f"_lx{i}"))
     one = df.agg(*aggs)
     items = F.array(*[
         F.struct(F.lit(i + 1).alias("ordinal_position"), F.lit(f.name).alias("column_name"),
@@ -142,6 +146,9 @@ def relationship_candidates(spark: SparkSession, sf_dir: str, columns: DataFrame
             if pt != ct and pb == cb and (pc.startswith(pt[0] + "_") or pc == cc):
                 pairs.append((ct, cc, pt, pc))
     pairs = sorted(set(pairs))
+    if not pairs:
+        return spark.createDataFrame([], "child_table string, child_column string, parent_table string, parent_column string, "
+                                         "child_rows long, orphans long, parent_rows long, parent_distinct long, is_foreign_key boolean")
     # Every pair's child and parent values in ONE union, tagged with the pair
     # id; one aggregation per (pair, value) then one per pair gives child rows,
     # orphans, parent rows and parent distinct values — one shuffle in all.
@@ -176,10 +183,11 @@ def plan_from_profile(profile: DataFrame) -> DataFrame:
     """A transform per column from its profile: keys dropped (X7),
     dates to days-since (X3), numbers kept (X1), booleans binary (X6), text
     by cardinality: < 20 one-hot (X4), > 500 hash (X5), between: label
-    encode (the reference leaves this gap undefined)."""
+    encode (the reference leaves this gap undefined). No transform of the
+    vocabulary takes a nested column: dropped."""
     t = F.col("data_type")
     nd = F.col("distinct_count")
-    transform = (F.when(F.col("key_name"), "drop")
+    transform = (F.when(F.col("key_name") | t.rlike("^(array|map|struct)<"), "drop")
                  .when(t.isin("date", "timestamp", "timestamp_ntz"), "extract_days_since")
                  .when(t == "boolean", "binary_encode")
                  .when(F.col("is_numeric"), "keep_numeric")

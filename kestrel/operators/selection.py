@@ -40,7 +40,8 @@ def rank_opportunities(inventory: DataFrame, profile: DataFrame) -> DataFrame:
         F.avg(1 - F.col("null_count") / F.greatest(F.col("row_count"), F.lit(1))).alias("fill"),
         F.max(F.col("data_type").isin("date", "timestamp", "timestamp_ntz").cast("int")).alias("has_date"),
         F.max(((F.col("distinct_count") <= 20) & (F.col("distinct_count") >= 2)).cast("int")).alias("has_label"))
-    t = inventory.join(r, inventory.name == r.table_name, "inner")
+    # a table without a profile has no readiness, and stays
+    t = inventory.join(r, inventory.name == r.table_name, "left").na.fill({"fill": 0.0, "has_date": 0, "has_label": 0})
     value = F.log10(F.col("row_count").cast("double") + 1)
     ready = F.col("fill") * (1 + F.col("has_date") * F.col("has_label"))
     score = F.round(value * ready / F.col("column_count").cast("double"), 9)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from kestrel.operators import profile as pr
+from kestrel.operators import sketches as sk
+from kestrel.session import cut_lineage
 from kestrel.sources import catalog as cat
+from kestrel.sources.tables import TABLES, table
 
 HEADER = "Catalog: files.testdata"
-PROFILED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
 
 
 def table_inventory(spark, sf_dir):
@@ -26,7 +33,30 @@ def estate_summary(spark, sf_dir):
 
 def column_profile(spark, sf_dir):
     """A24 + A6 + P9 + P12 + F26 + G7: one-pass per-column profile."""
-    return pr.profile_tables(spark, sf_dir, PROFILED)
+    return pr.profile_tables(spark, sf_dir, TABLES)
+
+
+def column_estimates(spark, sf_dir):
+    """A24 + A6 by sketches that merge: every table is sketched in two halves, the
+    halves are merged, and the estimates compared with the exact counts: within
+    five standard errors, or not."""
+    halves = []
+    for n in TABLES:
+        df = table(spark, sf_dir, n)
+        half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
+        halves += [sk.column_sketches(df.where(half == k), n) for k in (0, 1)]
+    est = sk.estimates(sk.merged(reduce(DataFrame.unionByName, halves)))
+    exact = pr.profile_tables(spark, sf_dir, TABLES).select("table_name", "column_name", "distinct_count")
+    error = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    bound = F.greatest(F.lit(1.0), 5 * F.lit(1.04 / 2 ** (sk.HLL_BITS / 2)) * F.col("distinct_count"))
+    return est.join(exact, ["table_name", "column_name"]).select("table_name", "column_name", "kind", "row_count", "null_count", "distinct_count", (error <= bound).alias("within_bound"))
+
+
+def inclusion_dependencies(spark, sf_dir):
+    """J9 from the data alone: whole-number columns of all tables whose values are
+    all in a column of unique values, by theta sketches and an exact check."""
+    sketches = reduce(DataFrame.unionByName, [sk.column_sketches(table(spark, sf_dir, n), n, ("integer",)) for n in TABLES])
+    return sk.inclusion_dependencies(spark, lambda n: table(spark, sf_dir, n), cut_lineage(sketches, "sketches"))
 
 
 def relationship_candidates(spark, sf_dir):
@@ -36,7 +66,7 @@ def relationship_candidates(spark, sf_dir):
 
 def feature_plan(spark, sf_dir):
     """A transform per column chosen from its profile."""
-    return pr.plan_from_profile(pr.profile_tables(spark, sf_dir, PROFILED))
+    return pr.plan_from_profile(pr.profile_tables(spark, sf_dir, TABLES))
 
 
 QUERIES = {
@@ -44,6 +74,8 @@ QUERIES = {
     "estate_metrics": estate_metrics,
     "estate_summary": estate_summary,
     "column_profile": column_profile,
+    "column_estimates": column_estimates,
+    "inclusion_dependencies": inclusion_dependencies,
     "relationship_candidates": relationship_candidates,
     "feature_plan": feature_plan,
 }
@@ -115,17 +147,17 @@ inv AS (
 
 def _profile_cte() -> str:
     parts = []
-    for t in PROFILED:
+    for t in TABLES:
         for i, (c, ty) in enumerate(SCHEMA[t], start=1):
             num = ty in NUMERIC
-            txt = ty == "string"
+            txt = ty == "string" or ty.startswith("array")
             parts.append(f"""SELECT '{t}' AS table_name, {i} AS ordinal_position, '{c}' AS column_name,
   '{ty}' AS data_type, {str(num).lower()} AS is_numeric, count(*) AS row_count,
   count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count,
   {f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"} AS min_value,
   {f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"} AS max_value,
-  {f"CAST(min(length({c})) AS INTEGER)" if txt else "CAST(NULL AS INTEGER)"} AS min_length,
-  {f"CAST(max(length({c})) AS INTEGER)" if txt else "CAST(NULL AS INTEGER)"} AS max_length
+  {f"CAST(min(len({c})) AS INTEGER)" if txt else "CAST(NULL AS INTEGER)"} AS min_length,
+  {f"CAST(max(len({c})) AS INTEGER)" if txt else "CAST(NULL AS INTEGER)"} AS max_length
 FROM {t}""")
     body = "\nUNION ALL\n".join(parts)
     return f"""prof0 AS ({body}),
@@ -150,7 +182,28 @@ def _pairs_sql() -> str:
         "\nUNION ALL\n".join(parts) + "\n)"
 
 
+def _kind(ty: str) -> str:
+    return {"int": "integer", "bigint": "integer", "double": "number", "timestamp_ntz": "timestamp", "string": "string"}.get(ty, "nested")
+
+
+def _inclusion_sql() -> str:
+    values = " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS BIGINT) AS x FROM {t} WHERE {c} IS NOT NULL"
+                                for t, cols in SCHEMA.items() for c, ty in cols if _kind(ty) == "integer")
+    return f"""WITH v AS ({values}),
+d AS (SELECT t, c, x, count(*) AS n FROM v GROUP BY t, c, x),
+s AS (SELECT t, c, CAST(sum(n) AS BIGINT) AS n, count(*) AS nd FROM d GROUP BY t, c),
+hit AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, count(*) AS hits
+        FROM d a JOIN d b ON a.x = b.x AND (a.t <> b.t OR a.c <> b.c) GROUP BY a.t, a.c, b.t, b.c)
+SELECT ct AS child_table, cc AS child_column, pt AS parent_table, pc AS parent_column,
+       a.n AS child_rows, a.nd AS child_distinct, b.nd AS parent_distinct
+FROM hit JOIN s a ON a.t = ct AND a.c = cc JOIN s b ON b.t = pt AND b.c = pc WHERE hits = a.nd AND b.n = b.nd"""
+
+
 ORACLES = {
+    "inclusion_dependencies": _inclusion_sql(),
+    "column_estimates": f"WITH {_profile_cte()} SELECT table_name, column_name, CASE " + " ".join(
+        f"WHEN data_type = '{ty}' THEN '{_kind(ty)}'" for ty in sorted({ty for cols in SCHEMA.values() for _, ty in cols}))
+        + " END AS kind, row_count, null_count, distinct_count, true AS within_bound FROM prof",
     "table_inventory": f"WITH {_inventory_cte()} SELECT * FROM inv",
     "estate_metrics": f"""WITH {_inventory_cte()}
 SELECT count(*) AS tables, count(*) FILTER (WHERE table_type = 'MANAGED') AS managed,
@@ -165,7 +218,7 @@ FROM inv""",
     "relationship_candidates": _pairs_sql(),
     "feature_plan": f"""WITH {_profile_cte()}
 SELECT table_name, column_name,
-       CASE WHEN key_name THEN 'drop'
+       CASE WHEN key_name OR regexp_matches(data_type, '^(array|map|struct)<') THEN 'drop'
             WHEN data_type IN ('date', 'timestamp', 'timestamp_ntz') THEN 'extract_days_since'
             WHEN data_type = 'boolean' THEN 'binary_encode'
             WHEN is_numeric THEN 'keep_numeric'

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from kestrel.operators import profile as pr
 from kestrel.operators import selection as sel
 from kestrel.plans import transforms as tf
-from kestrel.plans.profile_queries import PROFILED, _inventory_cte, _profile_cte, table_inventory
-from kestrel.sources.tables import table
+from kestrel.plans.profile_queries import _inventory_cte, _profile_cte, table_inventory
+from kestrel.sources.tables import TABLES, table
 
 EXPLICIT_PLAN = [("l_discount", "binary_encode"), ("l_extendedprice", "log_transform"),
                  ("l_quantity", "keep_numeric"), ("l_returnflag", "one_hot"), ("l_suppkey", "hash_encode"),
@@ -30,7 +30,7 @@ def chosen_turn(spark, sf_dir):
 def opportunity_ranking(spark, sf_dir):
     """Tables ranked as use-case candidates from their profile."""
     inv = table_inventory(spark, sf_dir)
-    return sel.rank_opportunities(inv, pr.profile_tables(spark, sf_dir, PROFILED))
+    return sel.rank_opportunities(inv, pr.profile_tables(spark, sf_dir, TABLES))
 
 
 def first_tables(spark, sf_dir):
