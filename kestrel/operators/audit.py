@@ -278,28 +278,23 @@ def trail_with_validity(trail: DataFrame) -> DataFrame:
 def run_completeness(trail: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """Per run: count, first/last sequence, gap-free, actor rule (user
     events are approvals/confirmations), and — if ``expected`` event types are
-    given — how many positions hold a different type than expected (a join
-    against the small expected list, not a collected sequence)."""
-    agg = trail.groupBy("run_id").agg(
+    given — how many of those positions do not hold the expected type (a
+    position without an event does not)."""
+    aggs = [
         F.count(F.lit(1)).alias("event_count"),
         F.min("sequence_number").alias("first_sequence"),
         F.max("sequence_number").alias("last_sequence"),
         F.count_distinct("sequence_number").alias("distinct_sequences"),
         F.count_if(F.col("actor") == "user").alias("user_events"),
-        F.count_if(~F.col("actor").isin("user", "agent")).alias("unknown_actor_events"))
-    agg = agg.withColumn("gap_free", (F.col("first_sequence") == 1)
-                         & (F.col("last_sequence") == F.col("event_count"))
-                         & (F.col("distinct_sequences") == F.col("event_count")))
-    if expected:
-        spark = trail.sparkSession
-        exp = spark.createDataFrame([(i + 1, t) for i, t in enumerate(expected)],
-                                    "sequence_number long, expected_type string")
-        # the expected list is given by the caller (a handful of event types)
-        mism = (trail.join(F.broadcast(exp), "sequence_number", "inner")
-                .groupBy("run_id").agg(F.count_if(F.col("event_type") != F.col("expected_type"))
-                                       .alias("order_mismatches")))
-        agg = agg.join(mism, "run_id", "left")
-    return agg
+        F.count_if(~F.col("actor").isin("user", "agent")).alias("unknown_actor_events")]
+    if expected:  # a handful of types, given by the caller
+        place = F.when(F.col("sequence_number").between(1, len(expected)), F.col("sequence_number").cast("int"))
+        right = F.col("event_type") == F.try_element_at(F.array(*map(F.lit, expected)), place)
+        aggs.append((F.lit(len(expected)) - F.count_distinct(F.when(right, place))).alias("order_mismatches"))
+    return trail.groupBy("run_id").agg(*aggs).withColumn(
+        "gap_free", (F.col("first_sequence") == 1)
+        & (F.col("last_sequence") == F.col("event_count"))
+        & (F.col("distinct_sequences") == F.col("event_count")))
 
 
 # --------------------------------------------------------------------------

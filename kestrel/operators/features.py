@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from kestrel.functions.exact import dec, exact_avg, exact_sum
 from kestrel.functions.scalars import (date_from_id, hash_bucket, ratio_or_zero,
                                        relative_gap_below, safe_name, unique_names)
-from kestrel.operators.joins import bounded_broadcast, left_dimension_join
+from kestrel.operators.joins import bounded_broadcast, left_dimension_join, null_safe_left_join
 from kestrel.operators.ordering import frequency_index_from_counts
 from kestrel.operators.windows import _std, prior_frame
 
@@ -90,7 +90,7 @@ def prior_customer_history(df: DataFrame, order_keys, skew_split: bool = False)
     for grp, flag in (("product_id", "_first_product"), ("product_category", "_first_category")):
         firsts = df.groupBy("customer_id", grp).agg(F.min("_ok").alias(f"_min{flag}"))
         # NULL values do not count as a distinct value (countDistinct semantics)
-        df = (df.join(firsts, ["customer_id", grp], "left")
+        df = (null_safe_left_join(df, firsts, ["customer_id", grp])
                 .withColumn(flag, F.when(F.col(grp).isNotNull() & (F.col("_ok") == F.col(f"_min{flag}")), F.lit(1)))
                 .drop(f"_min{flag}"))
     df = df.drop("_ok")
@@ -116,7 +116,7 @@ def customer_recency(df: DataFrame, run_date: str) -> DataFrame:
     ref = F.lit(run_date).cast("date")
     fl = df.groupBy("customer_id").agg(F.min("order_date").alias("first_order_date"),
                                        F.max("order_date").alias("last_order_date"))
-    out = df.join(fl, "customer_id", "left")
+    out = null_safe_left_join(df, fl, ["customer_id"])
     out = (out.withColumn("days_since_first_order", F.datediff("order_date", "first_order_date"))
               .withColumn("days_since_last_order", F.datediff(ref, F.col("last_order_date"))))
     if "customer_total_orders" in out.columns:
@@ -299,7 +299,10 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
     the bucket is (date, order_id >> bits), which keeps the total order
     (date first, then order id) and bounds every window task.
     """
-    c = "customer_id"
+    # the key as a struct is never NULL, so lines without a customer are a
+    # customer's like any other, in every window and join below
+    c = "_ck"
+    e = e.withColumn(c, F.struct(F.col("customer_id").alias("v")))
     rest = list(order_keys[1:])
     e = e.withColumn("_ob", F.shiftright(F.col("order_id"), order_bucket_bits))
     d_col = order_keys[0]
@@ -390,7 +393,7 @@ def customer_features(e: DataFrame, order_keys, run_date: str, affinity: bool =
         affinity_cols = [cat_count.alias("customer_category_purchase_count"),
                          F.when(cat_count > 0, 1).otherwise(0).alias("customer_purchased_this_category_before")]
     out = r.select(
-        *[x for x in e.columns if x not in ("_ob", d)],
+        *[x for x in e.columns if x not in ("_ob", d, c)],
         total_orders.alias("customer_total_orders"),
         sr.alias("customer_total_revenue"), sq.alias("customer_total_quantity"),
         F.try_divide(sr, nr.cast("double")).alias("customer_avg_order_value"),

@@ -230,11 +230,11 @@ agg AS (
   FROM tampered GROUP BY run_id
 ),
 mism AS (
-  SELECT t.run_id, count(*) FILTER (WHERE t.event_type <> e.expected_type) AS order_mismatches
+  SELECT t.run_id, count(DISTINCT e.sequence_number) FILTER (WHERE t.event_type = e.expected_type) AS hits
   FROM tampered t JOIN expected e ON t.sequence_number = e.sequence_number GROUP BY t.run_id
 )
 SELECT a.*, (first_sequence = 1 AND last_sequence = event_count AND distinct_sequences = event_count) AS gap_free,
-       m.order_mismatches
+       (SELECT count(*) FROM expected) - coalesce(m.hits, 0) AS order_mismatches
 FROM agg a LEFT JOIN mism m ON a.run_id = m.run_id""",
     "audit_trail_validity": f"""WITH RECURSIVE {TAMPER_CTE}
 SELECT t.*, p.tampered_at_sequence IS NULL AS valid, p.event_count, p.tampered_at_sequence, p.reason

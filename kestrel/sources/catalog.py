@@ -21,13 +21,13 @@ COLUMN_SCHEMA = ("table_name string, ordinal_position int, column_name string, "
 KEPT_TABLE_TYPES = ("MANAGED", "EXTERNAL")
 
 
-def catalog_tables(spark: SparkSession, database: str, catalog: str = "spark_catalog") -> DataFrame:
-    """S7 over the session catalog: MANAGED / EXTERNAL tables of a database
-    (views filtered out, P7), sorted by name (T2)."""
+def catalog_tables(spark: SparkSession, database: str, catalog: str = "spark_catalog", types=KEPT_TABLE_TYPES) -> DataFrame:
+    """S7 over the session catalog: tables of these types in a database (views
+    filtered out, P7, unless asked for), sorted by name (T2)."""
     rows = [(catalog, database, t.name, f"{catalog}.{database}.{t.name}", t.tableType, t.description)
             for t in spark.catalog.listTables(database)]
     df = spark.createDataFrame(rows, TABLE_SCHEMA)
-    return df.where(F.col("table_type").isin(*KEPT_TABLE_TYPES)).orderBy("name")
+    return df.where(F.col("table_type").isin(*types)).orderBy("name")
 
 
 def catalog_columns(spark: SparkSession, database: str) -> DataFrame:
