@@ -11,12 +11,17 @@ others: the member with most company over all its buckets, which in a group of
 near copies is the original they share their bands with. The confirmed links
 are joined to components; a bucket that lies within one component is done. In
 what is left the heaviest member outside the leader's component leads once more.
-The rest goes through small groups: equal groups count once, and a group gives
-only pairs of different components whose sizes and estimate come near the
-threshold. Of a bucket of more than ``GROUP`` members, first the parts that
-share a second and third band are looked at and joined; then every two blocks of
-the members of what is still unsettled meet, so that one shared band is enough
-in a bucket of any size.
+
+Documents that share a long passage but are no near-duplicates keep buckets
+unsettled. Their pairs are not made: the members of all unsettled buckets are
+joined by a prefix filter, which loses no link. Shingles in one component only
+cannot be shared with another; a document with too few others is done. The rest
+of its shingles are ordered, those of the fewest documents first, and only the
+first are looked at, so many that two sets that miss each other there cannot
+reach the threshold; a passage of many documents stands last. Documents that
+share such a shingle form groups (of more than ``GROUP``, every two blocks
+meet); a group gives only pairs of different components whose sizes, shareable
+shingles and estimate allow a link.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; its estimate
 stays over ``NEAR`` by over six standard deviations (1 - 2e-9).
@@ -177,45 +182,62 @@ def unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
     return m.join(several.select("bucket", "size"), "bucket")
 
 
-def small_groups(members: DataFrame, bands: DataFrame, component: DataFrame, best: bool) -> DataFrame:
-    """(bucket, id, component): groups of at most ``GROUP`` members or so. With
-    ``best``, a larger bucket is split by one more shared band, twice at most,
-    then into pairs of blocks; else into pairs of blocks at once, so that every
-    pair of its members is in a group."""
-    out, todo = None, cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
-    for _ in range(2 if best else 0):
-        fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
-        out = fine if out is None else out.union(fine)
-        large = todo.where(F.col("size") > GROUP)
-        if large.isEmpty():
-            return out
-        finer = large.select("used", "id").join(bands, "id").select("id", "used", F.explode(F.array_except("bands", "used")).alias("more"))
-        finer = finer.select(F.array_sort(F.array_append("used", F.col("more"))).alias("used"), "id")
-        finer = finer.select(F.xxhash64("used").alias("bucket"), "used", "id").distinct()
-        todo = cut_lineage(unsettled(finer, component), "unsettled")
+def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the documents of ``todo`` (id, component): (bucket, id), the shingles by
+    which links to other components can be found, and (id, shareable), the number
+    of shingles that other components have as well.
+
+    A link of sets of n and m shingles has at least LEAST * n / 100 in common. If
+    s of the n occur in several components, two sets that share none of their
+    first s - ceil(LEAST * n / 100) + 1 (in one order for all) share too few."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            sets = shingle_sets(batch.column(1))
+            n = np.array([len(x) for x in sets], np.int64)
+            ids = np.asarray(batch.column(0), np.int64)
+            key = np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
+            key = mix(key ^ mix(ids.astype(np.uint64))).view(np.int64)  # of a document and set
+            flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (flat, np.repeat(key, n), np.repeat(ids, n), np.repeat(n, n), np.repeat(np.asarray(batch.column(2), np.int64), n))], ["shingle", "key", "id", "n", "component"])
+
+    own = texts_of(docs).join(todo, F.col("doc_id") == F.col("id")).select("doc_id", "text", "component")
+    every = cut_lineage(own.mapInArrow(rows, "shingle long, key long, id long, n long, component long"), "shingles")
+    several = every.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "c")
+    shared = every.select("shingle", "key", "id", "n").join(several, "shingle")
+    sets = shared.groupBy("key", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("shared"))  # of one text
+    length = F.size("shared") - F.ceil(F.col("n") * LEAST / 100).cast("int") + 1
+    sets = cut_lineage(sets.where(length > 0).select("id", F.size("shared").alias("shareable"), F.slice("shared.shingle", F.lit(1), length).alias("first")), "prefixes")
+    return sets.select(F.explode("first").alias("bucket"), "id").distinct(), sets.groupBy("id").agg(F.max("shareable").alias("shareable"))
+
+
+def small_groups(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(bucket, id, component): groups of at most ``GROUP`` members or so. A larger
+    bucket becomes pairs of blocks, so that every pair of its members is in a
+    group."""
+    todo = cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
     fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
-    out = fine if out is None else out.union(fine)
     large = todo.where(F.col("size") > GROUP)
     large = large.withColumn("blocks", F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = large.withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    parts = parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component")
-    return out.union(parts)
+    return fine.union(parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component"))
 
 
-def group_pairs(groups: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components in a group whose sizes allow a link
-    and whose estimate is at least ``NEAR``; with ``best``, only the best of
-    every two components."""
+def group_pairs(groups: DataFrame, reps: DataFrame, shareable: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a group whose sizes and shareable
+    shingles allow a link and whose estimate is at least ``NEAR``; with ``best``,
+    only the best of every two components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, sizes = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles"))
+        ids, own, sizes, common = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles", "shareable"))
         bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, own, sizes, bits = ids[order], own[order], sizes[order], bits[order]
+        ids, own, sizes, common, bits = ids[order], own[order], sizes[order], common[order], bits[order]
         a, b, score = [], [], []
         least, most = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
-        worth = np.triu((own[:, None] != own) & (100 * least >= LEAST * most), 1)
+        both = np.minimum(np.minimum(common[:, None], common), least)  # at most so many in common
+        worth = np.triu((own[:, None] != own) & (100 * least >= LEAST * most) & (100 * both >= LEAST * (least + most - both)), 1)
         i, j = np.nonzero(worth)
         nothing = np.zeros(bits.shape[1], np.uint64)
         for at in range(0, len(i), 20_000):
@@ -234,11 +256,11 @@ def group_pairs(groups: DataFrame, reps: DataFrame, best: bool) -> DataFrame:
             a, b = a[first], b[first]
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    # many bands give the same members: one group of each is enough
+    # many shingles have the same members: one group of each is enough
     g = groups.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
     one = g.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
-    signed = groups.join(one, "bucket").join(reps.select(F.col("doc_id").alias("id"), "n_shingles", "signature"), "id")
-    return signed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    drawn = reps.select(F.col("doc_id").alias("id"), "n_shingles", "signature").join(shareable, "id")
+    return groups.join(one, "bucket").join(drawn, "id").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def star_pairs(members: DataFrame, component: DataFrame | None) -> DataFrame:
@@ -277,9 +299,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         links = links.union(more)
         component = components(links)
-    members = left.select("bucket", "id")
+    todo = unsettled(left.select("bucket", "id", F.col("id").alias("used")), component).select("id", "component").distinct()
+    members, shareable = prefixes(cut_lineage(todo, "unsettled"), docs)
     for best in (True, False):
-        pairs = cut_lineage(group_pairs(small_groups(members, reps.select(F.col("doc_id").alias("id"), "bands"), component, best), reps, best), "pairs")
+        pairs = cut_lineage(group_pairs(small_groups(members, component), reps, shareable, best), "pairs")
         if pairs.isEmpty():
             continue
         more = confirm(pairs, reps, docs)
@@ -293,11 +316,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The table with one document of each component, the one with the least
-    id; of repeated rows of an id one stays, rows without an id all do."""
+    id; of the rows of an id one stays (that of the largest text, then the least
+    hash of all columns), rows without an id all do."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-    one = named.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    place = "_place"
+    while place.lower() in {c.lower() for c in docs.columns}:
+        place += "_"
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    first = W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last(), F.xxhash64(*others))
+    one = named.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return one.union(docs.where("doc_id IS NULL"))
 
 
