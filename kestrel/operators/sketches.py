@@ -42,8 +42,9 @@ def kind_of(dt: T.DataType) -> str:
     return "number" if isinstance(dt, T.NumericType) else "nested"
 
 
-def column_sketches(df: DataFrame, table_name: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """The sketches of every column (of these kinds), in one aggregation."""
+def column_sketches(df: DataFrame, table_name: str, kinds: tuple[str, ...] | None = None, part=None) -> DataFrame:
+    """The sketches of every column (of these kinds), in one aggregation; with
+    ``part`` (an expression of few values) a row for each part."""
     fields = [f for f in df.schema.fields if kinds is None or kind_of(f.dataType) in kinds]
     if not fields:
         return df.sparkSession.createDataFrame([], SKETCH)
@@ -60,7 +61,7 @@ def column_sketches(df: DataFrame, table_name: str, kinds: tuple[str, ...] | Non
         aggs += [F.count(c).alias(f"n{i}"), F.hll_sketch_agg(x, HLL_BITS).alias(f"h{i}"), F.theta_sketch_agg(x, THETA_BITS).alias(f"t{i}")]
     items = [F.struct(F.lit(f.name).alias("column_name"), F.lit(kind_of(f.dataType)).alias("kind"), F.col(f"n{i}").alias("non_null"),
                       F.col(f"h{i}").alias("hll"), F.col(f"t{i}").alias("theta")) for i, f in enumerate(fields)]
-    one = df.agg(*aggs).select(F.col("rows").alias("row_count"), F.inline(F.array(*items)))
+    one = (df.groupBy(part) if part is not None else df).agg(*aggs).select(F.col("rows").alias("row_count"), F.inline(F.array(*items)))
     return one.select(F.lit(table_name).alias("table_name"), "column_name", "kind", "row_count", "non_null", "hll", "theta")
 
 

@@ -40,13 +40,10 @@ def column_estimates(spark, sf_dir):
     """A24 + A6 by sketches that merge: every table is sketched in two halves, the
     halves are merged, and the estimates compared with the exact counts: within
     five standard errors, or not."""
-    halves = []
-    for n in TABLES:
-        df = table(spark, sf_dir, n)
-        half = F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
-        halves += [sk.column_sketches(df.where(half == k), n) for k in (0, 1)]
-    est = sk.estimates(sk.merged(reduce(DataFrame.unionByName, halves)))
-    exact = pr.profile_tables(spark, sf_dir, TABLES).select("table_name", "column_name", "distinct_count")
+    half = lambda df: F.pmod(F.xxhash64(df.columns[0]), F.lit(2))
+    halves = [sk.column_sketches(df, n, part=half(df)) for n in TABLES for df in (table(spark, sf_dir, n),)]
+    est = sk.estimates(sk.merged(cut_lineage(reduce(DataFrame.unionByName, halves), "sketches")))
+    exact = cut_lineage(pr.profile_tables(spark, sf_dir, TABLES).select("table_name", "column_name", "distinct_count"), "profile")
     error = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
     bound = F.greatest(F.lit(1.0), 5 * F.lit(1.04 / 2 ** (sk.HLL_BITS / 2)) * F.col("distinct_count"))
     return est.join(exact, ["table_name", "column_name"]).select("table_name", "column_name", "kind", "row_count", "null_count", "distinct_count", (error <= bound).alias("within_bound"))
