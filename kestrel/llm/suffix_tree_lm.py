@@ -39,6 +39,8 @@ MASS = 8.0
 SPLIT = 1 << 18
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 * 1024 * 1024
+#: Blocks for each shard. Messages are blocks times shards, whatever the session's partitions.
+SHARD_BLOCKS = 2
 END = np.uint64(0x243F6A8885A308D3)
 MESSAGE = "block int, level int, shard int, body binary"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,11 +281,10 @@ def suffix_tree_scores(docs: DataFrame, held_out, depth: int = DEPTH, split: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of
     every text; the model learns from the rows where ``held_out`` (a column of
     the table) is not true."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    shards = blocks
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    shards = -(-blocks // SHARD_BLOCKS)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
