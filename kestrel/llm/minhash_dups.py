@@ -205,10 +205,11 @@ def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = cut_lineage(own.mapInArrow(rows, "shingle long, key long, id long, n long, component long"), "shingles")
     several = every.groupBy("shingle").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "c")
     shared = every.select("shingle", "key", "id", "n").join(several, "shingle")
-    sets = shared.groupBy("key", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("shared"))  # of one text
-    length = F.size("shared") - F.ceil(F.col("n") * LEAST / 100).cast("int") + 1
-    sets = cut_lineage(sets.where(length > 0).select("id", F.size("shared").alias("shareable"), F.slice("shared.shingle", F.lit(1), length).alias("first")), "prefixes")
-    return sets.select(F.explode("first").alias("bucket"), "id").distinct(), sets.groupBy("id").agg(F.max("shareable").alias("shareable"))
+    of_set = W.partitionBy("key", "id", "n")  # the shingles of one text
+    shared = shared.withColumns({"place": F.row_number().over(of_set.orderBy("c", "shingle")), "shareable": F.count("*").over(of_set)})
+    first = shared.where(F.col("place") <= F.col("shareable") - F.ceil(F.col("n") * LEAST / 100) + 1)
+    first = cut_lineage(first.select(F.col("shingle").alias("bucket"), "id", "shareable"), "prefixes")
+    return first.select("bucket", "id").distinct(), first.groupBy("id").agg(F.max("shareable").alias("shareable"))
 
 
 def small_groups(members: DataFrame, component: DataFrame) -> DataFrame:
