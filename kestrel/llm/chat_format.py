@@ -110,3 +110,26 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
+
+
+ORACLE_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+-- a backslash more for every backslash and every control string; of roles for |> as well
+size AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         8 + length(role) + length(text) + length(role || text) - length(replace(role || text, '\', ''))
+         + len(regexp_extract_all(text, '[<\[](/?s>|/?INST\]|</?SYS>>|\|)')) + len(regexp_extract_all(role, '[<\[](/?s>|/?INST\]|</?SYS>>|\|)'))
+         + (length(role) - length(replace(role, '|>', ''))) // 2 AS n
+  FROM rows),
+so_far AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto, count(*) OVER (PARTITION BY conv_id) AS turns FROM size),
+per AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said,
+         coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(upto) FILTER (WHERE role = 'assistant' OR i = turns) AS formatted
+  FROM so_far GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars
+FROM per
+"""

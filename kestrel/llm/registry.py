@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kestrel.llm.chat_format import ORACLE_SQL as CHAT_SQL
 from kestrel.llm.chat_format import op9_chat_format
 from kestrel.llm.divergence_audit import ORACLE_SQL as DIVERGENCE_SQL
 from kestrel.llm.divergence_audit import op12_divergence_audit
@@ -14,6 +15,7 @@ from kestrel.llm.ordinal_quality import op7_ordinal_quality
 from kestrel.llm.quality_outliers import op2_quality_outliers
 from kestrel.llm.rank_queue_bpe import op11_bitmap_bpe
 from kestrel.llm.secrets import op5_secret_scan
+from kestrel.llm.sketch_substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from kestrel.llm.sketch_substrings import op4_sketch_substrings
 from kestrel.llm.suffix_tree_lm import op8_suffix_tree_lm
 from kestrel.llm.token_counts import op10_token_counts
@@ -35,4 +37,9 @@ QUERIES = {
 }
 
 #: DuckDB SQL where SQL expresses the whole query.
-ORACLES: dict[str, str] = {"op12_divergence_audit": DIVERGENCE_SQL, "op13_hard_negatives": NEGATIVES_SQL}
+ORACLES: dict[str, str] = {
+    "op4_sketch_substrings": SUBSTRINGS_SQL,
+    "op9_chat_format": CHAT_SQL,
+    "op12_divergence_audit": DIVERGENCE_SQL,
+    "op13_hard_negatives": NEGATIVES_SQL,
+}

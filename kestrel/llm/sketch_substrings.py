@@ -243,3 +243,20 @@ def _read(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def op4_sketch_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = removed_words(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT k, doc_id, unnest(list_transform(range(1, len(w) - 11), lambda p: array_to_string(w[p:p + 12], ' '))) AS piece,
+         unnest(range(1, len(w) - 11)) AS p
+  FROM d WHERE len(w) >= 13),
+least AS (SELECT piece, min(doc_id) AS low FROM s GROUP BY piece),
+gone AS (SELECT DISTINCT k, unnest(range(p, p + 13)) AS i FROM s JOIN least USING (piece) WHERE low < doc_id),
+word AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (k, i) GROUP BY k),
+cut AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k) LEFT JOIN cut USING (k)
+"""
