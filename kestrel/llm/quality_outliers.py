@@ -11,13 +11,17 @@ At scale: a step is one aggregation over the statistics table. The distances
 are binned on a fixed logarithmic scale, so each group has at most ``BINS``
 partial rows however many documents it holds; a hot group is summed where its
 rows lie. The nearest part is taken in whole bins (at least ``SUBSET`` of the
-group). Groups under ``LEAST_GROUP`` documents are pooled by language, pools
-that stay smaller are pooled together. Coordinates have a least scale
-(``FLOOR``), so groups made of copies do not reject what differs slightly.
+group). Every group, of any size, has its own estimate, drawn toward that of
+its language as if ``WEIGHT`` documents of the language's centre and spread
+were among its nearest, and the language's toward that of all documents: a
+large group hardly feels it, a group of a few documents has little to say
+against it. Coordinates have a least scale (``FLOOR``), so groups made of
+copies do not reject what differs slightly.
 
 Null text: no words, fails the base rules. Null language or source: a group of
-its own. Repeated rows count as often as they come and get one row each. An
-empty table gives an empty result; other columns play no part.
+its own. Very long texts are read whole. Ties of distance fall into one bin and
+are taken together. Repeated rows count as often as they come and get one row
+each. An empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -38,9 +42,8 @@ FLOOR = (0.10, 0.04, 0.05, 0.05, 0.05, 0.08, 0.08)
 SUBSET = 0.75
 STEPS = 5
 BINS = 4096
-LEAST_GROUP = 200
-#: Most rows (of some 400 bytes) of a table of groups that is broadcast.
-SMALL_ROWS = 10_000
+#: Documents that the estimate a group is drawn toward counts for.
+WEIGHT = 200.0
 #: Share of normal documents that lie within the cut.
 COVERED = 1 - 1e-7
 
@@ -116,26 +119,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.select("*", failed.alias("base_failed"), *(x.alias(f"x{i}") for i, x in enumerate(vector)))
 
 
-def small(table: DataFrame) -> DataFrame:
-    """The table (a row a group), to be broadcast if it has few rows, so that a
-    hot group's documents stay where they lie; else it joins by its key, where
-    adaptive execution splits a hot one."""
-    return F.broadcast(table) if table.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else table
-
-
 def scoped(stats: DataFrame) -> DataFrame:
-    """With the column ``scope``: the document's group or pool."""
-    n = stats.groupBy("lang", "source").agg(F.count("*").alias("_n"))
-    n = n.withColumn("_pool", F.when(F.col("_n") < LEAST_GROUP, F.col("_n")).otherwise(0))
-    lang = n.groupBy("lang").agg(F.sum("_pool").alias("_lang_n"))
-    group = F.to_json(F.struct("_l", "source"))
-    scope = F.when(F.col("_n") >= LEAST_GROUP, group).when(F.col("_lang_n") >= LEAST_GROUP, F.concat(F.lit("pool "), F.to_json(F.struct("_l")))).otherwise("pool")
-    both = n.withColumnRenamed("lang", "_l").join(lang.withColumnRenamed("lang", "_m"), F.col("_l").eqNullSafe(F.col("_m")))
-    both = both.select(F.col("_l"), F.col("source").alias("_s"), scope.alias("scope"))
-    both = small(cut_lineage(both, "quality-scopes"))
-    return stats.join(both, stats["lang"].eqNullSafe(both["_l"]) & stats["source"].eqNullSafe(both["_s"])).drop("_l", "_s")
-
-
+    """With the columns ``scope0`` (all), ``scope1`` (the language) and ``scope2``
+    (the language and source); null is a value."""
+    return stats.withColumns({"scope0": F.lit("all"), "scope1": F.to_json(F.struct("lang")), "scope2": F.to_json(F.struct("lang", "source"))})
 
 
 def _gamma_p(a: float, x: float) -> float:
@@ -171,6 +158,15 @@ def _whitened(scope: str, mean: np.ndarray, cov: np.ndarray) -> dict:
     return {"scope": scope} | {f"m{i}": mean[i] for i in range(P)} | {f"w{i}_{j}": w[i, j] for i, j in PAIRS}
 
 
+def _moments(row) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and the covariance (without ``FLOOR``) of an estimate."""
+    w = np.zeros((P, P))
+    for i, j in PAIRS:
+        w[i, j] = row[f"w{i}_{j}"]
+    factor = np.linalg.inv(w)
+    return np.array([row[f"m{i}"] for i in range(P)]), factor @ factor.T - np.diag(np.square(FLOOR))
+
+
 def start(stats: DataFrame) -> DataFrame:
     """Medians and quartile ranges of each group."""
     q = stats.groupBy("scope").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(P)))
@@ -185,7 +181,7 @@ def start(stats: DataFrame) -> DataFrame:
 def distances(stats: DataFrame, estimate: DataFrame) -> DataFrame:
     """With the column ``d2``: squared distance from the group's estimate."""
     parts = [sum((F.col(f"w{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(P)]
-    joined = stats.join(small(estimate), "scope")
+    joined = stats.join(estimate, "scope")
     return joined.withColumn("d2", sum((p * p for p in parts), F.lit(0.0))).drop(*(x.split()[0] for x in ESTIMATE.split(", ")[1:]))
 
 
@@ -196,10 +192,11 @@ def binned(stats: DataFrame, estimate: DataFrame, sums: bool = True) -> DataFram
     return d.groupBy("scope", "bin").agg(F.count("*").alias("n"), *more)
 
 
-def step(stats: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: the estimate from each group's nearest part."""
+def step(stats: DataFrame, estimate: DataFrame, toward: DataFrame | None = None, weight: float = WEIGHT) -> DataFrame:
+    """One concentration step: the estimate from each group's nearest part, drawn
+    toward that of ``toward`` (scope and estimate), if given."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(f: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("bin")
         before = f["n"].cumsum() - f["n"]
         near = f[before < SUBSET * f["n"].sum()]
@@ -208,33 +205,55 @@ def step(stats: DataFrame, estimate: DataFrame) -> DataFrame:
         cov = np.zeros((P, P))
         for i, j in PAIRS:
             cov[i, j] = cov[j, i] = near[f"p{i}_{j}"].sum() / n - mean[i] * mean[j]
+        if len(other) and weight:
+            m, c = _moments(other.iloc[0])
+            off = mean - m
+            cov = (n * cov + weight * c + n * weight / (n + weight) * np.outer(off, off)) / (n + weight)
+            mean = (n * mean + weight * m) / (n + weight)
         low, at = np.linalg.eigh(cov)
         return pd.DataFrame([_whitened(f["scope"].iloc[0], mean, (at * np.maximum(low, 0)) @ at.T)])
 
-    return binned(stats, estimate).groupBy("scope").applyInPandas(run, ESTIMATE)
+    bins = binned(stats, estimate)
+    toward = stats.sparkSession.createDataFrame([], ESTIMATE) if toward is None else toward
+    return bins.groupBy("scope").cogroup(toward.groupBy("scope")).applyInPandas(lambda f, o: run(f, o) if len(f) else f.reindex(columns=[x.split()[0] for x in ESTIMATE.split(", ")]), ESTIMATE)
 
 
-def scale(stats: DataFrame, estimate: DataFrame) -> DataFrame:
-    """scope, factor: what makes the median distance that of normal data (never under 1)."""
+def scale(stats: DataFrame, estimate: DataFrame, toward: DataFrame | None = None, weight: float = WEIGHT) -> DataFrame:
+    """scope, factor: what makes the median distance that of normal data (never
+    under 1), drawn toward that of ``toward`` (scope, factor), on a log scale."""
     normal = chi2_quantile(0.5, P)
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def run(f: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("bin")
         middle = f["bin"][f["n"].cumsum() >= 0.5 * f["n"].sum()].iloc[0]
-        return pd.DataFrame({"scope": [f["scope"].iloc[0]], "factor": [max(1.0, (2 ** ((middle + 1) / 128) - 1) / normal)]})
+        factor, n = max(1.0, (2 ** ((middle + 1) / 128) - 1) / normal), float(f["n"].sum())
+        if len(other) and weight:
+            factor = math.exp((n * math.log(factor) + weight * math.log(other["factor"].iloc[0])) / (n + weight))
+        return pd.DataFrame({"scope": [f["scope"].iloc[0]], "factor": [factor]})
 
-    return binned(stats, estimate, sums=False).groupBy("scope").applyInPandas(run, "scope string, factor double")
+    bins = binned(stats, estimate, sums=False)
+    toward = stats.sparkSession.createDataFrame([], "scope string, factor double") if toward is None else toward
+    return bins.groupBy("scope").cogroup(toward.groupBy("scope")).applyInPandas(lambda f, o: run(f, o) if len(f) else pd.DataFrame({"scope": [], "factor": []}), "scope string, factor double")
 
 
 def quality_outliers(docs: DataFrame) -> DataFrame:
     """Every document's counts, base verdict, distance and whether it is kept."""
     stats = cut_lineage(statistics(docs), "quality-statistics")
     stats = scoped(stats)
-    estimate = cut_lineage(start(stats), "quality-estimate")
-    for _ in range(STEPS):
-        estimate = cut_lineage(step(stats, estimate), "quality-estimate")
-    factor = cut_lineage(scale(stats, estimate), "quality-scale")
-    d = distances(stats, estimate).join(small(factor), "scope").withColumn("d2", F.col("d2") / F.col("factor"))
+    estimate = factor = None
+    for level in range(3):
+        at = stats.withColumn("scope", F.col(f"scope{level}"))
+        # each scope's wider one
+        wider = None if level == 0 else cut_lineage(stats.groupBy(f"scope{level}").agg(F.min(f"scope{level - 1}").alias("wider")), "quality-scopes").withColumnRenamed(f"scope{level}", "of")
+        rekeyed = lambda e: None if wider is None else e.join(wider, F.col("scope") == F.col("wider")).drop("scope", "wider").withColumnRenamed("of", "scope")  # noqa: E731, B023
+        toward, toward_factor = rekeyed(estimate), rekeyed(factor)
+        if wider is not None:
+            toward, toward_factor = cut_lineage(toward, "quality-toward"), cut_lineage(toward_factor, "quality-toward")
+        estimate = cut_lineage(start(at), "quality-estimate")
+        for _ in range(STEPS):
+            estimate = cut_lineage(step(at, estimate, toward), "quality-estimate")
+        factor = cut_lineage(scale(at, estimate, toward_factor), "quality-scale")
+    d = distances(at, estimate).join(factor, "scope").withColumn("d2", F.col("d2") / F.col("factor"))
     kept = ~F.col("base_failed") & (F.col("d2") <= chi2_quantile(COVERED, P))
     return d.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.sqrt("d2").alias("distance"), kept.alias("kept"))
 

@@ -71,6 +71,68 @@ def test_estimate_resists_contamination(spark, monkeypatch):
     assert all(r.d2 > cut for r in d if r.doc_id < 800) and np.mean([r.d2 <= cut for r in d if r.doc_id >= 800]) > 0.99
 
 
+def test_steps_reach_the_exact_estimate_of_small_groups(spark):
+    """Against all subsets: the one of the least determinant is what the steps end
+    at, with nothing to be drawn toward."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    columns = ["doc_id", "scope", *(f"x{i}" for i in range(qo.P))]
+    rows, want = [], {}
+    for g in range(4):
+        x = rng.normal(0.5, 0.1, (12, qo.P))
+        x[:3] += rng.choice([-1, 1], (3, qo.P)) * 1.5  # a quarter far out
+        rows += [(100 * g + i, f"g{g}", *map(float, v)) for i, v in enumerate(x)]
+        floor = np.diag(np.square(qo.FLOOR))
+        best = min(combinations(range(12), 9), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True) + floor))
+        want[f"g{g}"] = (x[list(best)].mean(0), np.cov(x[list(best)].T, bias=True))
+    stats = spark.createDataFrame(rows, columns)
+    estimate = qo.cut_lineage(qo.start(stats), "t")
+    for _ in range(qo.STEPS):
+        estimate = qo.cut_lineage(qo.step(stats, estimate, weight=0.0), "t")
+    for r in estimate.collect():
+        mean, cov = qo._moments(r.asDict())
+        assert np.allclose(mean, want[r.scope][0], atol=1e-9) and np.allclose(cov, want[r.scope][1], atol=1e-9)
+
+
+def test_groups_of_all_sizes_are_drawn_toward_the_wider_one(spark):
+    """A group of n documents moves by n of n + WEIGHT parts; no size switches."""
+    rng = np.random.default_rng(5)
+    columns = ["doc_id", "scope", *(f"x{i}" for i in range(qo.P))]
+    rows = []
+    for n in (1, 150, 250, 3000):
+        rows += [(0, f"n{n}", *map(float, v)) for v in rng.normal(0.9, 0.02, (n, qo.P))]
+    stats = spark.createDataFrame(rows, columns)
+    toward = spark.createDataFrame([{k: v if k == "scope" else float(v) for k, v in qo._whitened(f"n{n}", np.full(qo.P, 0.5), np.eye(qo.P) * 0.01).items()} for n in (1, 150, 250, 3000)]).select(*[x.split()[0] for x in qo.ESTIMATE.split(", ")])
+    estimate = qo.cut_lineage(qo.start(stats), "t")
+    for _ in range(qo.STEPS):
+        estimate = qo.cut_lineage(qo.step(stats, estimate, toward), "t")
+    got = {r.scope: qo._moments(r.asDict())[0][0] for r in estimate.collect()}
+    for n in (1, 150, 250, 3000):
+        near = np.ceil(qo.SUBSET * n)  # whole bins: a few more
+        assert 0.5 + 0.4 * near / (near + qo.WEIGHT) - 0.03 < got[f"n{n}"] < 0.5 + 0.4 * n / (n + qo.WEIGHT) + 0.03
+
+
+def test_verdicts_of_small_and_large_groups(spark):
+    """Groups of 3 to 900 documents, one bad text in each: it goes, the others stay."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    rows, bad = [], set()
+    for g, n in enumerate((3, 30, 190, 210, 900)):
+        for k in range(n):
+            i = len(rows)
+            words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 200))]
+            text = " ".join(w.capitalize() + "." if j % 12 == 0 else w for j, w in enumerate(words))
+            if k == 0:
+                bad.add(i)
+                text = " ".join("#%$&" if j % 2 else w.upper() for j, w in enumerate(words))
+            rows.append((i, text, "en", f"s{g}"))
+    out = qo.quality_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in out if not r.kept} == bad
+
+
 def test_chi2_quantiles():
     assert abs(qo.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-9
     assert abs(qo.chi2_quantile(0.95, 1) - 3.841459) < 1e-5 and abs(qo.chi2_quantile(0.99, 7) - 18.475307) < 1e-5
