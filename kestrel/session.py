@@ -67,13 +67,21 @@ def cut_lineage(df: DataFrame, name: str = "materialized") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster where it is not
-    installed (their Python workers import it by name)."""
+    """Send this package to the executors of a cluster, once an application
+    (their Python workers import it by name, and it may not be installed
+    there). A local session needs none."""
     import shutil
+    app = spark.sparkContext.applicationId
+    if app in _shipped or re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.join(tempfile.mkdtemp(prefix="kestrel-ship-"), "kestrel")
     spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "kestrel"))
+    _shipped.add(app)
 
 
 def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
