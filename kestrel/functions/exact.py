@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["dec", "exact_sum", "exact_avg", "exact_stddev", "STD_DIGITS"]
+__all__ = ["dec", "exact_sum", "exact_avg", "STD_DIGITS"]
 
 # Sample stddev goes through a square root of a difference of large sums;
 # it is rounded to this many decimals so it is reproducible across engines.
@@ -38,15 +38,3 @@ def exact_avg(c, scale: int = 4, w=None) -> Column:
     """sum(decimal) / count, as DOUBLE; NULL on an empty frame."""
     return F.try_divide(_over(F.sum(dec(c, scale)), w).cast("double"),
                         _over(F.count(c), w).cast("double"))
-
-
-def exact_stddev(c, scale: int = 4, w=None) -> Column:
-    """Sample standard deviation from exact sums: sqrt((Σx² − (Σx)²/n)/(n−1)),
-    NULL for fewer than two values (as ``stddev_samp``)."""
-    x = dec(c, scale)
-    cnt = _over(F.count(c), w)
-    n = cnt.cast("double")
-    s = _over(F.sum(x), w).cast("double")
-    ss = _over(F.sum(x * x), w).cast("double")
-    var = F.try_divide(ss - s * s / n, n - F.lit(1.0))
-    return F.when(cnt > 1, F.round(F.sqrt(F.greatest(var, F.lit(0.0))), STD_DIGITS))

@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "date_from_id", "date_id_of", "days_between", "hash_bucket", "spark_hash_bucket",
-    "slugify", "safe_name", "strip_code_fences", "parse_json_text", "preview",
+    "col_of", "date_from_id", "date_id_of", "hash_bucket", "spark_hash_bucket",
+    "slugify", "safe_name", "unique_names", "strip_code_fences", "parse_json_text", "preview",
     "after_marker", "name_part", "nullable_flag", "clock_time", "readiness",
     "status_of_next", "is_binary_target_name", "is_key_name", "is_date_name",
     "off_topic", "OFF_TOPIC_PATTERNS", "SAFE_NAME_RULES", "relative_gap_below",
@@ -37,11 +37,6 @@ def date_id_of(c) -> Column:
     return (F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("int")
 
 
-# F2 / F4 / X3
-def days_between(later, earlier) -> Column:
-    return F.datediff(col_of(later), col_of(earlier))
-
-
 # F8 / X5. Spark's murmur3 ``hash`` has no twin in other engines, so the
 # default bucket is taken from the first 32 bits of SHA-256 of the text form;
 # any SQL engine with sha256 gives the same bucket.

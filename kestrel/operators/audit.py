@@ -270,9 +270,10 @@ def link_check(trail: DataFrame) -> DataFrame:
 
 
 def trail_with_validity(trail: DataFrame) -> DataFrame:
-    """G5 (+T3): every event of a run with the run's verification result."""
+    """Every event of a run with the run's verification result, by
+    sequence (a distributed sort)."""
     v = verify_runs(trail)
-    return trail.join(v, "run_id", "left")
+    return trail.join(v, "run_id", "left").orderBy("run_id", "sequence_number")
 
 
 def run_completeness(trail: DataFrame, expected: list[str] | None = None) -> DataFrame:

@@ -61,7 +61,7 @@ class FeatureOptions:
     order_keys: list = field(default_factory=list)   # total order inside a customer
     hash_buckets: int = 100
     similar_price_limit: float = 0.3
-    max_onehot_values: int = 50
+    max_onehot_values: int = 10_000                   # columns a table can well have
     skew_split: bool = False                          # see windows.prior_frame
     order_bucket_bits: int = 20                       # order-id block size inside a (customer, day)
 

@@ -33,17 +33,6 @@ def left_dimension_join(fact: DataFrame, dim: DataFrame, key: str, columns,
     return fact.join(bounded_broadcast(d, max_broadcast_rows), on=key, how="left")
 
 
-def join_aggregate(fact: DataFrame, keys, agg_exprs, how: str = "left") -> DataFrame:
-    """Aggregate per key, then join the aggregate back.
-
-    The aggregate uses map-side partial aggregation, so a hot key costs one
-    row per map task, not a hot reducer; the join back is many-to-one and
-    AQE's skew handling splits a hot key's fact partition."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    agg = fact.groupBy(*keys).agg(*agg_exprs)
-    return fact.join(agg, on=keys, how=how)
-
-
 def null_safe_left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on ``keys`` where NULL meets NULL, with the keys once."""
     r = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})

@@ -18,7 +18,7 @@ from kestrel.operators.ordering import frequency_index
 
 LOG_DIGITS = 9          # log1p output rounded so every engine gives the same value
 HASH_BUCKETS = 100
-ONE_HOT_LIMIT = 20
+ONE_HOT_LIMIT = 10_000  # values that become columns, at most; X8 chooses one_hot below 20
 
 
 def keep_numeric(c: str) -> Column:                                       # X1
