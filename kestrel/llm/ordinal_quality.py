@@ -13,8 +13,9 @@ and no shuffle.
 
 Null text: empty. Labels with a null grade are left out; of several labels of
 one document the least grade holds. Without labelled documents nothing is
-rejected. Repeated rows get one row each; an empty table gives an empty result;
-other columns play no part.
+rejected. Very long texts are read whole. Ties of the hash are broken by id.
+Repeated rows get one row each; an empty table gives an empty result; other
+columns play no part.
 """
 
 from __future__ import annotations

@@ -9,8 +9,10 @@ overlapping windows that reach the threshold join into one span. Candidates
 matched by the allow list are suppressed; what a base span covers of an entropy
 span is left to the base span, the rest on both sides stays.
 
-Null text: empty, no spans. One output row per input row; an empty table gives
-an empty result; other columns play no part (``redact`` passes them on).
+Null text: empty, no spans. One output row per input row (repeated rows stay);
+spans of one start come in the order of the kinds; very long texts are scanned
+whole. An empty table gives an empty result; other columns play no part
+(``redact`` passes them on).
 Rows are scanned where they lie: no shuffle.
 """
 

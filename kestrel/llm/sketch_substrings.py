@@ -19,9 +19,12 @@ one row of bytes a shard, each window once a block with its least id, so a
 passage that a third of all documents share arrives once a block. The text is
 dealt to blocks by one exchange, which the three passes over it share.
 
-Null text: no words. Null ids come after all others. Repeated rows have one id,
-so they repeat nothing. Documents of fewer words than a window stay whole. An
-empty table gives an empty result; other columns play no part.
+Null text: no words. Null ids come after all others, and repeat nothing among
+themselves. Ties: of the documents that hold a window the smallest id keeps it,
+rows of one id are one document. Repeated rows have one id, so they repeat
+nothing. Documents of fewer words than a window stay whole; very long texts are
+read whole, in a block of their own if need be. An empty table gives an empty
+result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -96,7 +99,7 @@ def removed_words(docs: DataFrame) -> DataFrame:
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     bits = max(10, int(np.ceil(np.log2(max(1, size // 4) * WIDTH))))
     shards = blocks
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks)).cast("int"))
 
     def block_windows(table: pa.Table) -> Windows:
         w = Windows(table)

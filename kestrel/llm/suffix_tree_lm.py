@@ -17,8 +17,10 @@ passes share. A context with more than ``SPLIT`` occurrences is spread over
 several shards by its next words, whose partial gains go to all blocks.
 
 Null text: empty, so the end alone. Null ids: training, as crc32 has no value.
-Repeated rows count as often as they come and get one row each. An empty table
-gives an empty result; without training documents every word is unknown.
+Very long texts are read and scored whole. Ties: a context at ``GAIN`` or
+``LEAST`` is kept. Repeated rows count as often as they come and get one row
+each. An empty table gives an empty result; without training documents every
+word is unknown; other columns play no part.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@ Offline, every vocabulary string is encoded alone: those that come out as the
 one token of their own are whole tokens. A text is cut into pre-tokens; those
 among the whole tokens count one without merging, only the rest are merged.
 
-Null text: empty, 0 tokens and bytes. One output row per input row (repeated
-rows stay); an empty table gives an empty result; other columns play no part.
+Null text: empty, 0 tokens and bytes. Very long texts are counted whole. One
+output row per input row (repeated rows stay, there is nothing to tie); an empty
+table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
