@@ -20,8 +20,8 @@ of its shingles are ordered, those of the fewest documents first, and only the
 first are looked at, so many that two sets that miss each other there cannot
 reach the threshold; a passage of many documents stands last. Documents that
 share such a shingle form groups (of more than ``GROUP``, every two blocks
-meet); a group gives only pairs of different components whose sizes, shareable
-shingles and estimate allow a link. For these documents the estimate is made
+meet); a group gives only pairs of different components whose sizes, estimate
+and number of shingles from there on allow a link. For these documents the estimate is made
 again from ``SHARP`` minima of one bit, so that families of documents at a
 similarity of 0.6 give few pairs.
 
@@ -204,9 +204,10 @@ def unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
 
 
 def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For the documents of ``todo`` (id, component): (bucket, id), the shingles by
-    which links to other components can be found, and (id, shareable, sharp), the
-    number of shingles that other components have as well, and the signature.
+    """For the documents of ``todo`` (id, component): (bucket, id, place), the
+    shingles by which links to other components can be found and their place in
+    the document's order (from 1), and (id, shareable, sharp), the number of
+    shingles that other components have as well, and the signature.
 
     A link of sets of n and m shingles has at least LEAST * n / 100 in common. If
     s of the n occur in several components, two sets that share none of their
@@ -229,7 +230,7 @@ def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_set = W.partitionBy("key", "id", "n")  # the shingles of one text
     shared = shared.withColumns({"place": F.row_number().over(of_set.orderBy("c", "shingle")), "shareable": F.count("*").over(of_set)})
     first = shared.where(F.col("place") <= F.col("shareable") - F.ceil(F.col("n") * LEAST / 100) + 1)
-    first = cut_lineage(first.select(F.col("shingle").alias("bucket"), "id", "shareable"), "prefixes")
+    first = cut_lineage(first.select(F.col("shingle").alias("bucket"), "id", "place", "shareable"), "prefixes")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -238,29 +239,32 @@ def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     common = first.groupBy("id").agg(F.max("shareable").alias("shareable"))
     left = texts_of(docs).join(common, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shareable")
-    return first.select("bucket", "id").distinct(), cut_lineage(left.mapInArrow(signed, "id long, shareable long, sharp binary").distinct(), "sharp")
+    return first.groupBy("bucket", "id").agg(F.min("place").alias("place")), cut_lineage(left.mapInArrow(signed, "id long, shareable long, sharp binary").distinct(), "sharp")
 
 
 def small_groups(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, id, component): groups of at most ``GROUP`` members or so. A larger
+    """(bucket, id, component, place): groups of at most ``GROUP`` members or so. A larger
     bucket becomes pairs of blocks, so that every pair of its members is in a
     group."""
     todo = cut_lineage(unsettled(members.withColumn("used", F.array("bucket")), component), "unsettled")
-    fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component")
+    fine = todo.where(F.col("size") <= GROUP).select("bucket", "id", "component", "place")
     large = todo.where(F.col("size") > GROUP)
     large = large.withColumn("blocks", F.ceil(F.col("size") / max(1, GROUP // 2)).cast("int"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     parts = large.withColumn("block", block).select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    return fine.union(parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component"))
+    return fine.union(parts.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "id", "component", "place"))
 
 
 def group_pairs(groups: DataFrame, reps: DataFrame, shareable: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in a group whose sizes and shareable
-    shingles allow a link and whose estimate is at least ``NEAR``; with ``best``,
-    only the best of every two components."""
+    shingles from this place on allow a link (at the first shingle that a link's
+    documents share, all they share is from there on) and whose estimates are at
+    least ``NEAR`` and ``SHARP_NEAR``; with ``best``, only the best of every two
+    components."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, sizes, common = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles", "shareable"))
+        ids, own, sizes, common, place = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles", "shareable", "place"))
+        common = common - place + 1
         bits, sharp = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(len(ids), -1) for c in ("signature", "sharp"))
         order = np.argsort(ids, kind="stable")
         ids, own, sizes, common, bits, sharp = ids[order], own[order], sizes[order], common[order], bits[order], sharp[order]
@@ -287,11 +291,11 @@ def group_pairs(groups: DataFrame, reps: DataFrame, shareable: DataFrame, best:
             a, b = a[first], b[first]
         return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    # many shingles have the same members: one group of each is enough
+    # many shingles have the same members: they make one group, each member at its first place
     g = groups.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    one = g.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket")
+    one = groups.join(g, "bucket").groupBy("n", "who", "id").agg(F.min("component").alias("component"), F.min("place").alias("place"))
     drawn = reps.select(F.col("doc_id").alias("id"), "n_shingles", "signature").join(shareable, "id")
-    return groups.join(one, "bucket").join(drawn, "id").groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return one.join(drawn, "id").groupBy("n", "who").applyInArrow(run, "a long, b long").distinct()
 
 
 def star_pairs(members: DataFrame, component: DataFrame | None) -> DataFrame:

@@ -40,7 +40,7 @@ def test_the_sharp_estimate_is_close():
 
 def test_every_pair_of_a_large_bucket_meets(spark, monkeypatch):
     monkeypatch.setattr(md, "GROUP", 10)
-    members = spark.createDataFrame([(7, i) for i in range(60)] + [(8, i) for i in range(100, 105)], "bucket long, id long")
+    members = spark.createDataFrame([(7, i) for i in range(60)] + [(8, i) for i in range(100, 105)], "bucket long, id long").withColumn("place", F.lit(1))
     none = spark.createDataFrame([], "id long, component long")
     groups = {}
     for r in md.small_groups(members, none).collect():
@@ -107,15 +107,19 @@ def test_the_prefix_filter_loses_no_link(spark):
             texts.append(" ".join(w + [rng.choice(vocabulary) for _ in range(rng.choice([0, 0, 1, 5]))]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     members, shareable = md.prefixes(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), docs)
-    buckets = {}
+    buckets, place = {}, {}
     for r in members.collect():
         buckets.setdefault(r.bucket, set()).add(r.id)
+        place[r.bucket, r.id] = r.place
     met = {p for g in buckets.values() for p in combinations(sorted(g), 2)}
     sets = [set(x.tolist()) for x in md.shingle_sets(pa.array(texts))]
     linked = {(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert linked and linked <= met
     common = {r.id: r.shareable for r in shareable.collect()}
     assert all(common[a] >= len(sets[a] & sets[b]) for a, b in linked)
+    for a, b in linked:  # in one of their buckets, all that they share is from there on
+        both = len(sets[a] & sets[b])
+        assert any(min(common[a] - place[k, a], common[b] - place[k, b]) + 1 >= both for k, g in buckets.items() if {a, b} <= g)
 
 
 def test_clashing_names_and_rows_of_one_id(spark):
