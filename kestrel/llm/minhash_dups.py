@@ -21,13 +21,10 @@ first are looked at, so many that two sets that miss each other there cannot
 reach the threshold; a passage of many documents stands last. Documents that
 share such a shingle form groups (of more than ``GROUP``, every two blocks
 meet); a group gives only pairs of different components whose sizes, estimate
-and number of shingles from there on allow a link. For these documents the estimate is made
-again from ``SHARP`` minima of one bit, so that families of documents at a
-similarity of 0.6 give few pairs.
+and number of shingles from there on allow a link.
 
 A pair at similarity 0.75 shares a band with probability 1 - 5e-6; its estimate
-stays over ``NEAR``, and over ``SHARP_NEAR``, by over six standard deviations
-(1 - 2e-9).
+stays over ``NEAR`` by over six standard deviations (1 - 2e-9).
 
 Null or empty text, or one without words: an empty set, linked with nothing.
 Fewer than five words: the whole sequence is the one shingle. Repeated rows
@@ -57,8 +54,6 @@ BANDS = HASHES // ROWS
 LEAST = 75
 #: Least estimate that is confirmed on full sets.
 NEAR = 0.5
-#: Minima of one bit of the documents compared in groups, and their least estimate.
-SHARP, SHARP_NEAR = 4096, 0.685
 #: Most members of a group compared at once.
 GROUP = 400
 #: Most ids (8 bytes each) that are broadcast to pick their texts.
@@ -67,8 +62,6 @@ FEW_IDS = 500_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
-_SHARP_A = (_rng.integers(0, 2**31, SHARP, dtype=np.uint32) * 2 + 1).astype(np.uint32)[:, None]
-_SHARP_B = _rng.integers(0, 2**32, SHARP, dtype=np.uint32)[:, None]
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
 
 
@@ -94,20 +87,6 @@ def signature(least: np.ndarray) -> bytes:
     return (low[::2] << 4 | low[1::2]).tobytes()
 
 
-def sharp_signature(shingles: np.ndarray) -> bytes:
-    """The low bits of ``SHARP`` minima, eight to a byte."""
-    x = (shingles & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    least = np.full(SHARP, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(x), 128):
-        np.minimum(least, (_SHARP_A * x[None, a : a + 128] + _SHARP_B).min(axis=1), out=least)
-    return np.packbits((mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).tobytes()
-
-
-def sharp_estimates(differ: np.ndarray) -> np.ndarray:
-    """Similarity from the bits that differ (uint64 words); chance agrees in half."""
-    return 1 - 2 * np.bitwise_count(differ).sum(axis=1) / SHARP
-
-
 def band_keys(least: np.ndarray) -> np.ndarray:
     rows = least.astype(np.uint64).reshape(BANDS, ROWS)
     key = _BAND.copy()
@@ -206,8 +185,8 @@ def unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
 def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For the documents of ``todo`` (id, component): (bucket, id, place), the
     shingles by which links to other components can be found and their place in
-    the document's order (from 1), and (id, shareable, sharp), the number of
-    shingles that other components have as well, and the signature.
+    the document's order (from 1), and (id, shareable), the number of shingles
+    that other components have as well.
 
     A link of sets of n and m shingles has at least LEAST * n / 100 in common. If
     s of the n occur in several components, two sets that share none of their
@@ -231,15 +210,7 @@ def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = shared.withColumns({"place": F.row_number().over(of_set.orderBy("c", "shingle")), "shareable": F.count("*").over(of_set)})
     first = shared.where(F.col("place") <= F.col("shareable") - F.ceil(F.col("n") * LEAST / 100) + 1)
     first = cut_lineage(first.select(F.col("shingle").alias("bucket"), "id", "place", "shareable"), "prefixes")
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sharp = [sharp_signature(x) for x in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sharp, pa.binary())], ["id", "shareable", "sharp"])
-
-    common = first.groupBy("id").agg(F.max("shareable").alias("shareable"))
-    left = texts_of(docs).join(common, F.col("doc_id") == F.col("id")).select("doc_id", "text", "shareable")
-    return first.groupBy("bucket", "id").agg(F.min("place").alias("place")), cut_lineage(left.mapInArrow(signed, "id long, shareable long, sharp binary").distinct(), "sharp")
+    return first.groupBy("bucket", "id").agg(F.min("place").alias("place")), first.groupBy("id").agg(F.max("shareable").alias("shareable"))
 
 
 def small_groups(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -258,16 +229,15 @@ def small_groups(members: DataFrame, component: DataFrame) -> DataFrame:
 def group_pairs(groups: DataFrame, reps: DataFrame, shareable: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different components in a group whose sizes and shareable
     shingles from this place on allow a link (at the first shingle that a link's
-    documents share, all they share is from there on) and whose estimates are at
-    least ``NEAR`` and ``SHARP_NEAR``; with ``best``, only the best of every two
-    components."""
+    documents share, all they share is from there on) and whose estimate is at
+    least ``NEAR``; with ``best``, only the best of every two components."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, own, sizes, common, place = (np.asarray(table.column(c)) for c in ("id", "component", "n_shingles", "shareable", "place"))
         common = common - place + 1
-        bits, sharp = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64).reshape(len(ids), -1) for c in ("signature", "sharp"))
+        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, own, sizes, common, bits, sharp = ids[order], own[order], sizes[order], common[order], bits[order], sharp[order]
+        ids, own, sizes, common, bits = ids[order], own[order], sizes[order], common[order], bits[order]
         a, b, score = [], [], []
         least, most = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
         both = np.minimum(np.minimum(common[:, None], common), least)  # at most so many in common
@@ -278,7 +248,6 @@ def group_pairs(groups: DataFrame, reps: DataFrame, shareable: DataFrame, best:
             left, right = i[at : at + 20_000], j[at : at + 20_000]
             x = estimates(nothing, bits[left] ^ bits[right])
             near = x >= NEAR
-            near[near] = sharp_estimates(sharp[left[near]] ^ sharp[right[near]]) >= SHARP_NEAR
             a.append(left[near])
             b.append(right[near])
             score.append(x[near])

@@ -4,7 +4,6 @@ import math
 import random
 from itertools import combinations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -17,27 +16,6 @@ def test_a_true_link_stays_over_the_estimate():
     assert sum(math.comb(md.HASHES, k) * agree**k * (1 - agree) ** (md.HASHES - k) for k in range(least)) < 1e-8
 
 
-def test_a_true_link_stays_over_the_sharp_estimate():
-    agree = 0.75 + 0.25 / 2
-    least = math.ceil(md.SHARP * (1 + md.SHARP_NEAR) / 2 - 1e-9)
-    log_p = [math.lgamma(md.SHARP + 1) - math.lgamma(k + 1) - math.lgamma(md.SHARP - k + 1) + k * math.log(agree) + (md.SHARP - k) * math.log(1 - agree) for k in range(least)]
-    assert sum(map(math.exp, log_p)) < 1e-8
-
-
-def test_the_sharp_estimate_is_close():
-    rng = np.random.default_rng(1)
-    for j in (0.5, 0.62, 0.75):
-        errors = []
-        for _ in range(20):
-            both = rng.integers(0, 2**63, 1200, dtype=np.uint64)
-            shared = int(1200 * 2 * j / (1 + j) / 2)
-            a, b = np.unique(both[: shared + 300]), np.unique(np.concatenate([both[:shared], both[600:900]]))
-            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            x, y = (np.frombuffer(md.sharp_signature(s), np.uint64) for s in (a, b))
-            errors.append(md.sharp_estimates((x ^ y)[None])[0] - true)
-        assert abs(np.mean(errors)) < 0.008 and np.std(errors) < 0.02
-
-
 def test_every_pair_of_a_large_bucket_meets(spark, monkeypatch):
     monkeypatch.setattr(md, "GROUP", 10)
     members = spark.createDataFrame([(7, i) for i in range(60)] + [(8, i) for i in range(100, 105)], "bucket long, id long").withColumn("place", F.lit(1))
