@@ -52,14 +52,14 @@ def fresh(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``CHUNK_BYTES`` of text (or one row)."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
         sizes = np.asarray(pc.binary_length(batch.column(at)).fill_null(0), np.int64)
-        block = np.cumsum(sizes) // CHUNK_BYTES
+        block = np.cumsum(sizes) // most
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)

@@ -39,6 +39,8 @@ CAPACITY = 2048
 SMALL = 256
 #: Groups of equal cardinality that the large pieces are rounded within.
 GROUPS = 48
+#: Bytes of text whose ids are made at once.
+PART_BYTES = 2 << 20
 #: Pieces numbered in one task.
 BLOCK = 1 << 16
 
@@ -58,7 +60,7 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end: int = 0, capa
         from kestrel.llm.pretokens import Spaced
 
         tokenizer = Spaced(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=PART_BYTES):
             ids, first = tokenizer.ids(batch.column(1), end)
             raw, doc = ids.astype("<u4"), batch.column(0).to_pylist()
             out = [(doc[i], k, a, n, zlib.crc32(raw[first[i] + a : first[i] + a + n])) for i in range(len(doc)) for k, (a, n) in enumerate(cut_pieces(raw[first[i] : first[i + 1]], capacity))]

@@ -54,6 +54,8 @@ BANDS = HASHES // ROWS
 LEAST = 75
 #: Least estimate that is confirmed on full sets.
 NEAR = 0.5
+#: Bytes of text whose shingles are made at once.
+PART_BYTES = 3 << 20
 #: Most members of a group compared at once.
 GROUP = 400
 #: Most ids (8 bytes each) that are broadcast to pick their texts.
@@ -109,7 +111,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets), signature, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=PART_BYTES):
             sets = shingle_sets(batch.column(1))
             n, keys, signatures, bands = [], [], [], []
             for s in sets:
@@ -153,7 +155,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
         return p
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=PART_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
 
     wanted = cut_lineage(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct(), "wanted")
@@ -193,7 +195,7 @@ def prefixes(todo: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first s - ceil(LEAST * n / 100) + 1 (in one order for all) share too few."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=PART_BYTES):
             sets = shingle_sets(batch.column(1))
             n = np.array([len(x) for x in sets], np.int64)
             ids = np.asarray(batch.column(0), np.int64)
