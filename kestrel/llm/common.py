@@ -8,6 +8,7 @@ its own), so a task's memory does not depend on the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,9 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most`` bytes of text (or one row)."""
+    """The same rows in batches of at most ``most`` bytes of text (or one row). At
+    the end of a task the worker, which stays for later tasks, gives back memory
+    that it no longer uses."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +67,9 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
