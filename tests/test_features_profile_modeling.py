@@ -165,3 +165,15 @@ def test_hot_customer_day_split_into_order_blocks(spark):
         "days_since_first_order", "days_since_last_order", "customer_category_purchase_count"]
     a, b = fast.select(*cols), slow.select(*cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_distinct_counts_take_no_row_once_for_each_column(spark):
+    """Several count_distinct in one aggregation expand every row by the columns."""
+    from kestrel.operators.profile import column_profile
+    rows = [(1, "a", 0.0, [1], {"k": 1}), (1, None, -0.0, [1], {"k": 1}), (2, "b", float("nan"), [1, 2], None), (None, "b", float("nan"), None, {"k": 2})]
+    df = spark.createDataFrame(rows, "i long, s string, x double, a array<int>, m map<string, int>")
+    p = column_profile(df, "t")
+    assert "Expand" not in p._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.column_name: (r.ordinal_position, r.row_count, r.null_count, r.distinct_count) for r in p.collect()}
+    assert got == {"i": (1, 4, 1, 2), "s": (2, 4, 1, 2), "x": (3, 4, 0, 2), "a": (4, 4, 1, 2), "m": (5, 4, 1, 2)}
+    assert {r.column_name: r.distinct_count for r in column_profile(df.limit(0), "t").collect()} == dict.fromkeys("isxam", 0)
