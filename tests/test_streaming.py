@@ -123,3 +123,55 @@ def test_ids_expire_by_the_stated_rule(spark):
     assert (short.count(), long.count()) == (ev.count() + old, ev.count())
     assert progress[0]["stateOperators"][0]["numRowsTotal"] == len(newest) + ev.count() - old
     assert all(r.valid for r in au.verify_runs(short).collect())
+
+
+class _State:
+    """A map or value state that counts what it is asked."""
+
+    def __init__(self, held):
+        self.held, self.asked = held, 0
+
+    def exists(self):
+        return bool(self.held)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.held
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def get(self):
+        return self.held.get("end")
+
+    def update(self, value):
+        self.held["end"] = value
+
+
+@pytest.mark.parametrize("held, first", [(100, 0), (4, 7)])
+def test_ids_are_asked_for_only_where_some_are_held(held, first):
+    """The first micro-batch of a run asks for no id, unless rows went to the store."""
+    chain = ai.AuditChain(held=held)
+    chain.end, chain.seen, chain.waiting = _State({}), _State({}), _State({})
+    row = lambda i: {**dict.fromkeys(ai._WAITING, "x"), "_day": 0, "_ts": 10 * i, "_eid": i}
+    given = [0, 1, 1, 2, 3, None, 2, 4, 0, 5, 6]
+    rows = lambda ids: [{**row(i or 0), "_eid": i} for i in ids]
+    assert len(list(chain.handleInputRows(("=x",), iter(rows(given)), None))) == 8
+    assert chain.seen.asked <= first and bool(chain.seen.asked) == bool(first) and len(chain.seen.held) == 7
+    chain.seen.asked = 0
+    out = list(chain.handleInputRows(("=x",), iter(rows([6, 7, 7, None, 0])), None))
+    assert [r.sequence_number for r in out] == [9, 10] and chain.seen.asked >= 3 and not chain.waiting.held
+
+
+def test_rows_are_dealt_before_their_texts_are_written(spark):
+    """A file of a micro-batch is not one task's: the canonical payloads come after an exchange."""
+    stream = ai.audit_ingest(ai.event_stream(spark, SF0001))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    dealt, texts = (next(i for i, line in enumerate(plan.splitlines()) if x in line) for x in ("RepartitionByExpression", "_canonical_payloads"))
+    assert dealt > texts  # below it in the tree
