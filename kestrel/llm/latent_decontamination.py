@@ -5,14 +5,19 @@ over all passages gives the weights of a TF-IDF matrix; its leading right
 singular vectors are found by a distributed randomised SVD (each partition
 multiplies its passages with a test matrix and back; only slots x dimensions
 numbers are summed, whatever the corpus); a random sketch of the remainder keeps
-rare words apart. That space gives the cosine that is reported of each leak; it
-decides nothing, as a cosine says nothing certain of the words in order.
-
-A region of an item (its words and 16 to 22 more, from every fourth word on) leaks it by the longest common subsequence: a copy by the higher share, a
-paraphrase by the lower one if the item's answer (the words after its last
-question mark, or its last words) is there as well. Candidates are implied by
-that: all regions whose words that the item has are enough for a copy, and all
-that hold the answer and enough for a paraphrase.
+rare words apart. A region of an item (its words and 16 to 22 more, from every
+fourth word on) is a candidate if its cosine with the item in that space reaches
+a floor; no other is looked at. The floor is what the lightest words of a leak
+give, less ``NOISE`` standard deviations of the sketch, and more than 0.
+
+A candidate leaks its item by the longest common subsequence: a copy by the
+higher share, a paraphrase by the lower one if the item's answer (the words
+after its last question mark, or its last words) is there as well. Copies are
+searched by the cosines of all passages that hold such a region, then of the
+regions; the cosines of a paraphrase are asked for where its answer stands. A
+slot's products with all items are made once and rounded to steps of a 31st of
+the largest, so those of a region are their sum, however many dimensions there
+are.
 
 The frequencies and the singular vectors are those of all texts, and every text
 is searched whole. Items are searched in blocks of ``ITEMS``, a pass over the
@@ -28,7 +33,7 @@ passed on by ``decontaminate``).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,11 @@ from kestrel.llm.common import chunks, cut_lineage, raw, read, texts_of
 SLOTS = 1 << 15
 DIMS = 32
 #: Columns of the random sketch of what the singular vectors leave over.
-SKETCH = 64
+SKETCH = 2048
+#: Deviations of the sketch by which a candidate may stay behind a leak's words.
+NOISE = 3.5
+#: Steps of a word's product with an item: four words' sum fits a byte.
+LEVELS = 31
 EXTRA = 8
 POWER = 0
 #: Sums of slots x dimensions that are added in one task.
@@ -51,6 +60,8 @@ PASSAGE = 32
 #: Items searched in one pass over the texts.
 ITEMS = 2000
 BLOCK = 4
+#: Blocks between the places where passages begin.
+UNIT = 4
 #: Words of a region beyond its item's.
 SPARE = 4 * BLOCK
 #: A shorter item leaks only where its words stand in a row.
@@ -66,16 +77,18 @@ PART_BYTES = 4 << 20
 SEGMENT = 200_000
 GROUP, SLICE = 256, 4096
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Letters (in lower case) and digits as they are, other bytes as blanks.
+_PLAIN = np.full(256, 32, np.uint8)
+_PLAIN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
+_PLAIN[65:91] = range(97, 123)
 
 
 def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of letters and digits, in lower case) of all
     texts, and the index of each text's first."""
     data, at = raw(texts)
-    plain = np.where(_WORD[data], data, 32).astype(np.uint8)
-    w = common.words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(plain)]), lower=True)
+    plain = _PLAIN[data]
+    w = common.words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(plain)]))
     return w.hashes(), w.first
 
 
@@ -125,7 +138,8 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(df: np.ndarray, passages: int) -> np.ndarray:
-    return np.log((passages + 1) / (df + 1)).astype(np.float32)
+    """A word that every passage has still counts."""
+    return (1 + np.maximum(np.log((passages + 1) / (df + 1)), 0)).astype(np.float32)
 
 
 def _passage_rows(s: np.ndarray, first: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +202,15 @@ def word_vectors(singular: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """A row a slot (and one of zeros): its weighted place in the latent space,
     and a random sketch of what the leading directions leave over, so that rare
     words count too. Dot products stay those of the TF-IDF space, about."""
-    signs = np.random.Generator(np.random.PCG64(13)).integers(0, 2, (SLOTS, SKETCH)).astype(np.float32) * 2 - 1
-    rest = signs / np.float32(np.sqrt(SKETCH))
-    rest -= singular @ (singular.T @ rest)
-    both = np.concatenate([singular, rest], axis=1) * idf[:, None]
-    return np.concatenate([both, np.zeros((1, both.shape[1]), np.float32)]).astype(np.float32)
+    rng = np.random.Generator(np.random.PCG64(13))
+    out = np.zeros((SLOTS + 1, singular.shape[1] + SKETCH), np.float16)
+    out[:SLOTS, : singular.shape[1]] = singular * idf[:, None]
+    for a in range(singular.shape[1], out.shape[1], 64):  # some columns at a time: the table is large
+        rest = rng.integers(0, 2, (SLOTS, min(64, out.shape[1] - a)), np.int8).astype(np.float32)
+        rest = (rest * 2 - 1) / np.float32(np.sqrt(SKETCH))
+        rest -= singular @ (singular.T @ rest)
+        out[:SLOTS, a : a + 64] = rest * idf[:, None]
+    return out
 
 
 @dataclass
@@ -205,37 +223,49 @@ class Item:
 
 @dataclass
 class Index:
-    """What a task needs to search: the word vectors and a block of items."""
+    """What a task needs to search: a block of items, and the products of every
+    slot's vector with theirs."""
 
-    table: np.ndarray  # SLOTS + 1 rows, the last of zeros
+    table: InitVar[np.ndarray]  # SLOTS + 1 rows, the last of zeros
     items: list[Item]
 
-    def __post_init__(self):
-        vectors = np.zeros((len(self.items), self.table.shape[1]), np.float32)
+    def __post_init__(self, table):
         self.masks = []
-        for i, item in enumerate(self.items):
-            v = self.table[_slots(np.array(item.words, np.uint64))].sum(axis=0)
-            vectors[i] = v / max(float(np.linalg.norm(v)), 1e-9)
+        for item in self.items:
             masks: dict[int, int] = {}
             for k, w in enumerate(item.words):
                 masks[w] = masks.get(w, 0) | 1 << k
             self.masks.append(masks)
-        self.vectors = vectors
         sizes = np.array([len(x.words) for x in self.items], np.int64)
         #: Blocks of an item's region: its words and SPARE more lie in one, wherever they begin.
         self.span = -(-(sizes + SPARE + BLOCK - 1) // BLOCK)
+        #: Units of a passage: every region that begins in the first lies in it.
+        self.units = -(-(self.span + UNIT - 1) // UNIT)
         #: Shared words without which a region cannot be a copy, or a paraphrase.
         self.copy, self.paraphrase = (np.ceil(x * sizes - 1e-9).astype(np.int64) for x in (LEAST_COPY, LEAST_PARAPHRASE))
-        # a short item is its own answer: the regions that hold it are all that can leak it
-        order = np.argsort(self.span, kind="stable")
-        order = order[sizes[order] >= LEAST_WORDS]
+        #: Every item's slots, and how often each is there.
+        self.own = [np.unique(_slots(np.array(x.words, np.uint64)), return_counts=True) for x in self.items]
+        #: Square of every slot's length; every item's length, step and least products with its leaks.
+        self.squares = np.concatenate([np.einsum("ij,ij->i", x, x) for x in _parts(table)]).astype(np.float64)
+        self.length, self.step, self.least_copy, self.least_paraphrase = (np.zeros(len(self.items)) for _ in range(4))
+        self.columns = max(1, table.shape[1] - DIMS)
+        order = np.argsort(self.units, kind="stable")
+        # short items are their own answers: no passages are searched for them
+        parts = [x[at : at + GROUP] for x in (order[sizes[order] >= LEAST_WORDS], order[sizes[order] < LEAST_WORDS]) for at in range(0, len(x), GROUP)]
         self.groups = []
-        for at in range(0, len(order), GROUP):
-            some = order[at : at + GROUP]
-            member = np.zeros((SLOTS + 1, len(some)), np.uint8)
+        for some in parts:
+            vectors = np.zeros((len(some), table.shape[1]), np.float32)
             for k, i in enumerate(some):
-                member[_slots(np.array(self.items[i].words, np.uint64)), k] = 1
-            self.groups.append((some, member))
+                own = _slots(np.array(self.items[i].words, np.uint64))
+                vectors[k] = table[own].sum(axis=0, dtype=np.float32)
+                lightest = np.append(0, np.cumsum(np.sort(self.squares[own])))
+                self.least_copy[i], self.least_paraphrase[i] = lightest[self.copy[i]], lightest[self.paraphrase[i] if len(own) >= LEAST_WORDS else len(own)]
+            product = np.concatenate([x @ vectors.T for x in _parts(table)])
+            self.length[some] = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            step = np.maximum(np.abs(product).max(axis=0), 1e-9) / LEVELS
+            self.step[some] = step
+            self.groups.append((some, np.rint(product / step).astype(np.int8)))
+        self.place = {int(i): (g, k) for g, (some, _) in enumerate(self.groups) for k, i in enumerate(some)}
         self.phrases: dict[int, dict[int, list[int]]] = {}
         for i, item in enumerate(self.items):
             head = np.array(item.answer[:HEAD], np.uint64)
@@ -288,16 +318,16 @@ class Index:
 
     def _search(self, h, segments, best):
         n = np.array([b - a for _, a, b in segments])
-        at = np.append(0, np.cumsum(-(-n // BLOCK)))
+        at = np.append(0, np.cumsum(-(-n // (BLOCK * UNIT)) * UNIT))
         inside = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n))[:-1], n)
         slots = np.full(at[-1] * BLOCK, SLOTS, np.int64)
         slots[np.repeat(at[:-1] * BLOCK, n) + inside] = _slots(h[np.repeat([a for _, a, _ in segments], n) + inside])
         # the regions worth a look, by segment and item: start block -> most words shared
         copies: dict[tuple[int, int], dict[int, int]] = {}
         for items, member in self.groups:
-            found = list(self._copies(slots.reshape(-1, BLOCK), items, member))
-            if found:
-                p, q, shared = self._shared(slots.reshape(-1, BLOCK), *map(np.concatenate, zip(*found)))
+            near = list(self._near(slots, items, member)) if len(self.items[items[0]].words) >= LEAST_WORDS else []
+            if near:
+                p, q, shared = self._shared(slots.reshape(-1, BLOCK), *map(np.concatenate, zip(*near)))
                 for seg, start, i, c in zip((np.searchsorted(at, p, side="right") - 1).tolist(), p.tolist(), q.tolist(), shared.tolist()):
                     copies.setdefault((seg, i), {})[start - int(at[seg])] = c
         answered: dict[tuple[int, int], dict[int, int]] = {}
@@ -314,7 +344,8 @@ class Index:
                 sums = np.append(0, np.cumsum(part))
                 start = np.arange(low, last + 1)
                 shared = sums[np.minimum((start - low + self.span[i]) * BLOCK, len(part))] - sums[(start - low) * BLOCK]
-                enough = shared >= self.paraphrase[i]
+                start, shared = start[shared >= self.paraphrase[i]], shared[shared >= self.paraphrase[i]]
+                enough = self._reached(slots, start + at[seg], i, self.least_paraphrase[i])
                 answered.setdefault((seg, i), {}).update(zip(start[enough].tolist(), shared[enough].tolist()))
         for key in {**answered, **copies}:
             (d, a, b), i = segments[key[0]], key[1]
@@ -336,29 +367,77 @@ class Index:
                     old = (self.cosine(i, h[begin : min(b, begin + int(self.span[i]) * BLOCK)]), share, old[2])
                 best[d, i] = (*old[:2], old[2] or full)
 
-    def _copies(self, slots, items, member):
-        """(start blocks, items) of the regions that have enough words of an item
-        of the group for a copy. A region may run on into the next text here:
-        that only adds to the count."""
-        reach = int(self.span[items[-1]])
+    def floor(self, items, least, squares, words: int):
+        """The product with the items (greater than 0) that regions of so many
+        words and this sum of squares need, if their leaks have the least."""
+        noise = np.sqrt(self.length[items] ** 2 * squares / self.columns + self.step[items] ** 2 * words / 12)
+        return np.maximum(least - NOISE * noise, self.step[items] / 2)
+
+    def _reached(self, slots: np.ndarray, p: np.ndarray, i: int, least: float) -> np.ndarray:
+        """Whether the cosine of each region (by its start block) and item i reaches the floor."""
+        group, column = self.place[i]
+        words, begin = int(self.span[i]) * BLOCK, p * BLOCK
+        out = np.zeros(len(p), bool)
+        most = max(1, SEGMENT // words)
+        for lo in range(0, len(p), most):
+            at = begin[lo : lo + most, None] + np.arange(words)
+            there = np.where(at < len(slots), slots[np.minimum(at, len(slots) - 1)], SLOTS)
+            product = self.groups[group][1][there, column].sum(axis=1, dtype=np.int64) * self.step[i]
+            out[lo : lo + most] = product >= self.floor(i, least, self.squares[there].sum(axis=1), words)
+        return out
+
+    def _near(self, slots, items, member):
+        """(start blocks, items) of the regions whose cosine with an item of the
+        group is enough for a copy. One may run on into the next text here."""
+        slots = slots.reshape(-1, BLOCK * UNIT)
+        reach, words = int(self.units[items[-1]]), BLOCK * UNIT
         step = max(SLICE, 3 * reach)
-        kind = np.uint16 if (step + reach) * BLOCK < 1 << 16 else np.uint32
+        kind = np.int16 if reach * words * LEVELS < 1 << 15 else np.int32
+        edge = np.flatnonzero(np.append(True, np.diff(self.units[items]) > 0))
         for lo in range(0, len(slots), step):
             part = slots[lo : lo + step + reach]
-            count = member[part[:, 0]]
-            for k in range(1, BLOCK):
-                count += member[part[:, k]]
             starts = min(step, len(slots) - lo)
-            sums = np.zeros((len(items), len(part) + 1 + reach), kind)
-            np.cumsum(np.ascontiguousarray(count.T), axis=1, dtype=kind, out=sums[:, 1 : len(part) + 1])
-            sums[:, len(part) + 1 :] = sums[:, len(part), None]
-            edge = np.flatnonzero(np.append(True, np.diff(self.span[items]) > 0))
+            sums = np.zeros((len(part) + 1 + reach, len(items)), kind)
+            for k in range(0, words, 4):
+                four = member[part[:, k]]
+                for j in range(1, 4):
+                    four += member[part[:, k + j]]
+                sums[1 : len(part) + 1] += four
+            np.cumsum(sums, axis=0, dtype=kind, out=sums)
+            squares = np.zeros(len(part) + 1 + reach)
+            squares[1 : len(part) + 1] = self.squares[part].sum(axis=1)
+            squares = np.cumsum(squares)
             for a, b in zip(edge, np.append(edge[1:], len(items))):
-                span = int(self.span[items[a]])
-                shared = sums[a:b, span : span + starts] - sums[a:b, :starts]
-                q, p = np.nonzero(shared >= self.copy[items[a:b], None].astype(kind))
-                if len(p):
-                    yield p + lo, items[a:b][q]
+                span, some = int(self.units[items[a]]), items[a:b]
+                size = squares[span : span + starts] - squares[:starts]
+                product = sums[span : span + starts, a:b] - sums[:starts, a:b]
+                # what the heaviest passage here needs, then what each does
+                least = np.ceil(self.floor(some, self.least_copy[some], size.max(), span * words) / self.step[some])
+                near = product >= least.clip(max=np.iinfo(kind).max).astype(kind)
+                p = np.flatnonzero(near.any(axis=1))
+                k, q = np.nonzero(near[p])
+                p = p[k]
+                enough = product[p, q] * self.step[some[q]] >= self.floor(some[q], self.least_copy[some[q]], size[p], span * words)
+                p, q = p[enough], q[enough]
+                most = max(1, SEGMENT // (span * words))
+                for x in range(0, len(p), most):
+                    yield from self._begin(slots, member[:, a:b], some, p[x : x + most] + lo, q[x : x + most], span * words)
+
+    def _begin(self, slots, member, items, p, q, words):
+        """The regions (start blocks, items) of the passages (units, places in
+        the items) whose cosine is enough for a copy."""
+        at = p[:, None] * BLOCK * UNIT + np.arange(words)
+        there = np.where(at < slots.size, slots.ravel()[np.minimum(at, slots.size - 1)], SLOTS)
+        products, squares = np.zeros((len(p), words // BLOCK + 1), np.int64), np.zeros((len(p), words // BLOCK + 1))
+        np.cumsum(member[there, q[:, None]].reshape(len(p), -1, BLOCK).sum(axis=2, dtype=np.int64), axis=1, out=products[:, 1:])
+        np.cumsum(self.squares[there].reshape(len(p), -1, BLOCK).sum(axis=2), axis=1, out=squares[:, 1:])
+        own, rows = items[q], np.arange(len(p))
+        for k in range(UNIT):
+            end = k + self.span[own]
+            product = (products[rows, end] - products[:, k]) * self.step[own]
+            enough = product >= self.floor(own, self.least_copy[own], squares[rows, end] - squares[:, k], self.span[own] * BLOCK)
+            if enough.any():
+                yield p[enough] * UNIT + k, own[enough]
 
     def _shared(self, slots, p, q):
         """Those of the regions (start block, item) that have enough of the
@@ -371,7 +450,7 @@ class Index:
         edge = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
         for a, b in zip(edge, np.append(edge[1:], len(q))):
             i = int(q[a])
-            own, times = np.unique(_slots(np.array(self.items[i].words, np.uint64)), return_counts=True)
+            own, times = self.own[i]
             local[own] = np.arange(1, len(own) + 1)
             span, size = int(self.span[i]), len(own) + 1
             most = max(1, SEGMENT // (span * BLOCK))
@@ -387,11 +466,24 @@ class Index:
 
     def cosine(self, i: int, region: np.ndarray) -> float:
         """The best cosine of item i and a window of about its length in the region."""
-        x = np.zeros((len(region) + 1, self.table.shape[1]), np.float64)
-        np.cumsum(self.table[_slots(region)], axis=0, out=x[1:])
+        group, column = self.place[i]
+        slots = _slots(region)
         size = min(self.items[i].blocks * BLOCK, len(region))
-        w = x[size:] - x[: len(x) - size]
-        return float(np.max(w @ self.vectors[i] / np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)))
+        products = np.append(0, np.cumsum(self.groups[group][1][slots, column], dtype=np.int64))
+        product = (products[size:] - products[: len(products) - size]) * self.step[i]
+        # words of a window that occur again in it count as often as they meet
+        own, number = np.unique(slots, return_inverse=True)
+        counts = np.zeros((len(product), len(own)), np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(number, size) if size else np.zeros((len(product), 0), np.int64)
+        np.add.at(counts, (np.repeat(np.arange(len(product)), size), windows.ravel()), 1)
+        lengths = np.sqrt(counts**2 @ self.squares[own])
+        return float(np.clip(np.max(product / np.maximum(self.length[i] * lengths, 1e-9)), -1, 1))
+
+
+def _parts(table: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows in single precision, some at a time."""
+    for a in range(0, len(table), SLICE):
+        yield table[a : a + SLICE].astype(np.float32)
 
 
 def _next_heads(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:

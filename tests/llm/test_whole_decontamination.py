@@ -92,6 +92,35 @@ def test_singular_vectors_are_fitted_on_all_texts(spark, monkeypatch):
     assert np.allclose(one @ one.T @ one, two @ (two.T @ one), atol=1e-3)
 
 
+def test_the_cosine_decides(spark, monkeypatch):
+    """Without word vectors nothing is a candidate, not even a copy."""
+    item = some(30)
+    docs = spark.createDataFrame([(i, " ".join(some(40) + item * (i % 2) + some(40))) for i in range(6)] + [(6, "two words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "two words")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in ld.leaks(docs, bench).collect()} == {(1, 1), (3, 1), (5, 1), (6, 2)}
+    monkeypatch.setattr(ld, "word_vectors", lambda singular, idf: np.zeros((ld.SLOTS + 1, ld.DIMS + 8), np.float32))
+    assert ld.leaks(docs, bench).count() == 0
+
+
+def test_words_of_every_passage_still_count(spark):
+    docs = spark.createDataFrame([(i, "all these words are in every one of them") for i in range(3)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "these words are in every one of them")], "item_id long, text string")
+    assert ld.leaks(docs, bench).count() == 3
+
+
+def test_cosines_are_those_of_the_space():
+    """A region's rounded sum gives about the cosine of the vectors."""
+    items = [some(n) for n in (12, 20, 45)]
+    h, first = ld.text_words(pa.array([" ".join(some(30) + x + some(30)) for x in items]))
+    idf = ld.weights(np.bincount(ld._slots(h), minlength=ld.SLOTS), 8)
+    table = ld.word_vectors(np.linalg.qr(np.random.default_rng(1).standard_normal((ld.SLOTS, ld.DIMS)))[0].astype(np.float32), idf)
+    index = ld.Index(table, [ld.item_of(i, " ".join(w)) for i, w in enumerate(items)])
+    for d, i, cosine, *_ in index.search(h, first):
+        own, size = table[ld._slots(np.array(index.items[i].words, np.uint64))].astype(float).sum(axis=0), index.items[i].blocks * ld.BLOCK
+        windows = [table[ld._slots(h[a : a + size])].astype(float).sum(axis=0) for a in range(first[d], first[d + 1] - size + 1)]
+        assert abs(max(w @ own / np.linalg.norm(w) / np.linalg.norm(own) for w in windows) - cosine) < 0.1
+
+
 def search(texts, items):
     h, first = ld.text_words(pa.array(texts))
     made = [ld.item_of(i, " ".join(w)) for i, w in enumerate(items)]
