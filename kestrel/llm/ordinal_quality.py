@@ -34,6 +34,8 @@ from kestrel.llm.common import chunks, mix, raw, read, texts_of
 #: Labelled documents the fit may use; the driver holds their feature lists.
 SAMPLE = 6000
 SLOTS = 1 << 18
+#: Bytes of text read at once: what a part needs for a moment is some 25 times that.
+PART_BYTES = 2 << 20
 #: A slot must occur in so many documents of the sample.
 LEAST_DOCS = 8
 L1 = 1e-3
@@ -158,7 +160,7 @@ def fit(labelled: DataFrame, grades: int, sample: int = SAMPLE) -> Model:
     lie, the lists of at most ``sample`` documents come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=PART_BYTES):
             doc, slot = features(batch.column(1))
             pairs = np.unique(doc << np.uint64(32) | slot)
             cut = np.searchsorted(pairs >> np.uint64(32), np.arange(batch.num_rows + 1))
@@ -172,12 +174,17 @@ def fit(labelled: DataFrame, grades: int, sample: int = SAMPLE) -> Model:
     return fit_arrays(doc, np.concatenate(lists) if lists else np.zeros(0, np.uint32), np.array([r.grade for r in some], np.int64), grades)
 
 
+def judged(batches: Iterator[pa.RecordBatch], model: Model, t: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows, part by part, and the tails of their texts in column t."""
+    for batch in chunks(batches, most=PART_BYTES):
+        yield batch, model.tails(model.scores(batch.column(t)))
+
+
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the top grade), kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            tails = model.tails(model.scores(batch.column(1)))
+        for batch, tails in judged(batches, model, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["doc_id", "expected_grade", "tail_probability"])
 
     scored = texts_of(docs).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double")
@@ -189,9 +196,8 @@ def select(docs: DataFrame, model: Model) -> DataFrame:
     t = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            kept = model.tails(model.scores(batch.column(t)))[:, -1] >= KEEP
-            yield batch.filter(pa.array(kept))
+        for batch, tails in judged(batches, model, t):
+            yield batch.filter(pa.array(tails[:, -1] >= KEEP))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -174,6 +175,20 @@ def test_select_odd_rows_and_no_labels(spark):
     assert oq.grade(empty_docs(spark), model).count() == 0
 
 
+def test_texts_are_judged_in_small_parts():
+    """Eight megabytes of text in one batch: what they need at once, and the same scores."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 5000, 160)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    model = oq.Model(np.arange(0, oq.SLOTS, 3), np.linspace(-1, 1, len(range(0, oq.SLOTS, 3))), np.array([-0.5, 0.5]))
+    tracemalloc.start()
+    parts = list(oq.judged(iter([batch]), model, 0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 8 << 20 and most < 120 << 20
+    assert np.array_equal(np.concatenate([x for _, x in parts]), model.tails(model.scores(batch.column(0))))
+
+
 # decontamination
 
 
