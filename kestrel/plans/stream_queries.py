@@ -31,7 +31,8 @@ def stream_audit_replayed(spark, sf_dir):
     both = events.unionByName(again)
     folder = shared_path(spark, "tables", f"replayed-{uuid.uuid4().hex}")
     for k in (2, 0, 3, 1, 4):  # their order in time is that of writing
-        both.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        # read by all tasks, written by one
+        both.where(F.col("_file") == k).drop("_file").repartition(1).write.mode("append").parquet(f"{folder}/events.parquet")
     trail = ai.run_to_table(ai.audit_ingest(ai.event_stream(spark, folder)), "replayed")
     runs = au.verify_runs(trail).join(au.run_completeness(trail).select("run_id", "gap_free"), "run_id")
     return runs.select("run_id", "valid", "event_count", "gap_free", "reason")

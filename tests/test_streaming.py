@@ -175,3 +175,57 @@ def test_rows_are_dealt_before_their_texts_are_written(spark):
     plan = stream._jdf.queryExecution().analyzed().toString()
     dealt, texts = (next(i for i, line in enumerate(plan.splitlines()) if x in line) for x in ("RepartitionByExpression", "_canonical_payloads"))
     assert dealt > texts  # below it in the tree
+
+
+class _Store:
+    """The JVM's side of a map state's client: answers in the order of the messages, once they are flushed."""
+
+    def __init__(self, held):
+        import io
+
+        from pyspark.serializers import CPickleSerializer
+        self.held, self.pickleSer, self.flushed, self.sent, self.answers = held, CPickleSerializer(), 0, io.BytesIO(), []
+        self.sockfile = self
+
+    def write(self, data):
+        self.sent.write(data)
+
+    def flush(self):
+        from pyspark.sql.streaming.proto import StateMessage_pb2 as pb
+        self.flushed += 1
+        data, at = self.sent.getvalue(), 0
+        while at < len(data):
+            size = int.from_bytes(data[at + 4:at + 8], "big")
+            call = pb.StateRequest.FromString(data[at + 8:at + 8 + size]).stateVariableRequest.mapStateCall
+            assert data[at:at + 4] == b"\0" * 4 and call.stateName == "seen"
+            if call.WhichOneof("method") == "updateValue":
+                self.held[self.pickleSer.loads(call.updateValue.userKey)] = self.pickleSer.loads(call.updateValue.value)
+                self.answers.append(0)
+            else:
+                self.answers.append(0 if self.pickleSer.loads(call.containsKey.userKey) in self.held else 2)
+            at += 8 + size
+        self.sent.seek(0)
+        self.sent.truncate()
+
+    def _receive_proto_message(self):
+        return self.answers.pop(0), "", b""
+
+
+@pytest.mark.parametrize("held, most", [(1000, 2), (30, 30)])
+def test_ids_of_many_rows_are_asked_for_and_stored_in_one_message(held, most):
+    """Two messages for the ids of up to BURST rows, not two for each; the same rows as one by one."""
+    from pyspark.sql.streaming.map_state_client import MapStateClient
+    from pyspark.sql.streaming.stateful_processor import MapState
+    given = [i % 97 if i % 5 else None for i in range(150)]
+    known = {(i,): (0,) for i in range(0, 97, 3)}
+    store = _Store(dict(known))
+    client = MapStateClient.__new__(MapStateClient)
+    client._stateful_processor_api_client = store
+    out = []
+    for seen in (MapState(client, "seen"), _State(dict(known))):
+        chain = ai.AuditChain(held=held)
+        chain.end, chain.seen, chain.waiting = _State({"end": (40, "h", 5, None)}), seen, _State({})
+        rows = [{**dict.fromkeys(ai._WAITING, "x"), "_day": 0, "_ts": 10 * n, "_eid": i, "payload": str(i)} for n, i in enumerate(given)]
+        out.append([tuple(r) for r in chain.handleInputRows(("=x",), iter(rows), None)])
+    assert out[0] == out[1] and len(out[0]) == 30 + len({i for i in given if i is not None and i % 3})
+    assert store.held == seen.held and 0 < store.flushed <= most
